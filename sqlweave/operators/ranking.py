@@ -112,13 +112,13 @@ def ring_sample(
     group: str,
     request_keys: list[str],
     member_keys: list[str],
-    size: int,
+    size: int | Column,
     seed: str,
 ) -> DataFrame:
     """`size` distinct members of its group for every request, without pairing all with all.
 
     Members of a group stand on a ring in md5-seeded order. A request starts at a
-    seeded place and takes the next `size` members, so the work is requests x size
+    seeded place and takes the next `size` members (a number or a column of `requests`), so the work is requests x size
     whatever the group holds. Every member is equally likely to be taken. Groups
     smaller than `size` are taken whole. `pick` numbers a request's members from 1.
     """
@@ -126,6 +126,7 @@ def ring_sample(
     sizes = members.groupBy(group).agg(F.count(F.lit(1)).alias("__size"))
     start = digest_int(digest(seed, *[F.col(k) for k in request_keys]))
     picks = F.sequence(F.lit(0), F.least(F.lit(size).cast("long"), F.col("__size")) - 1)
+    picks = F.when(F.lit(size) > 0, picks).otherwise(F.array().cast("array<bigint>"))
     wanted = (
         requests.join(sizes, group)
         .withColumn("__start", F.pmod(start, F.col("__size")))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
-FAMILIES = ["denotation"]
+FAMILIES = ["denotation", "sqltext"]
 
 
 def all_queries() -> dict[str, tuple[Builder, str | None]]:
