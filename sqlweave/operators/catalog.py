@@ -41,7 +41,7 @@ def flatten_columns(raw: DataFrame) -> DataFrame:
         return F.struct(
             i.cast("int").alias("col_idx"),
             column["table_idx"].alias("table_idx"),
-            F.try_element_at("table_names_original", column["table_idx"] + 1).alias("table_name"),
+            F.get("table_names_original", column["table_idx"]).alias("table_name"),
             column["name"].alias("column_name"),
             F.get("column_names", i)["name"].alias("display_name"),
             F.get("column_types", i).alias("type"),

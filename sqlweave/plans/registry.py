@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
-FAMILIES = ["denotation", "sqltext"]
+FAMILIES = ["denotation", "sqltext", "catalog", "retrieval", "scoring"]
 
 
 def all_queries() -> dict[str, tuple[Builder, str | None]]:
