@@ -9,6 +9,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sqlweave.functions.arrays import unnest
 from sqlweave.functions.seeded import digest
 from sqlweave.functions.text import strip_space
 from sqlweave.operators.ranking import gather_text, integer_bucket, position
@@ -49,7 +50,7 @@ def flatten_columns(raw: DataFrame) -> DataFrame:
         )
 
     real = F.filter(F.transform("column_names_original", entry), lambda c: c["table_idx"] >= 0)
-    return keys.select("db_id", F.explode(real).alias("c")).select("db_id", "c.*").drop("table_idx")
+    return unnest(keys, real, "c", "db_id").select("db_id", "c.*").drop("table_idx")
 
 
 def foreign_key_edges(raw: DataFrame) -> DataFrame:
@@ -67,7 +68,7 @@ def foreign_key_edges(raw: DataFrame) -> DataFrame:
         )
 
     edges = F.flatten(F.transform("foreign_keys", both))
-    return raw.select("db_id", F.explode(edges).alias("e")).select("db_id", "e.*")
+    return unnest(raw, edges, "e", "db_id").select("db_id", "e.*")
 
 
 def foreign_key_partner(edges: DataFrame) -> DataFrame:
@@ -278,7 +279,8 @@ def vocabulary_stats(columns: DataFrame) -> DataFrame:
         ).otherwise(F.array().cast("array<struct<kind:string,entry:string>>")),
     )
     return (
-        columns.select(F.inline(entries))
+        unnest(columns, entries, "e")
+        .select("e.*")
         .filter(F.col("entry").isNotNull() & (F.col("entry") != ""))
         .distinct()
         .groupBy("kind")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sqlweave.functions.arrays import unnest
 from sqlweave.functions.text import collapse_space
 
 _CTE = r"\b(\w+) as ?\( ?(?:select|with|values)\b"
@@ -49,11 +50,8 @@ def _parsed(queries: DataFrame) -> DataFrame:
 def used_tables(queries: DataFrame, columns: DataFrame) -> DataFrame:
     """(question_id, db_id, table_name): existing tables a query reads, also those it takes
     no named column from."""
-    named = _parsed(queries).select(
-        "question_id",
-        "db_id",
-        F.explode(F.array_distinct(F.transform("__refs", lambda r: r["table_name"]))).alias("__t"),
-    )
+    names = F.array_distinct(F.transform("__refs", lambda r: r["table_name"]))
+    named = unnest(_parsed(queries), names, "__t", "question_id", "db_id")
     tables = columns.select("db_id", "table_name", F.lower("table_name").alias("__t")).distinct()
     return named.join(tables, ["db_id", "__t"]).drop("__t")
 
@@ -80,8 +78,7 @@ def used_columns(queries: DataFrame, columns: DataFrame) -> DataFrame:
     named = F.flatten(F.transform("__qualified", resolve))
     bare = F.flatten(F.transform("__bare", everywhere))
     wanted = (
-        _parsed(queries)
-        .select("question_id", "db_id", F.explode(F.array_distinct(F.concat(named, bare))).alias("n"))
+        unnest(_parsed(queries), F.array_distinct(F.concat(named, bare)), "n", "question_id", "db_id")
         .select("question_id", "db_id", F.col("n.t").alias("__t"), F.col("n.c").alias("__c"))
     )
     known = columns.withColumns({"__t": F.lower("table_name"), "__c": F.lower("column_name")})

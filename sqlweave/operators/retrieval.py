@@ -11,6 +11,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sqlweave.functions.arrays import unnest
+
 # The instruction put before every question.
 INSTRUCTION = (
     "Instruct:Given a natural language question, retrieve database column information "
@@ -238,7 +240,7 @@ class HashedVectoriser:
         self.weights: np.ndarray | None = None
 
     def fit(self, texts: DataFrame, column: str) -> HashedVectoriser:
-        present = texts.select(F.explode(F.array_distinct(token_dims(F.col(column), self.dims))).alias("dim"))
+        present = unnest(texts, F.array_distinct(token_dims(F.col(column), self.dims)), "dim")
         counts = present.groupBy("dim").agg(F.count(F.lit(1)).alias("n"))
         total = texts.count()
         frequency = np.zeros(self.dims)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sqlweave.functions import text as T
+from sqlweave.functions.arrays import unnest
 from sqlweave.operators import scoring as S
 from sqlweave.plans import sqltext
 from sqlweave.plans.bindings import keyed_events
@@ -57,8 +58,9 @@ def _units(spark: SparkSession, sf: str) -> DataFrame:
         F.col("conv_id").alias("query_id"),
         F.lit(0).alias("block_id"),
         F.when(F.col("role") == "user", "gold").otherwise("pred").alias("side"),
-        F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}]+)"), 1)).alias("unit"),
+        F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}]+)"), 1).alias("words"),
     )
+    words = unnest(words, F.col("words"), "unit", "query_id", "block_id", "side")
     component = F.when(F.length("unit") <= 2, "select").when(F.length("unit") <= 4, "where").otherwise("keywords")
     return words.withColumn("component", component)
 
@@ -154,7 +156,7 @@ def text_components(spark, sf):
         "sql_gt", F.replace("sql_gt", F.lit("T2"), F.lit("T1"))
     )
     compared = S.compare_texts(pairs)
-    return compared.select("query_id", F.inline("components"))
+    return unnest(compared, F.col("components"), "c", "query_id").select("query_id", "c.*")
 
 
 def _text_components_sql() -> str:
