@@ -16,14 +16,10 @@ from sqlweave.functions.seeded import digest, digest_bucket, digest_int
 BUCKET_WIDTH = 65536
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Equi-join that also matches NULL keys and keeps one copy of each key."""
-    renamed = right
-    condition = F.lit(True)
-    for key in keys:
-        renamed = renamed.withColumnRenamed(key, f"__r_{key}")
-        condition = condition & F.col(key).eqNullSafe(F.col(f"__r_{key}"))
-    return left.join(renamed, condition, how).drop(*[f"__r_{k}" for k in keys])
+def _group_key(keys: list[str]) -> Column:
+    """One struct for the group, so that NULL keys meet each other in a plain equi-join and
+    rows stay partitioned as the following window wants them."""
+    return F.struct(*[F.col(k) for k in keys]) if keys else F.lit(0)
 
 
 def integer_bucket(order: Column, width: int = BUCKET_WIDTH) -> Column:
@@ -42,17 +38,16 @@ def position(
 
     `bucket` must not decrease along `order`.
     """
-    bucketed = df.withColumn("__bucket", bucket)
-    sizes = bucketed.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
-    by_bucket = Window.partitionBy(*keys).orderBy("__bucket")
-    before = by_bucket.rowsBetween(Window.unboundedPreceding, -1)
+    bucketed = df.withColumn("__key", _group_key(keys)).withColumn("__bucket", bucket)
+    sizes = bucketed.groupBy("__key", "__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy("__key").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.withColumn("__offset", F.coalesce(F.sum("__n").over(before), F.lit(0)))
     if total:
-        offsets = offsets.withColumn(total, F.sum("__n").over(Window.partitionBy(*keys)))
-    local = Window.partitionBy(*keys, "__bucket").orderBy(*order)
-    placed = _null_safe_join(bucketed, offsets.drop("__n"), [*keys, "__bucket"])
+        offsets = offsets.withColumn(total, F.sum("__n").over(Window.partitionBy("__key")))
+    local = Window.partitionBy("__key", "__bucket").orderBy(*order)
+    placed = bucketed.join(offsets.drop("__n"), ["__key", "__bucket"])
     return placed.withColumn(out, F.col("__offset") + F.row_number().over(local)).drop(
-        "__bucket", "__offset"
+        "__key", "__bucket", "__offset"
     )
 
 
@@ -78,31 +73,31 @@ def running(
     `totals` names the summed expressions, `latest` the ones whose largest value so far is kept.
     """
     latest = latest or {}
-    bucketed = df.withColumn("__bucket", integer_bucket(F.col(order), width))
+    bucketed = df.withColumn("__key", _group_key(keys)).withColumn(
+        "__bucket", integer_bucket(F.col(order), width)
+    )
     sums = [F.sum(e).alias(f"__s_{n}") for n, e in totals.items()]
     maxima = [F.max(e).alias(f"__m_{n}") for n, e in latest.items()]
-    per_bucket = bucketed.groupBy(*keys, "__bucket").agg(*sums, *maxima)
-    before = (
-        Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    )
+    per_bucket = bucketed.groupBy("__key", "__bucket").agg(*sums, *maxima)
+    before = Window.partitionBy("__key").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_bucket.select(
-        *keys,
+        "__key",
         "__bucket",
         *[F.coalesce(F.sum(f"__s_{n}").over(before), F.lit(0)).alias(f"__s_{n}") for n in totals],
         *[F.max(f"__m_{n}").over(before).alias(f"__m_{n}") for n in latest],
     )
     upto = (
-        Window.partitionBy(*keys, "__bucket")
+        Window.partitionBy("__key", "__bucket")
         .orderBy(order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    out = _null_safe_join(bucketed, offsets, [*keys, "__bucket"])
+    out = bucketed.join(offsets, ["__key", "__bucket"])
     for name, expr in totals.items():
         out = out.withColumn(name, F.col(f"__s_{name}") + F.sum(expr).over(upto))
     for name, expr in latest.items():
         out = out.withColumn(name, F.greatest(F.col(f"__m_{name}"), F.max(expr).over(upto)))
     return out.drop(
-        "__bucket", *[f"__s_{n}" for n in totals], *[f"__m_{n}" for n in latest]
+        "__key", "__bucket", *[f"__s_{n}" for n in totals], *[f"__m_{n}" for n in latest]
     )
 
 
