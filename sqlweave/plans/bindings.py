@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqlweave.session import load
+from sqlweave.session import load, spread
 
 
 def keyed_events(spark: SparkSession, sf: str) -> DataFrame:
@@ -60,7 +60,7 @@ ev as (select event_id, user_id, event_type, value, json_extract_string(props, '
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:
     """One question per event. Its SQL names one column with an alias and two without."""
-    events = keyed_events(spark, sf)
+    events = spread(keyed_events(spark, sf))
 
     def column(shift: int):
         return F.concat(F.lit("K"), F.col("k") + shift)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sqlweave.operators import catalog as C
 from sqlweave.operators import linking
 from sqlweave.plans.bindings import CATALOG_SQL, LINKS_SQL, catalog, keyed_events, questions
-from sqlweave.session import load
+from sqlweave.session import load, materialise, spread
 
 
 def nested_catalogs(spark: SparkSession, sf: str) -> DataFrame:
@@ -24,7 +24,7 @@ def nested_catalogs(spark: SparkSession, sf: str) -> DataFrame:
         )
     )
     star = F.array(F.struct(F.lit(-1).alias("table_idx"), F.lit("*").alias("name")))
-    rows = load(spark, sf, "documents").select("doc_id", lines.alias("lines"), F.concat(star, words).alias("columns"))
+    rows = spread(load(spark, sf, "documents")).select("doc_id", lines.alias("lines"), F.concat(star, words).alias("columns"))
     indexes = F.sequence(F.lit(1), F.size("columns") - 1)
     return rows.filter(F.size("columns") > 1).select(
         F.concat(F.lit("doc_"), "doc_id").alias("db_id"),
@@ -95,7 +95,7 @@ def _sampled_sql() -> str:
 
 
 def clean_description(spark, sf):
-    texts = load(spark, sf, "documents")
+    texts = spread(load(spark, sf, "documents"))
     raw = F.concat(F.when(F.col("doc_id") % 2 == 0, "Not Useful \n").otherwise(" commonsense evidence:"), F.col("text"))
     return texts.select(
         "doc_id", C.clean_description(raw).alias("description"), C.clean_value_description(raw).alias("value_description")
@@ -180,7 +180,13 @@ def partner_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 def linked_selection(spark: SparkSession, sf: str) -> DataFrame:
     """Columns each question uses with the partner they keep."""
-    used = linking.used_columns(questions(spark, sf).select("question_id", "db_id", "sql"), catalog(spark, sf))
+    used = materialise(
+        linking.used_columns(questions(spark, sf).select("question_id", "db_id", "sql"), catalog(spark, sf))
+    )
+    return with_partners(spark, sf, used)
+
+
+def with_partners(spark: SparkSession, sf: str, used: DataFrame) -> DataFrame:
     partners = C.foreign_key_partner(partner_edges(spark, sf)).withColumnRenamed("key_from", "own")
     return (
         used.withColumn("own", F.concat_ws(".", "table_name", "column_name"))

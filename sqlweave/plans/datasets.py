@@ -14,7 +14,7 @@ from sqlweave.operators.ranking import gather_text, integer_bucket, position
 from sqlweave.plans import catalog as catalog_plans
 from sqlweave.plans import sqltext
 from sqlweave.plans.bindings import CATALOG_SQL, LINKS_SQL, catalog, keyed_events, questions
-from sqlweave.session import load
+from sqlweave.session import load, materialise, spread
 
 TOP_K, TIMES = 25, 2
 
@@ -24,7 +24,7 @@ def _links(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def schema_augment(spark, sf):
-    needed = _links(spark, sf).select("question_id", "db_id", "doc_id")
+    needed = materialise(_links(spark, sf).select("question_id", "db_id", "doc_id"))
     augmented = B.augment_schemas(needed, catalog(spark, sf).select("db_id", "doc_id"), TOP_K, TIMES)
     return augmented.select("question_id", "variant", "doc_id", "is_needed")
 
@@ -36,9 +36,11 @@ def schema_needed(spark, sf):
 
 
 def wildcard_merge(spark, sf):
-    chosen = _links(spark, sf).select(
-        "question_id", "table_name",
-        F.when(F.col("k") % 10 == 0, "*").otherwise(F.col("column_name")).alias("column_name"),
+    chosen = materialise(
+        _links(spark, sf).select(
+            "question_id", "table_name",
+            F.when(F.col("k") % 10 == 0, "*").otherwise(F.col("column_name")).alias("column_name"),
+        )
     )
     return B.merge_wildcards(chosen, ["question_id"])
 
@@ -75,9 +77,9 @@ def dedup_lines(spark, sf):
     return B.deduplicate_rows(keys).select(B.canonical_json(["l_orderkey", "l_linenumber"]).alias("row"))
 
 
-def _selection(spark: SparkSession, sf: str) -> DataFrame:
+def _selection(links: DataFrame) -> DataFrame:
     """Used columns of every question with what their prompt line shows."""
-    return _links(spark, sf).select(
+    return links.select(
         "question_id", F.col("k").alias("pos"), "table_name", "column_name", "type",
         (F.col("k") % 5 == 0).alias("primary_key"),
         F.when(F.col("type") == "text", F.transform("values", lambda v: F.concat(F.lit('é"'), v))).otherwise(
@@ -91,8 +93,9 @@ def _selection(spark: SparkSession, sf: str) -> DataFrame:
 
 def prompt_render(spark, sf):
     """Whole prompts: question, schema lines, references, evidence."""
-    schema = B.schema_texts(_selection(spark, sf), ["question_id"], "pos")
-    lines = C.distinct_foreign_keys(C.foreign_key_lines(catalog_plans.linked_selection(spark, sf)))
+    links = materialise(_links(spark, sf))
+    schema = B.schema_texts(_selection(links), ["question_id"], "pos")
+    lines = C.distinct_foreign_keys(C.foreign_key_lines(catalog_plans.with_partners(spark, sf, links)))
     placed = position(lines, ["question_id"], [F.col("pos"), F.col("fk")], integer_bucket(F.col("pos")), "n")
     references = gather_text(placed.select("question_id", "n", "fk"), ["question_id"], "n", "fk", " | ")
     asked = questions(spark, sf).select("question_id", "question", "evidence")
@@ -147,7 +150,7 @@ def revision_rows(spark, sf):
 
 def _ids(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as ids: the length of every space-separated word."""
-    return load(spark, sf, "documents").select("doc_id", F.transform(F.split("text", " "), F.length).alias("ids"))
+    return spread(load(spark, sf, "documents")).select("doc_id", F.transform(F.split("text", " "), F.length).alias("ids"))
 
 
 def label_mask(spark, sf):

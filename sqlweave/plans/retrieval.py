@@ -11,7 +11,7 @@ from sqlweave.operators import contrastive, linking
 from sqlweave.operators import retrieval as R
 from sqlweave.operators.ranking import ring_sample, seeded_position
 from sqlweave.plans.bindings import CATALOG_SQL, LINKS_SQL, catalog, questions
-from sqlweave.session import load
+from sqlweave.session import load, materialise, spread
 
 K = 25
 # Sign-projection setting shared with the SQL twin.
@@ -73,7 +73,7 @@ def query_text(spark, sf):
 
 def embed_text(spark, sf):
     """Non-zero entries of every document's vector."""
-    texts = load(spark, sf, "documents").select("doc_id", "text")
+    texts = spread(load(spark, sf, "documents").select("doc_id", "text"))
     model = R.HashedVectoriser(TEXT_DIMS).fit(texts, "text")
     vectors = texts.select("doc_id", F.posexplode(model.transform(F.col("text"))).alias("dim", "weight"))
     return vectors.filter(F.col("weight") != 0).withColumn("weight", F.round("weight", 6))
@@ -132,7 +132,7 @@ def samples_per_db(spark, sf):
 def _linked(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     asked = questions(spark, sf).select("question_id", "db_id", "sql")
     columns = catalog(spark, sf)
-    links = linking.used_columns(asked, columns).select("question_id", "doc_id")
+    links = materialise(linking.used_columns(asked, columns).select("question_id", "doc_id"))
     return asked.drop("sql"), columns.select("db_id", "doc_id"), links
 
 

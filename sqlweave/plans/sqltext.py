@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sqlweave.functions import text as T
 from sqlweave.operators import slots
 from sqlweave.plans.bindings import keyed_events
-from sqlweave.session import load
+from sqlweave.session import load, spread
 
 # Query shapes: template, difficulty, (component1, component2, others). $T event type, $K key, $V value.
 SHAPES = [
@@ -60,7 +60,7 @@ def _choose_sql(values: list, shift: int = 0) -> str:
 
 def texts(spark: SparkSession, sf: str) -> DataFrame:
     templates = [s[0] for s in SHAPES]
-    return keyed_events(spark, sf).select(
+    return spread(keyed_events(spark, sf)).select(
         "event_id", _fill(_choose(templates)).alias("sql"), _fill(_choose(templates, 1)).alias("other")
     )
 
@@ -111,7 +111,7 @@ def _slots_sql(x: str) -> str:
 def normalise_sql(spark, sf):
     """Query texts and all document texts, each as a whole."""
     asked = texts(spark, sf).select(F.lit("event").alias("kind"), F.col("event_id").alias("id"), "sql")
-    prose = load(spark, sf, "documents").select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.col("text").alias("sql"))
+    prose = spread(load(spark, sf, "documents")).select(F.lit("document").alias("kind"), F.col("doc_id").alias("id"), F.col("text").alias("sql"))
     both = asked.union(prose)
     return both.select("kind", "id", T.normalise_sql(F.col("sql")).alias("sql"))
 
