@@ -40,6 +40,7 @@ def _run(session: SparkSession, row: Row, path: str, timeout: float) -> tuple:
 
     timer = threading.Timer(timeout, stop)
     context.addJobTag(tag)
+    context.setInterruptOnCancel(True)
     timer.start()
     try:
         result = session.sql(row["sql"].rstrip().rstrip(";"))

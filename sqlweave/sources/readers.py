@@ -27,6 +27,16 @@ TRAINING_DDL = (
 UNREADABLE = "�"
 
 
+def _c1_table() -> tuple[str, str]:
+    """The characters latin-1 and cp1252 read differently, in both readings."""
+    latin, windows = "", ""
+    for code in range(0x80, 0xA0):
+        char = bytes([code]).decode("cp1252", "ignore")
+        if char:
+            latin, windows = latin + chr(code), windows + char
+    return latin, windows
+
+
 def _indexed_names(names: Column) -> Column:
     return F.transform(names, lambda n: F.struct(n[0].cast("int").alias("table_idx"), n[1].alias("name")))
 
@@ -53,8 +63,8 @@ def read_training(spark: SparkSession, path: str, lines: bool = False) -> DataFr
 def read_descriptions(spark: SparkSession, folder: str) -> DataFrame:
     """Per-table description CSVs `<folder>/<db_id>/database_description/<table>.csv`.
 
-    A file that is no valid UTF-8 is taken from a second reading as cp1252. Rows without
-    either name go. `file_status` tells the encoding used.
+    A file that is no valid UTF-8 is taken from a second reading as cp1252, which Spark
+    reads as latin-1 with 27 characters to replace. Rows without either name go. `file_status` tells the encoding used.
     """
 
     def reading(encoding: str) -> DataFrame:
@@ -71,7 +81,9 @@ def read_descriptions(spark: SparkSession, folder: str) -> DataFrame:
     broken = F.greatest(*[F.coalesce(F.col(c).contains(UNREADABLE), F.lit(False)) for c in names])
     bad = utf8.filter(broken).select("file").distinct()
     good = utf8.join(bad, "file", "left_anti").withColumn("file_status", F.lit("utf-8"))
-    second = reading("windows-1252").join(bad, "file", "left_semi").withColumn("file_status", F.lit("cp1252"))
+    latin, windows = _c1_table()
+    second = reading("ISO-8859-1").join(bad, "file", "left_semi").withColumn("file_status", F.lit("cp1252"))
+    second = second.withColumns({c: F.translate(c, latin, windows) for c in names})
     parts = F.split("file", "/")
     return (
         good.unionByName(second)
