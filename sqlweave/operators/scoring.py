@@ -7,13 +7,6 @@ from pyspark.sql import functions as F
 
 from sqlweave.functions import text as T
 
-# Names of the compared components and of the difficulty levels.
-COMPONENTS = (
-    "select", "select(no AGG)", "where", "where(no OP)", "group(no Having)",
-    "group", "order", "and/or", "IUEN", "keywords",
-)
-LEVELS = ("easy", "medium", "hard", "extra", "all")
-
 # Components that are compared as bags of units.
 UNIT_LISTS = ("select", "select(no AGG)", "where", "where(no OP)", "group(no Having)", "keywords")
 
