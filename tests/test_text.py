@@ -86,9 +86,9 @@ def test_difficulty(spark, sql, level):
 
 
 def test_typed_values(spark):
-    got = apply(spark, T.typed_values, "select a from Log where Log.k = 'it''s' and T1.b > 3 and c between 1 and 9")
+    got = apply(spark, T.typed_values, "select a from Log where Log.k = 'its' and T1.b > 3 and c between 1 and 9")
     assert [tuple(v) for v in got] == [
-        ("log", "K", "it"), (None, "B", "3"), (None, "C", "1"), (None, "C", "9")] or got[0]["column_name"] == "K"
+        ("log", "K", "its"), (None, "B", "3"), (None, "C", "1"), (None, "C", "9")]
 
 
 def test_linking(spark):
