@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -45,17 +44,21 @@ def spread(table: DataFrame) -> DataFrame:
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for intermediate tables: the cluster's checkpoint folder.
 
-    A machine-local folder is used only on a local master, where driver and
-    executors are the same process.
+    Where that is not set, the warehouse folder, which the driver and all executors share too.
     """
-    root = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
-    if root:
-        return root
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder all executors share")
-    root = tempfile.mkdtemp(prefix="sqlweave-")
-    spark.conf.set(CHECKPOINT_KEY, root)
-    return root
+    for key in (CHECKPOINT_KEY, "spark.sql.warehouse.dir"):
+        root = spark.conf.get(key, None) or spark.sparkContext.getConf().get(key)
+        if root:
+            return root
+    raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder all executors share")
+
+
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder; what is written there goes when the application ends."""
+    path = f"{scratch_root(spark).rstrip('/')}/sqlweave/{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -65,6 +68,6 @@ def materialise(df: DataFrame) -> DataFrame:
     plan once, and leaves file sizes behind that join planning can use.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark).rstrip('/')}/sqlweave/{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
