@@ -112,8 +112,8 @@ def search(table: DataFrame, k: int = 10, every: int = 100, settings: Settings =
     Each half of a vector is quantised on its own; a cell is a pair of half centroids and every
     row stands in one. A query walks the pairs by summed distance. Its first walk stops after
     `first_reads` * k entries, which are ranked exactly. Their k-th distance and each cell's
-    spread then tell how many nearer rows a cell may be expected to hold, and the second walk
-    stops when all cells not walked hold fewer than `expected_miss` * k. Structured vectors need
+    spread then tell how many nearer rows a cell may be expected to hold, and the second walk,
+    never shorter than the first, stops when all cells not walked hold fewer than `expected_miss` * k. Structured vectors need
     few cells; vectors without structure need most, and the walk finds out which.
 
     Cells are compared in blocks of at most `block_rows` entries and queries, so that a cell which
@@ -187,14 +187,15 @@ def search(table: DataFrame, k: int = 10, every: int = 100, settings: Settings =
                 # Squared distances in a cell: around sums + rest, spread by the residuals' direction and length.
                 spread = np.sqrt(4 * sums * rest / dims + var + 1e-18)
                 nearer = n * _normal_tail((sums + rest - bound * bound) / spread)
-                remaining = nearer.sum()
+                remaining, read = nearer.sum(), 0
                 for _, i, j in _traverse(left, right):
-                    if remaining < settings.expected_miss * k:
+                    if remaining < settings.expected_miss * k and read > settings.first_reads * k:
                         break
                     cell = i * width + j
                     if n[cell]:
                         out.append((qid, q, cell))
                     remaining -= nearer[cell]
+                    read += n[cell]
             if out:
                 yield pd.DataFrame(out, columns=["query_id", "q", "cell"])
 
