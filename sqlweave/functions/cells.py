@@ -11,17 +11,28 @@ _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _EXACT = float(2**53)
 
 
+def _double_text(number: Column) -> Column:
+    """Whole numbers as digits, so that they equal the same integer or decimal."""
+    whole = number == F.floor(number)
+    small = F.when(F.abs(number) < F.lit(_EXACT), number.cast("long").cast("string"))
+    large = F.when(F.abs(number) < F.lit(1e37), number.try_cast("decimal(38,0)").cast("string"))
+    return F.when(whole, F.coalesce(small, large, number.cast("string"))).otherwise(number.cast("string"))
+
+
 def canonical_cell(value: Column, dtype: T.DataType) -> Column:
     """Tagged text: `n:` numeric, `s:` anything else, NULL stays NULL."""
     if isinstance(dtype, _INTEGRAL):
         return F.concat(F.lit("n:"), value.cast("string"))
     if isinstance(dtype, T.BooleanType):
         return F.concat(F.lit("n:"), value.cast("int").cast("string"))
-    if isinstance(dtype, (T.DoubleType, T.FloatType, T.DecimalType)):
-        number = value.cast("double")
-        whole = (number == F.floor(number)) & (F.abs(number) < F.lit(_EXACT))
-        text = F.when(whole, number.cast("long").cast("string")).otherwise(number.cast("string"))
-        return F.concat(F.lit("n:"), text)
+    if isinstance(dtype, (T.DoubleType, T.FloatType)):
+        return F.concat(F.lit("n:"), _double_text(value.cast("double")))
+    if isinstance(dtype, T.DecimalType):
+        # What a double holds exactly is written like the double, anything else digit by digit.
+        near = value.cast("double")
+        fits = F.coalesce(near.try_cast(dtype) == value, F.lit(False))
+        digits = F.regexp_replace(F.regexp_replace(value.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+        return F.concat(F.lit("n:"), F.when(fits, _double_text(near)).otherwise(digits))
     return F.concat(F.lit("s:"), value.cast("string"))
 
 

@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 # Every character counted as white space.
 SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 # A string literal in either quote; anything tested in front of it must come later in an alternation.
-LITERAL = r"""'[^']*'|"[^"]*\""""
+# A doubled quote inside belongs to the literal.
+LITERAL = r"""'(?:[^']|'')*'|"(?:[^"]|"")*\""""
+QUOTED_NAME = r"`[^`]*`|\[[A-Za-z_][^\]]*\]"
+DOTTED_NAME = rf"\w+(?:\.(?:\w+|{QUOTED_NAME}|\*))*"
 NUMBER = r"\d+(?:\.\d+)?|\.\d+"
 
 # The slot put in place of a literal.
@@ -81,8 +84,8 @@ def fill_placeholder(sql: Column) -> Column:
 
 
 def tokens(sql: Column) -> Column:
-    """Tokens with string literals whole and two-character comparisons joined."""
-    pattern = rf"({LITERAL}|[!<>]=|<>|[\w]+(?:\.[\w]+)*|\.\d+|[^\s\w])"
+    """Tokens; literals, quoted and dotted names, `alias.*` and two-character operators are whole."""
+    pattern = rf"({LITERAL}|{QUOTED_NAME}|[!<>=]=|<>|\|\||{DOTTED_NAME}|\.\d+|[^\s\w])"
     return F.regexp_extract_all(join_operators(sql), F.lit(pattern), 1)
 
 

@@ -289,12 +289,11 @@ def vocabulary_stats(columns: DataFrame) -> DataFrame:
 
 
 def table_columns(columns: DataFrame) -> DataFrame:
-    """Columns of every table in catalog order, as comma-joined text in bounded parts.
+    """Columns of every table in catalog order, as one comma-joined text.
 
     Samples refer to it by `db_id`, so a database is listed once, not once per question.
     """
-    placed = position(columns, ["db_id", "table_name"], [F.col("col_idx")], integer_bucket(F.col("col_idx")))
-    return gather_text(placed, ["db_id", "table_name"], "pos", "column_name", ",")
+    return gather_text(columns, ["db_id", "table_name"], "col_idx", "column_name", ",")
 
 
 def linked_samples(samples: DataFrame, links: DataFrame) -> DataFrame:

@@ -119,11 +119,10 @@ SCHEMA_HEAD = "\n### Database\n-- Tables and Columns"
 
 
 def schema_texts(selection: DataFrame, keys: list[str], pos: str) -> DataFrame:
-    """Schema lines of every group, joined in `pos` order, in parts of bounded length."""
+    """Schema lines of every group, joined in `pos` order into one text."""
     columns = F.struct(*[c for c in selection.columns if c not in keys])
     lines = selection.withColumn("schema_text", column_line(columns)).select(*keys, pos, "schema_text")
-    placed = position(lines, keys, [F.col(pos), F.col("schema_text")], integer_bucket(F.col(pos)), "__place")
-    return gather_text(placed, keys, "__place", "schema_text")
+    return gather_text(lines, keys, pos, "schema_text")
 
 
 def prompt_text(question: Column, schema_text: Column, foreign_keys: Column, evidence: Column) -> Column:

@@ -22,7 +22,7 @@ from sqlweave.session import scratch_root
 
 STATUS_DDL = "query_id bigint, side string, ok boolean, timed_out boolean, exception string"
 RESULT_DDL = "query_id bigint, side string, row_idx bigint, cells array<string>"
-# Status rows written together, and the longest message kept of a failure.
+# Status rows written together.
 STATUS_BATCH = 1000
 
 SessionFor = Callable[[str | None], SparkSession]

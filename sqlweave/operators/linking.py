@@ -17,10 +17,26 @@ _QUALIFIED = r"\b(\w+)\.(\w+)\b"
 _BARE = r"(?<![\w.])([a-z_]\w*)(?![\w.(])"
 
 
+_QUOTED = r'[`"\[][^`"\[\]]*[`"\]]'
+_HELD = "quoted__"
+
+
 def _plain(sql: Column) -> Column:
-    """Lower-cased one-line text without string literals and name quotes."""
-    text = collapse_space(F.regexp_replace(F.lower(sql), r"'[^']*'", "''"))
-    return F.regexp_replace(text, r'["`\[\]]', "")
+    """Lower-cased one-line text without string literals."""
+    return collapse_space(F.regexp_replace(F.lower(sql), r"'(?:[^']|'')*'", "''"))
+
+
+def _held(text: Column) -> Column:
+    """The text with every quoted name replaced by a word that holds its number."""
+    pieces = F.split(text, _QUOTED, -1)
+    return F.array_join(F.transform(pieces, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.lit(_HELD), i - 1, p))), "")
+
+
+def _name(word: Column) -> Column:
+    """A name as it stands in the catalog: what a held word stands for, without its quotes."""
+    number = F.regexp_extract(word, rf"^{_HELD}(\d+)$", 1)
+    quoted = F.regexp_replace(F.get("__quoted", F.when(number != "", number).cast("int")), r'["`\[\]]', "")
+    return F.when(number != "", quoted).otherwise(word)
 
 
 def _parsed(queries: DataFrame) -> DataFrame:
@@ -31,19 +47,24 @@ def _parsed(queries: DataFrame) -> DataFrame:
     words = F.transform(lists, lambda x: F.split(F.regexp_replace(F.trim(x), r"\bas\b ?", ""), " "))
     refs = F.transform(
         F.filter(words, lambda w: w[0] != ""),
-        lambda w: F.struct(F.coalesce(F.get(w, F.lit(1)), w[0]).alias("alias"), w[0].alias("table_name")),
+        lambda w: F.struct(_name(F.coalesce(F.get(w, F.lit(1)), w[0])).alias("alias"), _name(w[0]).alias("table_name")),
     )
     real = F.filter(refs, lambda r: ~F.array_contains(ctes, r["table_name"]))
-    pairs = F.arrays_zip(
-        F.regexp_extract_all(text, F.lit(_QUALIFIED), 1).alias("alias"),
-        F.regexp_extract_all(text, F.lit(_QUALIFIED), 2).alias("column_name"),
+    pairs = F.transform(
+        F.arrays_zip(
+            F.regexp_extract_all(text, F.lit(_QUALIFIED), 1).alias("alias"),
+            F.regexp_extract_all(text, F.lit(_QUALIFIED), 2).alias("column_name"),
+        ),
+        lambda p: F.struct(_name(p["alias"]).alias("alias"), _name(p["column_name"]).alias("column_name")),
     )
     rest = F.regexp_replace(F.regexp_replace(text, _FROM, "from"), r"\bas \w+", "")
     return (
-        queries.withColumn("__text", _plain(F.col("sql")))
+        queries.withColumn("__plain", _plain(F.col("sql")))
+        .withColumn("__quoted", F.regexp_extract_all(F.col("__plain"), F.lit(_QUOTED), 0))
+        .withColumn("__text", _held(F.col("__plain")))
         .withColumn("__refs", F.array_distinct(real))
         .withColumn("__qualified", F.array_distinct(pairs))
-        .withColumn("__bare", F.array_distinct(F.regexp_extract_all(rest, F.lit(_BARE), 1)))
+        .withColumn("__bare", F.array_distinct(F.transform(F.regexp_extract_all(rest, F.lit(_BARE), 1), _name)))
     )
 
 

@@ -133,25 +133,14 @@ def ring_sample(
     return wanted.join(ring.drop("__size"), [group, "__place"]).drop("__place")
 
 
-def gather_text(
-    df: DataFrame, keys: list[str], pos: str, text: str, separator: str = "\n", part_lines: int = 1000
-) -> DataFrame:
-    """Join the lines of each group in `pos` order into texts of at most `part_lines` lines.
+def gather_text(df: DataFrame, keys: list[str], pos: str, text: str, separator: str = "\n") -> DataFrame:
+    """The lines of each group joined in order of `pos`, then of the lines, into one text.
 
-    `pos` is a 1-based position. A group within the limit gives one row with
-    `part` 0; a longer one gives several, which joined in `part` order by
-    `separator` are the whole text.
+    A text is one string whatever its length, so its lines have to meet in one row.
     """
-    part = F.floor((F.col(pos) - 1) / part_lines).cast("int")
     lines = F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(text).alias("t"))))
     return (
-        df.withColumn("part", part)
-        .groupBy(*keys, "part")
+        df.groupBy(*keys)
         .agg(lines.alias("__lines"))
-        .select(
-            *keys,
-            "part",
-            F.array_join(F.transform("__lines", lambda x: x["t"]), separator).alias(text),
-            F.size("__lines").alias("n_lines"),
-        )
+        .select(*keys, F.array_join(F.transform("__lines", lambda x: x["t"]), separator).alias(text), F.size("__lines").alias("n_lines"))
     )

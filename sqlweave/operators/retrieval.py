@@ -21,8 +21,8 @@ INSTRUCTION = (
 
 # Questions and documents per side of one scoring cell: 2,048 x 2,048 doubles are 32 MB.
 CELL_ROWS = 2048
-# Scores are compared at this many digits, so equal scores tie whatever the summation order.
-SCORE_DIGITS = 6
+# Differences beyond this many digits are noise of the summation order: such scores tie.
+SCORE_DIGITS = 9
 
 
 def query_text(question: Column, evidence: Column, gap: str = " ") -> Column:
@@ -83,8 +83,6 @@ def _cell_winners(
     each side, so no task ever holds a whole hot group and only k rows per question
     leave a cell. Groups that fit one cell share bins, to keep Python calls few.
     """
-    spark = questions.sparkSession
-    bins = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     asked_n = questions.groupBy(group).agg(F.count(F.lit(1)).alias("q"))
     held_n = documents.groupBy(group).agg(F.count(F.lit(1)).alias("d"))
     grid = asked_n.join(held_n, group).select(
@@ -92,6 +90,9 @@ def _cell_winners(
         F.ceil(F.col("q") / CELL_ROWS).alias("q_cells"),
         F.ceil(F.col("d") / CELL_ROWS).alias("d_cells"),
     )
+    # Small groups share bins of about one cell's rows on both sides, as many as the rows ask for.
+    rows = asked_n.join(held_n, group).agg(F.sum(F.least("q", F.lit(CELL_ROWS))), F.sum(F.least("d", F.lit(CELL_ROWS)))).first()
+    bins = max(1, *[-(-(n or 0) // CELL_ROWS) for n in rows])
     single = (F.col("q_cells") == 1) & (F.col("d_cells") == 1)
     home = F.when(single, F.pmod(F.xxhash64(group), F.lit(bins))).otherwise(F.xxhash64(group))
 

@@ -126,9 +126,9 @@ def macro_scores(components: DataFrame) -> DataFrame:
     )
 
 
-def report_grid(scores: DataFrame, metric: str, level: str, value: str, levels: list[str]) -> DataFrame:
-    """Metrics as rows, levels as columns."""
-    return scores.groupBy(metric).pivot(level, levels).agg(F.first(value))
+def report_grid(scores: DataFrame, metric: str, level: str, value: str) -> DataFrame:
+    """Metrics as rows, all levels of the data as columns; `scores` has one row for each of both."""
+    return scores.groupBy(metric).pivot(level).agg(F.first(value))
 
 
 def map_equivalent_columns(units: DataFrame, representatives: DataFrame) -> DataFrame:

@@ -21,12 +21,22 @@ def _digit(index: Column, base: Column, place: Column) -> Column:
     return F.pmod(scaled, base)
 
 
+def _power(base: Column, times: Column) -> Column:
+    """base^times in whole numbers; null beyond a long."""
+    most = (1 << 63) - 1
+    steps = F.when(times > 0, F.sequence(F.lit(1), times.cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(
+        steps, F.lit(1).cast("long"), lambda acc, _: F.when((base == 0) | (acc <= F.floor(F.lit(most) / F.greatest(base, F.lit(1))) - 1), acc * base)
+    )
+
+
 def slot_fillings(queries: DataFrame) -> DataFrame:
     """Every way to put gold literals into the slots of a prediction.
 
     `queries(query_id, sql_gt, sql_pred)`. Candidate 0 is the prediction as it stands,
     the others are all literals^slots fillings. Long series are cut into chunks that
-    different tasks write, so none is left out.
+    different tasks write, so none is left out. `n_alternatives` is exact; where it is beyond
+    a long it is null, nothing could write the fillings, and candidate 0 stands alone.
     """
     prepared = (
         queries.withColumn("gold_words", T.reformat_tokens(F.col("sql_gt")))
@@ -36,7 +46,7 @@ def slot_fillings(queries: DataFrame) -> DataFrame:
         .drop("gold_words", "pred_words")
         .withColumn("n_slots", F.size("pieces") - 1)
         .withColumn("n_values", F.size("values").cast("long"))
-        .withColumn("n_alternatives", F.pow("n_values", "n_slots").cast("long"))
+        .withColumn("n_alternatives", _power(F.col("n_values"), F.col("n_slots")))
     )
     last = F.floor((F.col("n_alternatives") - 1) / CHUNK)
     chunked = (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -73,19 +75,37 @@ def fk_partner(spark, sf):
     return C.foreign_key_partner(C.foreign_key_edges(nested_catalogs(spark, sf)))
 
 
-_SAMPLED = {"customer": ["c_name", "c_mktsegment"], "part": ["p_name", "p_brand", "p_type"], "orders": ["o_orderstatus", "o_orderpriority"]}
+# Columns of the given tables whose texts are the same in every engine; floating
+# numbers, timestamps and vectors are written differently by Spark and DuckDB.
+_SAMPLED = {
+    "region": "r_regionkey r_name",
+    "nation": "n_nationkey n_name n_regionkey",
+    "customer": "c_custkey c_name c_nationkey c_mktsegment",
+    "supplier": "s_suppkey s_name s_nationkey",
+    "part": "p_partkey p_name p_brand p_type p_size",
+    "orders": "o_orderkey o_custkey o_orderstatus o_orderpriority",
+    "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_returnflag l_linestatus",
+    "events": "event_id user_id event_type props",
+    "documents": "doc_id text lang source n_chars",
+    "embeddings": "vec_id label",
+    "pages": "page_id url html",
+    "benchmark": "item_id text",
+    "labels": "doc_id quality toxic",
+    "conversations": "conv_id turn role text",
+}
 
 
 def sample_values(spark, sf):
-    parts = [C.sample_values(load(spark, sf, t), t, columns) for t, columns in _SAMPLED.items()]
-    return parts[0].union(parts[1]).union(parts[2])
+    """Sample values of every comparable column of every table, each table read once."""
+    parts = [C.sample_values(load(spark, sf, t), t, columns.split()) for t, columns in _SAMPLED.items()]
+    return reduce(DataFrame.union, parts)
 
 
 def _sampled_sql() -> str:
     reads = [
         f"select '{t}' table_name, '{c}' column_name, {c}::varchar \"value\" from {t} group by 3"
         for t, columns in _SAMPLED.items()
-        for c in columns
+        for c in columns.split()
     ]
     return f"""with v as ({' union all '.join(reads)}),
     p as (select *, row_number() over (partition by table_name, column_name order by "value") n from v where "value" is not null),
@@ -363,7 +383,7 @@ QUERIES = {
     ),
     "table_columns": (
         table_columns,
-        f"""with {CATALOG_SQL} select db_id, table_name, 0 part, string_agg(column_name, ',' order by k) column_name,
+        f"""with {CATALOG_SQL} select db_id, table_name, string_agg(column_name, ',' order by k) column_name,
         count(*)::int n_lines from cat group by 1, 2""",
     ),
     "linked_samples": (

@@ -96,16 +96,14 @@ def prompt_render(spark, sf):
     links = materialise(_links(spark, sf))
     schema = B.schema_texts(_selection(links), ["question_id"], "pos")
     lines = C.distinct_foreign_keys(C.foreign_key_lines(catalog_plans.with_partners(spark, sf, links)))
-    placed = position(lines, ["question_id"], [F.col("pos"), F.col("fk")], integer_bucket(F.col("pos")), "n")
-    references = gather_text(placed.select("question_id", "n", "fk"), ["question_id"], "n", "fk", " | ")
+    references = gather_text(lines.select("question_id", "pos", "fk"), ["question_id"], "pos", "fk", " | ")
     asked = questions(spark, sf).select("question_id", "question", "evidence")
     whole = (
         asked.join(schema.drop("n_lines"), "question_id", "left")
-        .join(references.drop("n_lines"), ["question_id", "part"], "left")
+        .join(references.drop("n_lines"), "question_id", "left")
     )
     return whole.select(
-        "question_id", F.coalesce("part", F.lit(0)).alias("part"),
-        B.prompt_text(F.col("question"), F.col("schema_text"), F.col("fk"), F.col("evidence")).alias("prompt"),
+        "question_id", B.prompt_text(F.col("question"), F.col("schema_text"), F.col("fk"), F.col("evidence")).alias("prompt"),
     )
 
 
@@ -235,7 +233,7 @@ ln as (select l.question_id, c.k, case when c.k % 25 = 7 then c.table_name || '.
 sch as (select question_id, string_agg(line, chr(10) order by k, line) s from ln group by 1),
 fks as (select question_id, string_agg(table_name || '.' || column_name || ' = ' || foreign_key, ' | ' order by pos,
         table_name || '.' || column_name || ' = ' || foreign_key) f from sel where foreign_key is not null and not wild group by 1)
-select event_id question_id, 0 part, '### Question' || chr(10) || 'How many ' || event_type || ' events have key ' || k || '?' || chr(10)
+select event_id question_id, '### Question' || chr(10) || 'How many ' || event_type || ' events have key ' || k || '?' || chr(10)
  || chr(10) || '### Database' || chr(10) || '-- Tables and Columns' || chr(10) || s
  || case when f is not null then chr(10) || chr(10) || '-- Foreign Keys' || chr(10) || f else '' end
  || case when k % 2 = 0 then chr(10) || chr(10) || '-- Evidence' || chr(10) || 'key ' || k || ' means ' || event_type else '' end prompt

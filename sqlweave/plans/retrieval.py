@@ -191,7 +191,7 @@ def mean_contrastive_score(spark, sf):
 _TOP_SQL = f"""
 v as (select vec_id, label, embedding::double[] e from embeddings),
 u as (select vec_id, label, e, sqrt(list_dot_product(e, e)) n from v),
-s as (select q.vec_id question_id, d.vec_id doc_id, round(list_dot_product(q.e, d.e) / (q.n * d.n), 6) score
+s as (select q.vec_id question_id, d.vec_id doc_id, round(list_dot_product(q.e, d.e) / (q.n * d.n), 9) score
       from u q join u d on q.label = d.label),
 top as (select question_id, doc_id, row_number() over (partition by question_id order by score desc, doc_id)::int "rank"
         from s qualify "rank" <= {K})
@@ -213,7 +213,7 @@ def _approx_sql() -> str:
     b as (select vec_id, label, [{', '.join(codes)}] codes from u),
     x as (select vec_id, label, unnest(range(1, {BANDS + 1})) band, unnest(codes) code from b),
     cand as (select distinct q.vec_id question_id, d.vec_id doc_id from x q join x d using (label, band, code)),
-    s as (select question_id, doc_id, round(list_dot_product(q.e, d.e) / (q.n * d.n), 6) score from cand
+    s as (select question_id, doc_id, round(list_dot_product(q.e, d.e) / (q.n * d.n), 9) score from cand
           join u q on q.vec_id = question_id join u d on d.vec_id = doc_id),
     near as (select question_id, doc_id, row_number() over (partition by question_id order by score desc, doc_id)::int "rank"
              from s qualify "rank" <= {K})"""
@@ -246,7 +246,7 @@ qv as (select db_id, question_id, dim, count(*) * any_value(w) x from qq join al
 qn as (select question_id, sqrt(sum(x * x)) n from qv group by 1),
 pairs as (select q.question_id, d.doc_id from asked q join docs d using (db_id)),
 dots as (select q.question_id, d.doc_id, sum(q.x * d.x) s from qv q join dv d using (db_id, dim) group by 1, 2),
-s as (select p.question_id, p.doc_id, round(coalesce(s, 0) / (qn.n * dn.n), 6) score from pairs p left join dots using (question_id, doc_id)
+s as (select p.question_id, p.doc_id, round(coalesce(s, 0) / (qn.n * dn.n), 9) score from pairs p left join dots using (question_id, doc_id)
       join qn on qn.question_id = p.question_id join dn on dn.doc_id = p.doc_id),
 top as (select question_id, doc_id, row_number() over (partition by question_id order by score desc, doc_id) r from s qualify r <= 10),
 g as (select question_id, table_name, min(r) best, string_agg(column_name, ',' order by r) "columns" from top join docs using (doc_id) group by 1, 2)
@@ -279,7 +279,7 @@ QUERIES = {
     "approx_recall": (
         approx_recall,
         f"""with {_approx_sql()}, s2 as (select q.vec_id question_id, d.vec_id doc_id, q.label,
-        round(list_dot_product(q.e, d.e) / (q.n * d.n), 6) score from u q join u d on q.label = d.label),
+        round(list_dot_product(q.e, d.e) / (q.n * d.n), 9) score from u q join u d on q.label = d.label),
         top as (select question_id, doc_id, label, row_number() over (partition by question_id order by score desc, doc_id) r from s2 qualify r <= {K}),
         rec as (select t.question_id, t.label, sum((n.doc_id is not null)::int) / count(*) recall from top t
                 left join near n on n.question_id = t.question_id and n.doc_id = t.doc_id group by 1, 2)

@@ -112,7 +112,7 @@ def report_pivot(spark, sf):
     graded = load(spark, sf, "labels").join(load(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
     long = graded.select("lang", F.explode(F.create_map(F.lit("quality"), "quality", F.lit("toxic"), "toxic")).alias("metric", "x"))
     means = long.groupBy("lang", "metric").agg(F.round(F.avg("x"), 6).alias("score"))
-    return S.report_grid(means, "metric", "lang", "score", ["de", "en", "es", "fr"])
+    return S.report_grid(means, "metric", "lang", "score")
 
 
 def _text_pairs(spark: SparkSession, sf: str) -> DataFrame:

@@ -73,8 +73,9 @@ def _filled_sql(shift: int) -> str:
 TEXTS_SQL = f"texts as (select event_id, {_filled_sql(0)} sql, {_filled_sql(1)} other from events)"
 
 _SP = T.SPACE
-_LIT = "''[^'']*''|\"[^\"]*\""
-_TOKEN = f"({_LIT}|[!<>]=|<>|[\\w]+(?:\\.[\\w]+)*|\\.\\d+|[^\\s\\w])"
+_LIT = "''(?:[^'']|'''')*''|\"(?:[^\"]|\"\")*\""
+_NAME = "`[^`]*`|\\[[A-Za-z_][^\\]]*\\]"
+_TOKEN = f"({_LIT}|{_NAME}|[!<>=]=|<>|\\|\\||\\w+(?:\\.(?:\\w+|{_NAME}|\\*))*|\\.\\d+|[^\\s\\w])"
 
 
 def _ops_sql(x: str) -> str:

@@ -31,11 +31,10 @@ def test_ring_sample_is_distinct_and_exact_in_size(spark):
     assert set(sizes.values()) == {(5, 5)} and len(sizes) == 50
 
 
-def test_gather_text_splits_long_groups(spark):
-    df = spark.range(1, 26).select(F.lit("k").alias("k"), F.col("id").alias("pos"), F.col("id").cast("string").alias("t"))
-    parts = ranking.gather_text(df, ["k"], "pos", "t", ",", part_lines=10).orderBy("part").collect()
-    assert [p["n_lines"] for p in parts] == [10, 10, 5]
-    assert ",".join(p["t"] for p in parts) == ",".join(str(i) for i in range(1, 26))
+def test_gather_text_keeps_a_long_group_whole(spark):
+    df = spark.range(1, 1501).select(F.lit("k").alias("k"), F.col("id").alias("pos"), F.col("id").cast("string").alias("t"))
+    (whole,) = ranking.gather_text(df.repartition(3), ["k"], "pos", "t", ",").collect()
+    assert whole["n_lines"] == 1500 and whole["t"] == ",".join(str(i) for i in range(1, 1501))
 
 
 def test_sessions(spark):

@@ -146,3 +146,48 @@ def test_truncation_and_mask(spark):
         B.keep_last(F.col("ids"), 2), B.keep_last(F.col("ids"), 5), B.keep_first(F.col("ids"), 2), B.mask_prompt(F.col("ids"), F.lit(2))
     ).first()
     assert list(row) == [[2, 3], [1, 2, 3], [1, 2], [-100, -100, 3]]
+
+
+def test_tokens_keep_quoted_names_and_operators_whole(spark):
+    texts = {
+        "select 'it''s', \"a\"\"b\" from t": ["select", "'it''s'", ",", '"a""b"', "from", "t"],
+        "a || b == c <> d": ["a", "||", "b", "==", "c", "<>", "d"],
+        "T1.`County Name` = `my col`": ["T1.`County Name`", "=", "`my col`"],
+        "select t4.*, [my col]": ["select", "t4.*", ",", "[my col]"],
+    }
+    df = spark.createDataFrame([(t,) for t in texts], "sql string").select("sql", T.tokens(F.col("sql")).alias("t"))
+    assert {r["sql"]: r["t"] for r in df.collect()} == texts
+
+
+def test_quoted_names_link_to_columns(spark):
+    columns = spark.createDataFrame(
+        [("d", "Schools", "County Name"), ("d", "Schools", "Free Meal Count (K-12)"), ("d", "Schools", "Id"), ("d", "My Table", "a b")],
+        "db_id string, table_name string, column_name string",
+    )
+    queries = spark.createDataFrame(
+        [(1, "d", "SELECT T1.`County Name`, `Free Meal Count (K-12)` FROM Schools AS T1 WHERE T1.Id = 'id'"), (2, "d", 'select [a b] from "My Table"')],
+        "question_id bigint, db_id string, sql string",
+    )
+    got = {(r["question_id"], r["column_name"]) for r in linking.used_columns(queries, columns).collect()}
+    assert got == {(1, "County Name"), (1, "Free Meal Count (K-12)"), (1, "Id"), (2, "a b")}
+
+
+def test_more_fillings_than_can_be_counted_do_not_end_the_job(spark):
+    many = " and ".join(f"a = {i}" for i in range(21))
+    rows = [(1, many, many), (2, "a = 1 or a = 2", "b = 3"), (3, "a = b", "a = 1"), (4, "a = 1", "a = b")]
+    out = slots.slot_fillings(spark.createDataFrame(rows, "query_id bigint, sql_gt string, sql_pred string")).collect()
+    assert [r["cand_idx"] for r in out if r["query_id"] == 1] == [0]
+    assert {r["query_id"]: r["n_alternatives"] for r in out} == {1: None, 2: 2, 3: 0, 4: 1}
+    assert sorted(r["sql"] for r in out if r["query_id"] == 2) == ["b = 1", "b = 2", "b = 3"]
+
+
+def test_cells_of_large_and_long_numbers(spark):
+    from sqlweave.functions.cells import row_cells
+
+    df = spark.sql(
+        "select 9007199254740992L a, 9007199254740992d b, cast(1e22 as double) c, cast('10000000000000000000000' as decimal(38,0)) d, "
+        "cast('12345678901234567890.12' as decimal(22,2)) e, cast('12345678901234567890.13' as decimal(22,2)) f, "
+        "cast('5.10' as decimal(10,2)) g, 5.1d h, cast('7.00' as decimal(10,2)) i, 7 j, cast('0.00001' as decimal(9,5)) k, 1e-5d l"
+    )
+    a, b, c, d, e, f, g, h, i, j, k, l = df.select(row_cells(df).alias("c")).first()["c"]
+    assert a == b and c == d and e != f and g == h and i == j and k == l
