@@ -117,7 +117,8 @@ def search(table: DataFrame, k: int = 10, every: int = 100, settings: Settings =
     few cells; vectors without structure need most, and the walk finds out which.
 
     Cells are compared in blocks of at most `block_rows` entries and queries, so that a cell which
-    holds a third of all rows is many tasks. Each block hands on k rows per query.
+    holds a third of all rows is many tasks. A block hands on at most k rows per query, in the second
+    walk only those within the k-th distance of the first.
 
     Rows take part as `usable_vectors` says; vectors of another length than the most rows have
     are compared with none. A query never finds itself, by id; of rows with one id the
@@ -170,12 +171,12 @@ def search(table: DataFrame, k: int = 10, every: int = 100, settings: Settings =
                 for _, i, j in _traverse(left[0], right[0]):
                     cell = i * width + j
                     if n[cell]:
-                        out.append((qid, q, cell))
+                        out.append((qid, q, cell, np.inf))
                         read += n[cell]
                     if read > settings.first_reads * k:
                         break
             if out:
-                yield pd.DataFrame(out, columns=["query_id", "q", "cell"])
+                yield pd.DataFrame(out, columns=["query_id", "q", "cell", "bound"])
 
     def second_walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         n, rest, var = (stats.value[x] for x in ("n", "rest", "var"))
@@ -193,11 +194,11 @@ def search(table: DataFrame, k: int = 10, every: int = 100, settings: Settings =
                         break
                     cell = i * width + j
                     if n[cell]:
-                        out.append((qid, q, cell))
+                        out.append((qid, q, cell, bound))
                     remaining -= nearer[cell]
                     read += n[cell]
             if out:
-                yield pd.DataFrame(out, columns=["query_id", "q", "cell"])
+                yield pd.DataFrame(out, columns=["query_id", "q", "cell", "bound"])
 
     def compare(_: tuple, asked: pd.DataFrame, held_rows: pd.DataFrame) -> pd.DataFrame:
         parts = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})]
@@ -212,11 +213,12 @@ def search(table: DataFrame, k: int = 10, every: int = 100, settings: Settings =
                 near = np.argpartition(rough, take - 1, axis=1)[:, :take]
                 # Ties at the cut: everything as near as the last one kept, up to rounding, is looked at.
                 edge = np.take_along_axis(rough, near, 1).max(1)
-                for row, qid in enumerate(piece["query_id"]):
+                for row, (qid, bound) in enumerate(zip(piece["query_id"], piece["bound"])):
                     limit = edge[row] if np.isfinite(edge[row]) else np.finfo(float).max
                     at = np.flatnonzero(rough[row] <= limit * (1 + 1e-9) + 1e-12)
                     at = at[ids[at] != qid]
                     score = np.sqrt(((x[at] - q[row]) ** 2).sum(1))
+                    at, score = at[score <= bound], score[score <= bound]
                     order = np.lexsort((ids[at], score))[:k]
                     parts.append(pd.DataFrame({"query_id": qid, "vec_id": ids[at][order], "score": score[order]}))
         return pd.concat(parts, ignore_index=True)
@@ -227,14 +229,14 @@ def search(table: DataFrame, k: int = 10, every: int = 100, settings: Settings =
         met = materialise(asked.groupBy("cell").agg(pieces.alias("pieces")).join(sizes, "cell"))
         up_to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1))
         piece = F.pmod(F.xxhash64("query_id"), F.col("pieces"))
-        left = asked.join(met, "cell").select("query_id", "q", "cell", piece.alias("piece"), up_to("blocks").alias("chunk"))
+        left = asked.join(met, "cell").select("query_id", "q", "bound", "cell", piece.alias("piece"), up_to("blocks").alias("chunk"))
         right = entries.join(met, "cell").select("id", "v", "cell", "chunk", up_to("pieces").alias("piece"))
         block = ["cell", "chunk", "piece"]
         found = left.groupBy(*block).cogroup(right.groupBy(*block)).applyInPandas(compare, "query_id long, vec_id long, score double")
         place = Window.partitionBy("query_id").orderBy("score", "vec_id")
         return found.withColumn("rank", F.row_number().over(place)).filter(F.col("rank") <= k)
 
-    walk_ddl = "query_id long, q array<double>, cell long"
+    walk_ddl = "query_id long, q array<double>, cell long, bound double"
     near = materialise(ranked(queries.mapInPandas(first_walk, walk_ddl)))
     reach = near.groupBy("query_id").agg(F.max(F.when(F.col("rank") == k, F.col("score"))).alias("bound"))
     bounded = queries.join(reach, "query_id", "left").select("query_id", "q", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
