@@ -17,20 +17,25 @@ from zlib import crc32
 
 import numpy as np
 
-BLOCK_IDS = 4096
+BLOCK_IDS = 2048
 MAGIC = b"TKM1"
 HEADER = struct.Struct("<4sIIII")  # magic, classes, ids, 16-bit words, crc32 of the ids
 
-_TOTAL_BITS, _CDF_BITS = 16, 15
+_TOTAL_BITS, _CDF_BITS = 16, 14
 _TOP, _LOW_BITS, _WORD = 48, 32, 16
 _TABLE_1, _TABLE_2 = 10, 11  # bits of the slots of the order-1 and order-2 tables
-_FLOOR, _RATE, _MOST = 64, 5, 63000  # least share of a class, rate of adaptation, most that guesses get together
+_FLOOR, _RATE, _MOST = 64, 4, 62000  # least share of a class, rate of adaptation, most that guesses get together
 
 
 def classes_for(vocabulary: int) -> int:
     return max(1, int(vocabulary).bit_length())
 
 
+def _kinds(classes: int) -> np.ndarray:
+    """The magnitude class of every id: the bit length of id + 1, less one."""
+    return np.frexp((np.arange(1 << classes) + 1).astype(float))[1].astype(np.int64) - 1
+
+
 class _Model:
     """The models of all blocks of a frame; `a` is the number of blocks still going on."""
 
@@ -42,11 +47,14 @@ class _Model:
         self.weight_1 = np.full(lanes * 16, 4096, np.int32)
         self.weight_2 = np.full(lanes * 16, 8192, np.int32)
         self.classes = classes
-        steps = np.arange(classes + 1)
-        self.cdf = np.tile(((steps << _CDF_BITS) // classes).astype(np.int32), (lanes, 1))
-        low, high = steps * _FLOOR, (1 << _CDF_BITS) - (classes - steps) * _FLOOR
-        self.targets = np.where(steps[None, :] <= np.arange(classes)[:, None], low, high).astype(np.int32)
-        self.row = lane * (classes + 1)
+        # Cumulative shares of the classes, a row for each bound and a column for each block.
+        steps = np.arange(classes + 1, dtype=np.int16)
+        self.cdf = np.tile(((steps.astype(np.int64) << _CDF_BITS) // classes).astype(np.int16)[:, None], lanes)
+        self.change = np.empty_like(self.cdf)
+        self.steps, self.low = steps[:, None], (steps * _FLOOR)[:, None]
+        self.gap = np.int16((1 << _CDF_BITS) - classes * _FLOOR)
+        self.lane = lane
+        self.lanes = lanes
         self.last_1 = np.zeros(lanes, np.int64)
         self.last_2 = np.zeros(lanes, np.int64)
 
@@ -64,6 +72,16 @@ class _Model:
         s2 = np.where(same, self.w1 + self.w2, self.w2).astype(np.int64)
         return g1, g2, s1, s2, (1 << _TOTAL_BITS) - s1 - s2
 
+    def bounds(self, a: int, kind: np.ndarray, s0: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the shares of the classes `kind` begin and end within the share of order 0."""
+        at, flat = kind * self.lanes + self.lane[:a], self.cdf.reshape(-1)
+        return s0 * flat[at] >> _CDF_BITS, s0 * flat[at + self.lanes] >> _CDF_BITS
+
+    def class_at(self, a: int, place: np.ndarray, s0: np.ndarray) -> np.ndarray:
+        """The class in whose bounds a place within the share of order 0 lies."""
+        limit = np.clip(((place + 1 << _CDF_BITS) - 1) // s0, 0, (1 << _CDF_BITS) - 1).astype(np.int16)
+        return (self.cdf[1:, :a] <= limit).view(np.int8).sum(0, dtype=np.int8).astype(np.int64)
+
     def learn(self, a: int, ids: np.ndarray, kind: np.ndarray, hit_1: np.ndarray, hit_2: np.ndarray) -> None:
         for entry, slot, hit, table in ((self.entry_1, self.slot_1, hit_1, self.table_1), (self.entry_2, self.slot_2, hit_2, self.table_2)):
             sure = entry & 3
@@ -72,8 +90,13 @@ class _Model:
         first = hit_1 & ~hit_2
         self.weight_2[self.context] = self.w2 + np.where(hit_2, _MOST - self.w2 >> _RATE, -(self.w2 >> _RATE))
         self.weight_1[self.context] = self.w1 + np.where(first, _MOST - self.w1 >> _RATE, -(self.w1 >> _RATE))
-        cdf = self.cdf[:a]
-        cdf += (self.targets[kind] - cdf) >> _RATE
+        # Towards all shares but the least ones in the class that came.
+        cdf, change = self.cdf[:, :a], self.change[:, :a]
+        np.multiply(self.steps > kind.astype(np.int16), self.gap, out=change)
+        change += self.low
+        change -= cdf
+        change >>= _RATE
+        cdf += change
         self.last_2[:a] = self.last_1[:a]
         self.last_1[:a] = ids
 
@@ -89,7 +112,7 @@ def encode(ids: np.ndarray, vocabulary: int, block_ids: int = BLOCK_IDS) -> list
     steps = np.ascontiguousarray(padded.reshape(lanes, block_ids).T)
     sizes = np.full(lanes, block_ids)
     sizes[-1] = n - (lanes - 1) * block_ids
-    kinds = np.frexp((np.arange(1 << classes) + 1).astype(float))[1] - 1  # bit length of id + 1, less one
+    kinds = _kinds(classes)
     model = _Model(lanes, classes)
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 1 << _TOP, np.uint64)
     room = block_ids * 2 + 4
@@ -109,10 +132,9 @@ def encode(ids: np.ndarray, vocabulary: int, block_ids: int = BLOCK_IDS) -> list
         g1, g2, s1, s2, s0 = model.guess(a)
         hit_1, hit_2 = x == g1, x == g2
         kind = kinds[x]
-        at = model.row[:a] + kind
-        flat = model.cdf.reshape(-1)
-        begin = s2 + s1 + (s0 * flat[at] >> _CDF_BITS)
-        end = s2 + s1 + (s0 * flat[at + 1] >> _CDF_BITS)
+        begin, end = model.bounds(a, kind, s0)
+        begin += s1 + s2
+        end += s1 + s2
         first = hit_1 & ~hit_2
         begin = np.where(hit_2, 0, np.where(first, s2, begin))
         end = np.where(hit_2, s2, np.where(first, s2 + s1, end))
@@ -176,7 +198,7 @@ def decode(blocks: list[bytes]) -> np.ndarray:
     shifts = [np.uint64(s) for s in (_LOW_BITS, _WORD, 0)]
     code = (words[:, 0] << shifts[0]) | (words[:, 1] << shifts[1]) | words[:, 2]
     used, span = np.full(lanes, 3, np.int64), np.full(lanes, 1 << _TOP, np.uint64)
-    model = _Model(lanes, classes)
+    model, kinds = _Model(lanes, classes), _kinds(classes)
     out = np.zeros((int(sizes[0]), lanes), np.int64)
 
     def settle(a: int) -> None:
@@ -192,11 +214,10 @@ def decode(blocks: list[bytes]) -> np.ndarray:
         unit = span[:a] >> np.uint64(_TOTAL_BITS)
         value = np.minimum(code[:a] // unit, np.uint64((1 << _TOTAL_BITS) - 1)).astype(np.int64)
         in_2, in_12 = value < s2, value < s2 + s1
-        bounds = (s2 + s1)[:, None] + (s0[:, None] * model.cdf[:a] >> _CDF_BITS)
-        kind = np.clip((bounds[:, 1:] <= value[:, None]).sum(1), 0, classes - 1)
-        lane = np.arange(a)
-        begin = np.where(in_2, 0, np.where(in_12, s2, bounds[lane, kind]))
-        end = np.where(in_2, s2, np.where(in_12, s2 + s1, bounds[lane, kind + 1]))
+        kind = model.class_at(a, value - s1 - s2, s0)
+        begin, end = model.bounds(a, kind, s0)
+        begin = np.where(in_2, 0, np.where(in_12, s2, begin + s1 + s2))
+        end = np.where(in_2, s2, np.where(in_12, s2 + s1, end + s1 + s2))
         code[:a] -= unit * begin.astype(np.uint64)
         span[:a] = unit * (end - begin).astype(np.uint64)
         settle(a)
@@ -207,8 +228,7 @@ def decode(blocks: list[bytes]) -> np.ndarray:
         code[:a] -= span[:a] * place
         settle(a)
         x = np.where(in_2, g2, np.where(in_12, g1, (1 << kind) - 1 + place.astype(np.int64))).astype(np.int64)
-        kind = np.frexp((x + 1).astype(float))[1] - 1
-        model.learn(a, x, np.minimum(kind, classes - 1), x == g1, x == g2)
+        model.learn(a, x, kinds[x], x == g1, x == g2)
         out[t, :a] = x
     found: list[np.ndarray] = [np.empty(0)] * lanes
     for lane, i in enumerate(order):

@@ -16,10 +16,10 @@ from sqlweave.llm import rangecoder
 from sqlweave.session import scratch_path
 
 # Ids that a frame holds at least, but for the last of a partition; frames in one file at most.
-FRAME_IDS = 2048 * rangecoder.BLOCK_IDS
+FRAME_IDS = 4096 * rangecoder.BLOCK_IDS
 FRAMES_PER_FILE = 8
-# Words whose ids a worker keeps at most; the store is emptied when it is full.
-KEPT_WORDS = 400_000
+# Words in each of the two generations of a worker's store of ids.
+KEPT_WORDS = 600_000
 
 FRAME_DDL = "part int, frame int, n_ids long, doc_id array<long>, n_tokens array<long>, blocks binary"
 _ODD_SPACE = re.compile(r"^ |\s | \s| $")
@@ -40,27 +40,31 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @staticmethod
     def pieces(text: str) -> list[str]:
         if _ODD_SPACE.search(text):
             return _BETWEEN.split(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + piece for piece in rest]]
+        if "\0" in text:
+            return _BETWEEN.split(text)
+        return text.replace(" ", "\0 ").split("\0")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text as little-endian unsigned 32-bit integers."""
         cut = [self.pieces(t) for t in texts]
-        new = list({p for pieces in cut for p in pieces if p not in self.known})
+        met = set().union(*cut)
+        new = list(met - self.known.keys())
         if len(self.known) + len(new) > KEPT_WORDS:
-            self.known.clear()
-            new = list({p for pieces in cut for p in pieces})
+            self.known, self.older = {}, self.known
+            new = list(met)
+        self.known.update((p, self.older[p]) for p in new if p in self.older)
+        new = [p for p in new if p not in self.known]
         for start in range(0, len(new), 10000):
             some = new[start : start + 10000]
             for piece, found in zip(some, self.tokenizer.encode_batch(some, add_special_tokens=False)):
                 self.known[piece] = np.array(found.ids, "<u4").tobytes()
-        known = self.known
-        return [b"".join([known[p] for p in pieces]) for pieces in cut]
+        return [b"".join(map(self.known.__getitem__, pieces)) for pieces in cut]
 
 
 _encoders: dict[str, Encoder] = {}
