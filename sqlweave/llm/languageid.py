@@ -93,10 +93,12 @@ def train(labelled: DataFrame, settings: Settings = Settings()) -> Filters:
     the driver holds one word per slot and 64 languages.
     """
     usable = labelled.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
-    sizes = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    # One row per language, so that sampling shuffles no texts by language.
+    sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    shares = labelled.sparkSession.createDataFrame([(k, settings.sample_docs / n) for k, n in sizes.items()], "lang string, share double")
     place = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11) / float(1 << 53)
     sample = (
-        usable.join(sizes, "lang").filter(place < F.lit(float(settings.sample_docs)) / F.col("n")).select("lang", "text").distinct()
+        usable.join(F.broadcast(shares), "lang").filter(place < F.col("share")).select("lang", "text").distinct()
     )
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -111,7 +113,7 @@ def train(labelled: DataFrame, settings: Settings = Settings()) -> Filters:
     rated = counts.join(totals, "lang").withColumn("rate", F.col("n") / F.col("total"))
     peaks = rated.groupBy("gram").agg(F.max("rate").alias("peak"))
     typical = rated.join(peaks, "gram").filter((F.col("rate") >= settings.rate_part * F.col("peak")) & (F.col("n") >= settings.min_count))
-    languages = sorted(r["lang"] for r in sizes.select("lang").collect())  # one row per language
+    languages = sorted(sizes)
     words = max(1, -(-len(languages) // 64))
     slices = np.zeros((words, 1 << settings.slot_bits), np.uint64)
     if languages:

@@ -107,7 +107,7 @@ def encode(ids: np.ndarray, vocabulary: int, block_ids: int = BLOCK_IDS) -> list
     lanes = -(-n // block_ids)
     if not lanes:
         return []
-    padded = np.zeros(lanes * block_ids, np.int64)
+    padded = np.zeros(lanes * block_ids, np.uint32)
     padded[:n] = ids
     steps = np.ascontiguousarray(padded.reshape(lanes, block_ids).T)
     sizes = np.full(lanes, block_ids)
@@ -128,7 +128,7 @@ def encode(ids: np.ndarray, vocabulary: int, block_ids: int = BLOCK_IDS) -> list
 
     for t in range(int(sizes[0])):
         a = lanes if t < sizes[-1] else lanes - 1
-        x = steps[t, :a]
+        x = steps[t, :a].astype(np.int64)
         g1, g2, s1, s2, s0 = model.guess(a)
         hit_1, hit_2 = x == g1, x == g2
         kind = kinds[x]

@@ -16,10 +16,10 @@ from sqlweave.llm import rangecoder
 from sqlweave.session import scratch_path
 
 # Ids that a frame holds at least, but for the last of a partition; frames in one file at most.
-FRAME_IDS = 4096 * rangecoder.BLOCK_IDS
+FRAME_IDS = 2048 * rangecoder.BLOCK_IDS
 FRAMES_PER_FILE = 8
 # Words in each of the two generations of a worker's store of ids.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 300_000
 
 FRAME_DDL = "part int, frame int, n_ids long, doc_id array<long>, n_tokens array<long>, blocks binary"
 _ODD_SPACE = re.compile(r"^ |\s | \s| $")
