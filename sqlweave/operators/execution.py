@@ -7,7 +7,9 @@ executors to the shared folder, and only one status row per statement comes back
 
 from __future__ import annotations
 
+import re
 import threading
+import time
 import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
@@ -17,16 +19,55 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from sqlweave.functions.cells import row_cells
+from sqlweave.functions.text import FIXED_YEAR
 from sqlweave.operators import denotation as D
 from sqlweave.session import scratch_root
 
-STATUS_DDL = "query_id bigint, side string, ok boolean, timed_out boolean, exception string"
+STATUS_DDL = "query_id bigint, side string, ok boolean, timed_out boolean, exception string, seconds double"
 RESULT_DDL = "query_id bigint, side string, row_idx bigint, cells array<string>"
 # Status rows written together.
 STATUS_BATCH = 1000
 
 SessionFor = Callable[[str | None], SparkSession]
 
+_QUOTED = re.compile(r"""('(?:[^']|'')*'|"(?:[^"]|"")*"|`[^`]*`)""")
+_SPLIT_OPERATOR = re.compile(r"([<>!]) =")
+_CURRENT_YEAR = re.compile(r"\bYEAR\s*\(\s*CURDATE\s*\(\s*\)\s*\)", re.I)
+_LIKE = re.compile(r"\bLIKE\b", re.I)
+_QUOTIENT = re.compile(r"(?<![\w.])((?:\w+\.)?\w+)\s*/\s*((?:\w+\.)?\w+)(?![\w.(])")
+
+
+def integral_columns(session: SparkSession) -> set[str]:
+    """Lower-cased column names that are whole numbers in every table of the session that has them."""
+    whole, other = set(), set()
+    for table in session.catalog.listTables():
+        for name, kind in session.table(table.name).dtypes:
+            (whole if kind in ("tinyint", "smallint", "int", "bigint") else other).add(name.lower())
+    return whole - other
+
+
+def compatible(sql: str, integral: Callable[[], set[str]] = set) -> str:
+    """A statement as Spark has to read it, changed by text only and never inside quotes.
+
+    Comparison operators split by a space are joined, the current year is the fixed one, LIKE
+    ignores case, and a quotient of two whole numbers or whole-number columns is a whole number.
+    A quotient that stands behind another product, or whose types the text cannot tell, stays.
+    """
+
+    def is_whole(operand: str) -> bool:
+        return operand.isdigit() or operand.rpartition(".")[2].lower() in integral()
+
+    def quotient(m: re.Match) -> str:
+        alone = m.string[: m.start()].rstrip()[-1:] not in ("*", "/", "%", ")")
+        return f"{m[1]} div {m[2]}" if alone and is_whole(m[1]) and is_whole(m[2]) else m[0]
+
+    def plain(part: str) -> str:
+        part = _SPLIT_OPERATOR.sub(r"\1=", part)
+        part = _CURRENT_YEAR.sub(FIXED_YEAR, part)
+        return _QUOTIENT.sub(quotient, _LIKE.sub("ILIKE", part))
+
+    return "".join(part if i % 2 else plain(part) for i, part in enumerate(_QUOTED.split(sql)))
+
 
 def _run(session: SparkSession, row: Row, path: str, timeout: float) -> tuple:
     """Run one statement under a job tag; a timer cancels its jobs when time is up."""
@@ -42,18 +83,19 @@ def _run(session: SparkSession, row: Row, path: str, timeout: float) -> tuple:
     context.addJobTag(tag)
     context.setInterruptOnCancel(True)
     timer.start()
+    started = time.monotonic()
     try:
-        result = session.sql(row["sql"].rstrip().rstrip(";"))
+        result = session.sql(compatible(row["sql"].rstrip().rstrip(";"), lambda: integral_columns(session)))
         result.select(
             F.lit(row["query_id"]).cast("long").alias("query_id"),
             F.lit(row["side"]).alias("side"),
             F.monotonically_increasing_id().alias("row_idx"),
             row_cells(result).alias("cells"),
         ).write.parquet(path)
-        return (row["query_id"], row["side"], not expired.is_set(), expired.is_set(), None)
+        return (row["query_id"], row["side"], not expired.is_set(), expired.is_set(), None, time.monotonic() - started)
     except Exception as error:  # any failure of the user's query is a result, not our error
         message = None if expired.is_set() else str(error)
-        return (row["query_id"], row["side"], False, expired.is_set(), message)
+        return (row["query_id"], row["side"], False, expired.is_set(), message, time.monotonic() - started)
     finally:
         timer.cancel()
         context.removeJobTag(tag)
@@ -65,7 +107,7 @@ def run_statements(
     workers: int = 4,
     session_for: SessionFor | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Results (query_id, side, row_idx, cells) and status of every statement.
+    """Results (query_id, side, row_idx, cells) and status, with the seconds taken, of every statement.
 
     `statements(query_id, side, db_id, sql)`. Rows are fetched partition by partition
     and at most a few per worker wait, so a long list never sits on the driver whole.

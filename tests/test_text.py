@@ -191,3 +191,29 @@ def test_cells_of_large_and_long_numbers(spark):
     )
     a, b, c, d, e, f, g, h, i, j, k, l = df.select(row_cells(df).alias("c")).first()["c"]
     assert a == b and c == d and e != f and g == h and i == j and k == l
+
+
+def test_statements_are_made_compatible_outside_quotes():
+    from sqlweave.operators.execution import compatible
+
+    whole = lambda: {"n", "m"}
+    same = {
+        "select a from t where b like 'x > = like%'": "select a from t where b ILIKE 'x > = like%'",
+        "where n > = 5 and m ! = 3": "where n >= 5 and m != 3",
+        "where y = YEAR(CURDATE()) and z = 'YEAR(CURDATE())'": "where y = 2020 and z = 'YEAR(CURDATE())'",
+        "select n/2, t.n / m, x/2, 2.5 / n, 3 * n / 2, (n) / 2, n / f(m)": "select n div 2, t.n div m, x/2, 2.5 / n, 3 * n / 2, (n) / 2, n / f(m)",
+        "select `a / b`, \"n/2\" from t": "select `a / b`, \"n/2\" from t",
+    }
+    assert {sql: compatible(sql, whole) for sql in same} == same
+
+
+def test_statements_run_as_users_wrote_them(spark):
+    from sqlweave.operators.execution import run_statements
+
+    spark.createDataFrame([(5, "ABC"), (4, "xyz")], "n_whole int, s_text string").createOrReplaceTempView("compat_t")
+    texts = ["select n_whole from compat_t where s_text like 'ab%'", "select n_whole/2 from compat_t where n_whole > = 5", "select n_whole from compat_t where 2020 = YEAR(CURDATE())"]
+    rows = [(i, "pred", "d", t) for i, t in enumerate(texts)]
+    results, status = run_statements(spark.createDataFrame(rows, "query_id bigint, side string, db_id string, sql string"))
+    assert all(r["ok"] and r["seconds"] > 0 for r in status.collect())
+    got = sorted((r["query_id"], r["cells"][0]) for r in results.collect())
+    assert got == [(0, "n:5"), (1, "n:2"), (2, "n:4"), (2, "n:5")]
