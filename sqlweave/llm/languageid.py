@@ -143,6 +143,8 @@ def identify(documents: DataFrame, filters: Filters, text: str = "text") -> Data
     def predicted(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([held.value.predict(t) for t in texts], columns=["lang_pred", "score"])
 
+    # Else a later filter on the prediction would run it a second time, in a second Python worker.
+    predicted = predicted.asNondeterministic()
     return documents.select(*[F.col(f"`{c}`") for c in kept], predicted(F.col(f"`{text}`").cast("string")).alias("__p")).select(
         *[F.col(f"`{c}`") for c in kept], "__p.lang_pred", "__p.score"
     )
