@@ -110,6 +110,7 @@ def encode(ids: np.ndarray, vocabulary: int, block_ids: int = BLOCK_IDS) -> list
     padded = np.zeros(lanes * block_ids, np.uint32)
     padded[:n] = ids
     steps = np.ascontiguousarray(padded.reshape(lanes, block_ids).T)
+    del padded
     sizes = np.full(lanes, block_ids)
     sizes[-1] = n - (lanes - 1) * block_ids
     kinds = _kinds(classes)
@@ -185,21 +186,22 @@ def decode(blocks: list[bytes]) -> np.ndarray:
     Blocks may be taken out of a frame and decoded alone or in another order.
     """
     if not blocks:
-        return np.empty(0, np.int64)
+        return np.empty(0, np.int32)
     heads = [HEADER.unpack_from(b) for b in blocks]
     if len({h[1] for h in heads}) > 1:
         raise ValueError("blocks of different vocabularies")
     order = sorted(range(len(blocks)), key=lambda i: -heads[i][2])  # longer blocks first: those still going on stand together
     lanes, classes = len(blocks), heads[0][1]
     sizes = np.array([heads[i][2] for i in order])
-    words = np.zeros((lanes, max(h[3] for h in heads) + 4), np.uint64)
+    words = np.zeros((lanes, max(h[3] for h in heads) + 4), np.uint16)
     for lane, i in enumerate(order):
         words[lane, : heads[i][3]] = np.frombuffer(blocks[i], "<u2", heads[i][3], HEADER.size)
     shifts = [np.uint64(s) for s in (_LOW_BITS, _WORD, 0)]
-    code = (words[:, 0] << shifts[0]) | (words[:, 1] << shifts[1]) | words[:, 2]
+    head = words[:, :3].astype(np.uint64)
+    code = (head[:, 0] << shifts[0]) | (head[:, 1] << shifts[1]) | head[:, 2]
     used, span = np.full(lanes, 3, np.int64), np.full(lanes, 1 << _TOP, np.uint64)
     model, kinds = _Model(lanes, classes), _kinds(classes)
-    out = np.zeros((int(sizes[0]), lanes), np.int64)
+    out = np.zeros((int(sizes[0]), lanes), np.int32)
 
     def settle(a: int) -> None:
         due = np.flatnonzero(span[:a] < (1 << _LOW_BITS))

@@ -50,6 +50,10 @@ class Encoder:
             return _BETWEEN.split(text)
         return text.replace(" ", "\0 ").split("\0")
 
+    def forget(self) -> None:
+        """Drop the store, so that an idle worker does not hold it while other jobs run."""
+        self.known, self.older = {}, {}
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text as little-endian unsigned 32-bit integers."""
         cut = [self.pieces(t) for t in texts]
@@ -119,6 +123,7 @@ def write_tokens(documents: DataFrame, path: str, vocabulary: str, end_id: int =
                     if size >= FRAME_IDS:
                         yield close()
                         ids, held, size, frame = [], [], 0, frame + 1
+        words.forget()
         if ids:
             yield close()
 
