@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -85,6 +85,19 @@ def ngrams(text: str | None) -> np.ndarray:
     return np.concatenate(found)
 
 
+def _together(texts: Iterable[str], most: int = 1 << 20) -> Iterator[list[str]]:
+    """Lists of whole texts, each closed by the text that brings it to `most` characters."""
+    some, size = [], 0
+    for text in texts:
+        some.append(text)
+        size += len(text)
+        if size >= most:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 def train(labelled: DataFrame, settings: Settings = Settings()) -> Filters:
     """Filters from rows (doc_id, text, lang); rows with a null in text or lang teach nothing.
 
@@ -104,8 +117,8 @@ def train(labelled: DataFrame, settings: Settings = Settings()) -> Filters:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for lang, texts in batch.groupby("lang")["text"]:
-                for start in range(0, len(texts), 200):
-                    grams, n = np.unique(np.concatenate([ngrams(t) for t in texts.iloc[start : start + 200]]), return_counts=True)
+                for some in _together(texts):
+                    grams, n = np.unique(np.concatenate([ngrams(t) for t in some]), return_counts=True)
                     yield pd.DataFrame({"lang": lang, "gram": grams.view(np.int64), "n": n})
 
     counts = sample.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
