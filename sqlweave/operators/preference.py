@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sqlweave.functions.vectors import log_sigmoid, sigmoid, softplus
-from sqlweave.operators.ranking import position
+from sqlweave.operators.ranking import position, running
 
 # Default parameters of the losses.
 BETA = 0.1
@@ -16,6 +16,9 @@ DISCOPOP_TAU = 0.05
 # exp() of anything above this is cut to it.
 MAX_EXPONENT = 88.0
 
+# Parts of a batch that are ranked apart from each other, and of the rows that share one value.
+PARTS, TIED_PARTS = 256, 64
+
 
 def sequence_logps(tokens: DataFrame, mean: bool = False) -> DataFrame:
     """One row per pair: log-probabilities of both sides over completion tokens.
@@ -104,20 +107,28 @@ def pair_loss(
 
 
 def baseline_loss(pairs: DataFrame, batch: str, beta: float = BETA) -> DataFrame:
-    """Loss against the mean reward of a pair's batch (`delta`); one mean per batch is joined back."""
+    """Loss against the running mean reward (`delta`): over a pair's batch and all before it.
+
+    `batch` is an integer that orders the batches; one mean per batch is joined back.
+    """
     chosen, rejected = beta * (F.col("c") - F.col("ref_c")), beta * (F.col("r") - F.col("ref_r"))
-    means = pairs.groupBy(batch).agg(((F.avg(chosen) + F.avg(rejected)) / 2).alias("delta"))
+    sums = pairs.groupBy(batch).agg(
+        (F.sum(chosen) + F.sum(rejected)).alias("__sum"), (F.count(chosen) + F.count(rejected)).alias("__count")
+    )
+    upto = running(sums, [], batch, {"__rewards": F.col("__sum"), "__n": F.col("__count")})
+    means = upto.select(batch, (F.col("__rewards") / F.col("__n")).alias("delta"))
     loss = -log_sigmoid(chosen - F.col("delta")) - log_sigmoid(-(rejected - F.col("delta")))
     return pairs.join(means, batch).withColumn("loss", loss)
 
 
 def sorted_pair_loss(
-    pairs: DataFrame, batch: str, paired: bool = True, beta: float = BETA, smoothing: float = 0.0, width: float = 0.01
+    pairs: DataFrame, batch: str, paired: bool = True, beta: float = BETA, smoothing: float = 0.0
 ) -> DataFrame:
     """Both sides sorted within a batch and met by rank.
 
     `paired` compares the sides' log-ratios, otherwise policy and reference ones. Values
-    are ranked in buckets of `width`, so a large batch is spread over tasks.
+    are ranked between approximate percentiles of their batch, and rows that share a
+    percentile's value in further parts, so a large batch is spread over tasks.
     """
     if paired:
         left, right = F.col("c") - F.col("ref_c"), F.col("r") - F.col("ref_r")
@@ -126,8 +137,14 @@ def sorted_pair_loss(
 
     def ranked(value: Column, name: str) -> DataFrame:
         valued = pairs.select(batch, "pair_id", value.alias(name))
-        bucket = F.floor(F.col(name) / width).cast("long")
-        return position(valued, [batch], [F.col(name), F.col("pair_id")], bucket, "rank").drop("pair_id")
+        percentiles = [i / PARTS for i in range(1, PARTS)]
+        cuts = valued.groupBy(batch).agg(F.percentile_approx(name, percentiles).alias("__cuts"))
+        below = F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col(name))), F.lit(0))
+        upto = F.coalesce(F.size(F.filter("__cuts", lambda c: c <= F.col(name))), F.lit(0))
+        # Between two cuts both counts are equal; where they differ all values are the same.
+        tied = F.when(below < upto, F.pmod(F.xxhash64("pair_id"), F.lit(TIED_PARTS))).otherwise(0)
+        cut = valued.join(cuts, batch).withColumn("__part", F.struct((below + upto).alias("at"), tied.alias("tied"))).drop("__cuts")
+        return position(cut, [batch], [F.col(name), F.col("pair_id")], F.col("__part"), "rank").drop("pair_id", "__part")
 
     delta = F.col("high") - F.col("low")
     met = ranked(left, "high").join(ranked(right, "low"), [batch, "rank"])

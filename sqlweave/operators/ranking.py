@@ -15,6 +15,9 @@ from sqlweave.functions.seeded import digest, digest_bucket, digest_int
 # Rows of one key that share a bucket when the order is a dense integer.
 BUCKET_WIDTH = 65536
 
+# Primes: one that does not divide a ring's size leads over all its places.
+STRIDES = [p for p in range(10_007, 11_000, 2) if all(p % d for d in range(3, 105, 2))][:64]
+
 
 def _group_key(keys: list[str]) -> Column:
     """One struct for the group, so that NULL keys meet each other in a plain equi-join and
@@ -101,6 +104,13 @@ def running(
     )
 
 
+def _stride(hex_digest: Column, size: Column) -> Column:
+    """A seeded prime that does not divide `size`."""
+    usable = F.filter(F.array(*[F.lit(p).cast("long") for p in STRIDES]), lambda p: size % p != 0)
+    number = F.conv(F.substring(hex_digest, 9, 4), 16, 10).cast("long")
+    return F.get(usable, (number % F.size(usable)).cast("int"))
+
+
 def ring_sample(
     requests: DataFrame,
     members: DataFrame,
@@ -112,23 +122,26 @@ def ring_sample(
 ) -> DataFrame:
     """`size` distinct members of its group for every request, without pairing all with all.
 
-    Members of a group stand on a ring in md5-seeded order. A request starts at a
-    seeded place and takes the next `size` members (a number or a column of `requests`), so the work is requests x size
-    whatever the group holds. Every member is equally likely to be taken. Groups
-    smaller than `size` are taken whole. `pick` numbers a request's members from 1.
+    Members of a group stand on a ring in md5-seeded order. A request starts at a seeded
+    place and walks by a seeded stride that has no factor in common with the ring's size,
+    so it meets `size` different members (a number or a column of `requests`) and the same
+    members do not always come together. The work is requests x size whatever the group
+    holds. Every member is equally likely to be taken. Groups smaller than `size` are
+    taken whole. `pick` numbers a request's members from 1.
     """
     ring = seeded_position(members.select(group, *member_keys), [group], seed, member_keys, "__place", "__size")
     sizes = members.groupBy(group).agg(F.count(F.lit(1)).alias("__size"))
-    start = digest_int(digest(seed, *[F.col(k) for k in request_keys]))
     picks = F.sequence(F.lit(0), F.least(F.lit(size).cast("long"), F.col("__size")) - 1)
     picks = F.when(F.lit(size) > 0, picks).otherwise(F.array().cast("array<bigint>"))
     wanted = (
         requests.join(sizes, group)
-        .withColumn("__start", F.pmod(start, F.col("__size")))
+        .withColumn("__digest", digest(seed, *[F.col(k) for k in request_keys]))
+        .withColumn("__start", F.pmod(digest_int(F.col("__digest")), F.col("__size")))
+        .withColumn("__stride", _stride(F.col("__digest"), F.col("__size")))
         .withColumn("__pick", F.explode(picks))
-        .withColumn("__place", F.pmod(F.col("__start") + F.col("__pick"), F.col("__size")) + 1)
+        .withColumn("__place", F.pmod(F.col("__start") + F.col("__pick") * F.col("__stride"), F.col("__size")) + 1)
         .withColumn("pick", (F.col("__pick") + 1).cast("int"))
-        .drop("__start", "__pick", "__size")
+        .drop("__digest", "__start", "__stride", "__pick", "__size")
     )
     return wanted.join(ring.drop("__size"), [group, "__place"]).drop("__place")
 

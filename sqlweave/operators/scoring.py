@@ -141,9 +141,51 @@ def map_equivalent_columns(units: DataFrame, representatives: DataFrame) -> Data
     ).drop("representative")
 
 
-def neutral_text(sql: Column) -> Column:
-    """Query text without DISTINCT and with a slot for every literal."""
-    return T.slot_text(T.reformat_tokens(T.remove_distinct(T.join_operators(T.collapse_space(sql)))))
+def _neutral_words(sql: Column) -> Column:
+    """Words of a query without DISTINCT and with a slot for every literal."""
+    return F.split(T.slot_text(T.reformat_tokens(T.remove_distinct(T.join_operators(T.collapse_space(sql))))), " ")
+
+
+def with_neutral_text(df: DataFrame, sql: str, out: str) -> DataFrame:
+    """Add a query's neutral text, in which columns stand under their tables' names.
+
+    Aliases given with AS hold for the whole text; a later one of the same name wins. Where
+    the text reads a single table, its columns stand without the table.
+    """
+    words = F.col("__words")
+
+    def after(starts: tuple[str, ...]) -> Column:
+        return F.filter(words, lambda w, i: F.get(words, i - 1).isin(*starts) & (w != "("))
+
+    def named(word: Column, i: Column) -> Column:
+        return F.when(word == "as", F.struct(F.get(words, i + 1).alias("alias"), F.get(words, i - 1).alias("name")))
+
+    def resolved(word: Column) -> Column:
+        dot = F.instr(word, ".")
+        prefix = F.substring_index(word, ".", 1)
+        own = F.filter("__aliases", lambda a: a["alias"] == prefix)
+        table = F.coalesce(F.get(own, F.size(own) - 1)["name"], prefix)
+        column = F.substr(word, dot + 1)
+        full = F.when(F.col("__single") == table, column).otherwise(F.concat(table, F.lit("."), column))
+        return F.when((dot > 1) & word.rlike(r"^[a-z_]\w*\."), full).otherwise(word)
+
+    def kept(word: Column, i: Column) -> Column:
+        """Not the AS behind a table, nor the alias behind that."""
+        def renames(at: Column) -> Column:
+            return (F.get(words, at) == "as") & F.coalesce(F.get(words, at - 2).isin("from", "join", ","), F.lit(False))
+
+        return ~F.coalesce(renames(i) | renames(i - 1), F.lit(False))
+
+    sources = F.array_distinct(after(("from", "join")))
+    listed = F.col("__plain").rlike(r"\bfrom \S+(?: as \w+)? ,")
+    return (
+        df.withColumn("__words", _neutral_words(F.col(sql)))
+        .withColumn("__plain", F.array_join("__words", " "))
+        .withColumn("__aliases", F.filter(F.transform(words, named), lambda a: a.isNotNull()))
+        .withColumn("__single", F.when((F.size(sources) == 1) & ~listed, F.get(sources, F.lit(0))))
+        .withColumn(out, F.array_join(F.transform(F.filter(words, kept), resolved), " "))
+        .drop("__words", "__plain", "__aliases", "__single")
+    )
 
 
 def _shared(a: Column, b: Column) -> Column:
@@ -192,7 +234,7 @@ def compare_texts(queries: DataFrame) -> DataFrame:
     """
     df = queries
     for side, column in (("g", "sql_gt"), ("p", "sql_pred")):
-        df = df.withColumn(f"{side}_text", neutral_text(F.col(column)))
+        df = with_neutral_text(df, column, f"{side}_text")
         df = T.with_clauses(df, f"{side}_text", f"{side}_c")
         inner = F.regexp_extract(F.col(f"{side}_text"), r"\( (select .*)\)", 1)
         df = df.withColumn(f"{side}_nested", F.when(inner != "", F.md5(inner)).otherwise(""))

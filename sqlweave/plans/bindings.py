@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sqlweave.operators.ranking import STRIDES
 from sqlweave.session import load, spread
 
 
@@ -88,3 +89,9 @@ LINKS_SQL = """
 links as (select e.event_id question_id, c.doc_id, c.table_name, c.column_name, c.db_id from ev e join cat c
           on c.user_id = e.user_id and c.event_type = e.event_type and c.k in (e.k - 1, e.k, e.k + 1))
 """
+
+
+def stride_sql(digest: str, size: str) -> str:
+    """The seeded stride of a ring sample; `digest` and `size` are SQL expressions."""
+    usable = f"[p for p in {STRIDES} if {size} % p <> 0]"
+    return f"({usable})[1 + ('0x' || substr({digest}, 9, 4))::bigint % len({usable})]"

@@ -125,8 +125,9 @@ def divergence_losses(spark, sf):
 
 
 def baseline_loss(spark, sf):
-    """Batches are part brands."""
-    brands = load(spark, sf, "part").select(F.col("p_partkey").alias("pair_id"), F.col("p_brand").alias("batch"))
+    """Batches are part brands in the order of their numbers."""
+    number = F.regexp_extract("p_brand", r"(\d+)$", 1).cast("int")
+    brands = load(spark, sf, "part").select(F.col("p_partkey").alias("pair_id"), number.alias("batch"))
     pairs = P.sequence_logps(_tokens(spark, sf)).join(brands, "pair_id")
     return P.baseline_loss(pairs, "batch").select("pair_id", F.round("delta", 6).alias("delta"), F.round("loss", 6).alias("loss"))
 
@@ -243,8 +244,9 @@ QUERIES = {
     ),
     "baseline_loss": (
         baseline_loss,
-        f"""with {_PAIRS_SQL}, b as (select z.*, (avg(0.1 * dc) over w + avg(0.1 * dr) over w) / 2 delta from z join part on p_partkey = pair_id
-        window w as (partition by p_brand))
+        f"""with {_PAIRS_SQL}, y as (select z.*, regexp_extract(p_brand, '([0-9]+)$', 1)::int batch from z join part on p_partkey = pair_id),
+        r as (select batch, sum(sum(0.1 * dc + 0.1 * dr)) over (order by batch) / (2 * sum(count(*)) over (order by batch)) delta from y group by batch),
+        b as (select y.*, delta from y join r using (batch))
         select pair_id, round(delta, 6) delta, round(-{_LSIG.format('(0.1 * dc - delta)')} - {_LSIG.format('(-(0.1 * dr - delta))')}, 6) loss from b""",
     ),
     "sorted_losses": (

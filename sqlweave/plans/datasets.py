@@ -13,7 +13,7 @@ from sqlweave.operators import retrieval as R
 from sqlweave.operators.ranking import gather_text, integer_bucket, position
 from sqlweave.plans import catalog as catalog_plans
 from sqlweave.plans import sqltext
-from sqlweave.plans.bindings import CATALOG_SQL, LINKS_SQL, catalog, keyed_events, questions
+from sqlweave.plans.bindings import CATALOG_SQL, LINKS_SQL, catalog, keyed_events, questions, stride_sql
 from sqlweave.session import load, materialise, spread
 
 TOP_K, TIMES = 25, 2
@@ -210,9 +210,10 @@ needed as (select question_id, db_id, count(*) n from links group by 1, 2),
 ring as (select db_id, doc_id, row_number() over (partition by db_id order by md5('augment|' || doc_id), doc_id) place from cat),
 size as (select db_id, count(*) size from cat group by 1),
 w as (select question_id, variant, db_id, n, size, unnest(range(0, least(case when n < {TOP_K} then {TOP_K} else 0 end, size))) pick,
-      ('0x' || substr(md5('augment|' || question_id || '|' || variant), 1, 8))::bigint % size start
+      ('0x' || substr(md5('augment|' || question_id || '|' || variant), 1, 8))::bigint % size start,
+      {stride_sql("md5('augment|' || question_id || '|' || variant)", 'size')} stride
       from needed join size using (db_id) cross join v),
-p as (select w.question_id, variant, doc_id, n, pick from w join ring on ring.db_id = w.db_id and place = (start + pick) % size + 1
+p as (select w.question_id, variant, doc_id, n, pick from w join ring on ring.db_id = w.db_id and place = (start + pick * stride) % size + 1
       where not exists (select 1 from links l where l.question_id = w.question_id and l.doc_id = ring.doc_id)),
 d as (select *, row_number() over (partition by question_id, variant order by pick) r from p)
 select question_id, variant, doc_id, true is_needed from links cross join v

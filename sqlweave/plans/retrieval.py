@@ -10,7 +10,7 @@ from sqlweave.operators import catalog as C
 from sqlweave.operators import contrastive, linking
 from sqlweave.operators import retrieval as R
 from sqlweave.operators.ranking import ring_sample, seeded_position
-from sqlweave.plans.bindings import CATALOG_SQL, LINKS_SQL, catalog, questions
+from sqlweave.plans.bindings import CATALOG_SQL, LINKS_SQL, catalog, questions, stride_sql
 from sqlweave.session import load, materialise, spread
 
 K = 25
@@ -252,7 +252,7 @@ top as (select question_id, doc_id, row_number() over (partition by question_id
 g as (select question_id, table_name, min(r) best, string_agg(column_name, ',' order by r) "columns" from top join docs using (doc_id) group by 1, 2)
 select question_id, table_name, row_number() over (partition by question_id order by best)::int table_rank, "columns" from g"""
 
-_SCORED_SQL = """
+_SCORED_SQL = f"""
 v as (select vec_id, label, embedding::double[] e from embeddings),
 r as (select *, row_number() over (partition by label order by md5('ring|' || vec_id), vec_id) place,
       count(*) over (partition by label) size from v),
@@ -260,10 +260,11 @@ n as (select *, row_number() over (partition by label order by md5('negatives|'
       count(*) over (partition by label) size from v),
 a as (select q.vec_id row_id, (q.label + 1) % 10 label, q.e, list_dot_product(q.e, p.e) pos from r q
       join r p on p.label = q.label and p.place = q.place % q.size + 1),
-w as (select a.*, unnest(range(0, least(7, s.size))) pick, s.size, ('0x' || substr(md5('negatives|' || row_id), 1, 8))::bigint % s.size start
+w as (select a.*, unnest(range(0, least(7, s.size))) pick, s.size, ('0x' || substr(md5('negatives|' || row_id), 1, 8))::bigint % s.size start,
+      {stride_sql("md5('negatives|' || row_id)", 's.size')} stride
       from a join (select label, max(size) size from n group by 1) s using (label)),
 sc as (select row_id, n.vec_id negative, round(pos, 9) pos_sim, round(list_dot_product(w.e, n.e), 9) neg_sim
-       from w join n on n.label = w.label and n.place = (start + pick) % w.size + 1)
+       from w join n on n.label = w.label and n.place = (start + pick * stride) % w.size + 1)
 """
 _LOSS_SQL = _SCORED_SQL + """,
 l as (select row_id, ln(1 + sum(exp((neg_sim - pos_sim) / 0.07))) loss,
@@ -342,9 +343,10 @@ QUERIES = {
         size as (select db_id, count(*) n from cat group by 1),
         used as (select question_id, count(*) n from links group by 1),
         w as (select question_id, db_id, doc_id positive, unnest(range(0, least(7 + used.n, size.n))) pick, size.n size,
-              ('0x' || substr(md5('negatives|' || question_id || '|' || doc_id), 1, 8))::bigint % size.n start
+              ('0x' || substr(md5('negatives|' || question_id || '|' || doc_id), 1, 8))::bigint % size.n start,
+              {stride_sql("md5('negatives|' || question_id || '|' || doc_id)", 'size.n')} stride
               from links join used using (question_id) join size using (db_id)),
-        t as (select w.question_id, positive, pick, ring.doc_id from w join ring on ring.db_id = w.db_id and place = (start + pick) % size + 1
+        t as (select w.question_id, positive, pick, ring.doc_id from w join ring on ring.db_id = w.db_id and place = (start + pick * stride) % size + 1
               where not exists (select 1 from links l where l.question_id = w.question_id and l.doc_id = ring.doc_id)),
         o as (select *, row_number() over (partition by question_id, positive order by pick)::int neg_rank from t)
         select question_id, positive, doc_id negative, neg_rank from o where neg_rank <= 7""",

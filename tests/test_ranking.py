@@ -44,3 +44,12 @@ def test_sessions(spark):
     assert [(r["session_id"], r["turn"], r["sql"], r["db_id"]) for r in rows] == [
         (0, 1, "a", "db"), (0, 2, "b", "db"), (2, 1, "c", "db")]
     assert readers.session_count_gap(readers.sessions(lines), readers.sessions(lines)).first()["equal"]
+
+
+def test_ring_neighbours_do_not_always_come_together(spark):
+    members = spark.range(101).select(F.lit(1).alias("g"), F.col("id").alias("m"))
+    requests = spark.range(200).select(F.col("id").alias("q"), F.lit(1).alias("g"))
+    out = ranking.ring_sample(requests, members, "g", ["q"], ["m"], 5, "s")
+    pairs = out.alias("a").join(out.alias("b"), "q").filter("a.m < b.m").select("a.m", F.col("b.m").alias("o")).distinct()
+    # Consecutive places could give no more than 4 x 101 pairs.
+    assert pairs.count() > 1000
