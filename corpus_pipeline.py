@@ -14,6 +14,9 @@ from sqlweave.session import load, materialise
 # Share of a document's n-grams that its predicted language must know.
 MIN_LANGUAGE_SCORE = 0.2
 
+# Near copies share this part of their distinct shingles of so many words.
+NEAR_WORDS, NEAR_SIMILARITY = 5, 0.8
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language, with `lang` set to the prediction.
@@ -28,9 +31,10 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one with the smallest doc_id.
 
+    Texts are near-duplicates over links of NEAR_SIMILARITY or more of their distinct shingles.
     Null ids come last, and of repeated rows one stays.
     """
-    return simhash.keep_first(docs)
+    return simhash.keep_first(docs, NEAR_WORDS, NEAR_SIMILARITY)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from sqlweave.llm import languageid, maintext, quality, rangecoder, simhash, tokenfiles
 from sqlweave.llm.components import smallest_reachable
 from sqlweave.llm.queries import VOCABULARY
@@ -97,6 +98,23 @@ def test_near_duplicates_equal_brute_force(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0 and simhash.keep_first(docs.limit(0)).count() == 0
 
 
+def test_pipeline_links_near_copies_by_similarity(spark):
+    rng = random.Random(8)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows, near, far = [], [], []
+    for i in range(60):
+        base = fresh(300)
+        rows.append((i, " ".join(base)))
+        tail = fresh(rng.choice([5, 20, 40, 150, 300]))
+        rows.append((1000 + i, " ".join(base + tail)))
+        (near if len(tail) < 60 else far).append(1000 + i)
+    # One shingle makes over half of all, the rest differs.
+    rows += [(2000 + i, " ".join(["row"] * 400 + fresh(100))) for i in range(5)] + [(3000, None), (3001, " "), (3002, "a b"), (3003, "A  b")]
+    kept = {r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()}
+    assert len(kept & set(near)) <= 0.05 * len(near) and set(far) <= kept
+    assert set(range(2000, 2005)) <= kept and kept & set(range(3000, 3004)) == {3000, 3002}
+
+
 @pytest.mark.parametrize("n", [0, 1, 7, 4095, 4096, 9000])
 def test_range_coder_round_trip(n):
     ids = np.random.default_rng(n).zipf(1.2, n) % 50257
