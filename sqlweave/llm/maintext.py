@@ -28,7 +28,7 @@ INLINE = set(
 )
 TEXT_BLOCKS = set("p h1 h2 h3 h4 h5 h6 li blockquote pre table thead tbody tr td th dl dt dd ul ol figure figcaption".split())
 
-# What is never main text: by element, by role, and by a part of a class or id.
+# What is never main text: by element, by role, and by a class or id all of whose parts are named here.
 DROPPED_TAGS = set(
     "nav footer aside form script style noscript iframe template head title textarea select button svg canvas object "
     "dialog menu input option datalist xmp".split()
@@ -40,6 +40,7 @@ DROPPED_NAMES = set(
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login paywall "
     "comment comments disqus reply replies discussion share sharing social related recommended widget widgets form search".split()
 )
+HEADER_NAMES = set("header masthead topbar banner".split())
 MAIN_TAGS = {"article", "main"}
 CLOSED_BY_BLOCK = {"p"}
 CLOSES_SAME = set("li dt dd tr td th option p".split())
@@ -48,12 +49,15 @@ CLOSES_SAME = set("li dt dd tr td th option p".split())
 class Element:
     """An element with its children (elements and texts) and the hash of its subtree."""
 
-    __slots__ = ("tag", "names", "role", "hidden", "children", "digest", "has_text")
+    __slots__ = ("tag", "names", "marks", "role", "hidden", "children", "digest", "has_text", "has_main")
 
     def __init__(self, tag: str, attributes: str = "") -> None:
-        self.tag, self.children, self.digest, self.has_text = tag, [], 0, False
+        self.tag, self.children, self.digest, self.has_text, self.has_main = tag, [], 0, False, tag in MAIN_TAGS
         found = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _ATTRIBUTE.finditer(attributes)} if attributes.strip(" /\n") else {}
         self.names = set(_NAME_PARTS.split(found.get("class", "") + " " + found.get("id", ""))) - {""} if found else set()
+        tokens = (found.get("class", "") + " " + found.get("id", "")).split() if self.names & DROPPED_NAMES else []
+        parts = [{x for x in _NAME_PARTS.split(t) if x and not x.isdigit()} for t in tokens]
+        self.marks = [x for x in parts if x and x <= DROPPED_NAMES]
         self.role = found.get("role", "")
         self.hidden = "hidden" in found or found.get("style", "").replace(" ", "").find("display:none") >= 0
 
@@ -64,19 +68,23 @@ class Element:
             if isinstance(child, Element):
                 state.update(child.digest.to_bytes(8, "little"))
                 self.has_text |= child.has_text
+                self.has_main |= child.has_main
             elif words := " ".join(child.split()):
                 state.update(b"\1" + words.encode("utf-8", "surrogatepass"))
                 self.has_text = True
         self.digest = state.intdigest()
 
-    def is_boilerplate(self, in_main: bool) -> bool:
+    def is_boilerplate(self, in_main: str) -> bool:
         if self.tag in ("html", "body") or self.tag in INLINE and self.tag != "span":
             return False
         if self.tag in DROPPED_TAGS or self.hidden or self.role in DROPPED_ROLES:
             return True
         if self.tag == "header" and not in_main:
             return True
-        return bool(self.names & DROPPED_NAMES) and not (in_main and self.tag == "header")
+        # What holds an article goes by name only inside another one, as comments do.
+        if self.tag in MAIN_TAGS or self.has_main and in_main != "article" or in_main and self.tag == "header":
+            return False
+        return any(not (in_main and mark & HEADER_NAMES) for mark in self.marks)
 
 
 def parse(text: str) -> Element:
@@ -131,9 +139,9 @@ def parse(text: str) -> Element:
     return root
 
 
-def _walk(root: Element, skip) -> Iterator[tuple[Element | str | None, bool, Element]]:
-    """Elements and texts in page order, each with whether it is in a main element; (None, _, e) closes e."""
-    stack: list[tuple] = [(root, False, root, False)]
+def _walk(root: Element, skip) -> Iterator[tuple[Element | str | None, str, Element]]:
+    """Elements and texts in page order, each with the main element's tag it is in ("" outside); (None, _, e) closes e."""
+    stack: list[tuple] = [(root, "", root, False)]
     while stack:
         node, in_main, parent, closing = stack.pop()
         if closing:
@@ -143,7 +151,7 @@ def _walk(root: Element, skip) -> Iterator[tuple[Element | str | None, bool, Ele
             if skip(node, in_main):
                 continue
             yield node, in_main, node
-            inside = in_main or node.tag in MAIN_TAGS
+            inside = node.tag if node.tag == "article" or node.tag in MAIN_TAGS and not in_main else in_main
             stack.append((node, in_main, parent, True))
             stack.extend((c, inside, node, False) for c in reversed(node.children))
         else:
@@ -159,7 +167,7 @@ def subtree_hashes(page: str | None) -> set[int]:
     return found
 
 
-def _may_recur(element: Element, in_main: bool) -> bool:
+def _may_recur(element: Element, in_main: str) -> bool:
     """Blocks of text in a main element are its content, however often they recur."""
     plain = element.tag in INLINE or element.tag in MAIN_TAGS or element.tag in ("#page", "html", "head", "body")
     return element.has_text and not plain and not (in_main and element.tag in TEXT_BLOCKS)
@@ -172,7 +180,7 @@ def main_text(page: str | None, templates: set[int] = frozenset()) -> str:
     article elements is the text; without one, in main elements; without those, in the whole page.
     """
 
-    def skip(element: Element, in_main: bool) -> bool:
+    def skip(element: Element, in_main: str) -> bool:
         if element.is_boilerplate(in_main):
             return True
         return bool(templates) and _may_recur(element, in_main) and element.digest - (element.digest >> 63 << 64) in templates

@@ -261,3 +261,19 @@ def test_templates_without_article(spark):
     rows = [(i, "http://h.org", f"<div><p>menu of the site</p></div><p>text {i}</p>") for i in range(10)]
     got = maintext.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), min_pages=10).collect()
     assert {r["text"] for r in got} == {f"text {i}" for i in range(10)}
+
+
+@pytest.mark.parametrize("page", [
+    "<article class='post no-sidebar'><p>body</p></article>", "<article class='post comments-open share'><p>body</p></article>",
+    "<main class='has-sidebar'><p>body</p></main>", "<div class='content-sidebar-wrap'><article><p>body</p></article></div>",
+    "<div id=widget><div><main>body</main></div></div>", "<div class='content-sidebar-wrap'><p>body</p></div>",
+    "<article><div class='no-sidebar'>body</div><div class='share-widget'>x</div><p class='ad ad-1'>x</p></article>",
+])
+def test_names_never_drop_main_elements(page):
+    assert maintext.main_text(page) == "body"
+
+
+def test_header_names_in_an_article_stay():
+    page = "<div class=header>site</div><article><div class='article-header'><h1>Title</h1></div><div class=header>by me</div><p>body</p></article>"
+    assert maintext.main_text(page) == "Title\nby me\nbody"
+    assert maintext.main_text("<div class=header>site</div><p>body</p>") == "body"
