@@ -5,6 +5,7 @@ from __future__ import annotations
 import html as entities
 import re
 from collections.abc import Iterator
+from itertools import accumulate, islice
 
 import pandas as pd
 import xxhash
@@ -42,6 +43,7 @@ DROPPED_NAMES = set(
 )
 HEADER_NAMES = set("header masthead topbar banner".split())
 MAIN_TAGS = {"article", "main"}
+CONTEXT_TEXTS = 3
 CLOSED_BY_BLOCK = {"p"}
 CLOSES_SAME = set("li dt dd tr td th option p".split())
 
@@ -158,12 +160,61 @@ def _walk(root: Element, skip) -> Iterator[tuple[Element | str | None, str, Elem
             yield node, in_main, parent
 
 
-def subtree_hashes(page: str | None) -> set[int]:
-    """Signed hashes of all subtrees with text that a site template may consist of."""
-    found = set()
-    for node, in_main, _ in _walk(parse(page or ""), lambda e, _: e.tag in RAW):
+def _signed(digest: int) -> int:
+    return digest - (digest >> 63 << 64)
+
+
+def _chosen(tags: set[str]) -> str | None:
+    return next((t for t in ("article", "main") if t in tags), None)
+
+
+def _main_blocks(root: Element, skip) -> tuple[list[str], dict[int, tuple[int, int]]]:
+    """Texts of the main text in page order, and the range of them that each element (by id) holds."""
+    nodes = list(_walk(root, skip))
+    chosen = _chosen({node.tag for node, _, _ in nodes if isinstance(node, Element)})
+    blocks: list[str] = []
+    spans: dict[int, tuple[int, int]] = {}
+    depth = 0
+    for node, _, element in nodes:
+        if isinstance(node, str):
+            if (depth or chosen is None) and (words := " ".join(node.split())):
+                blocks.append(words)
+            continue
+        if element.tag == chosen:
+            depth += 1 if node is not None else -1
+        spans[id(element)] = (len(blocks), 0) if node is not None else (spans[id(element)][0], len(blocks))
+    return blocks, spans
+
+
+def _mostly_main(span: tuple[int, int], ends: list[int]) -> bool:
+    """Whether a range of texts holds more than half of all; `ends` are their lengths summed up, from 0."""
+    return 2 * (ends[span[1]] - ends[span[0]]) > ends[-1]
+
+
+def _ends(blocks: list[str]) -> list[int]:
+    return list(accumulate(map(len, blocks), initial=0))
+
+
+def subtree_contexts(page: str | None) -> dict[int, set[int]]:
+    """Signed hashes of all subtrees with text that a site template may consist of, each with what stands around it.
+
+    The context of a subtree is a hash of the CONTEXT_TEXTS longest texts of the page's main text outside it,
+    so pages that differ only in what is no main text have one context. A subtree
+    in a main element that holds most of the main text is none.
+    """
+    root = parse(page or "")
+    blocks, spans = _main_blocks(root, lambda e, in_main: e.is_boilerplate(in_main))
+    ends = _ends(blocks)
+    longest = sorted(range(len(blocks)), key=lambda i: (-len(blocks[i]), blocks[i]))
+    found: dict[int, set[int]] = {}
+    for node, in_main, _ in _walk(root, lambda e, _: e.tag in RAW):
         if isinstance(node, Element) and _may_recur(node, in_main):
-            found.add(node.digest - (node.digest >> 63 << 64))
+            start, end = span = spans.get(id(node), (0, 0))
+            if in_main and _mostly_main(span, ends):
+                continue
+            outside = list(islice((blocks[i] for i in longest if not start <= i < end), CONTEXT_TEXTS))
+            context = xxhash.xxh64("\0".join(outside).encode("utf-8", "surrogatepass")).intdigest()
+            found.setdefault(_signed(node.digest), set()).add(_signed(context))
     return found
 
 
@@ -176,19 +227,24 @@ def _may_recur(element: Element, in_main: str) -> bool:
 def main_text(page: str | None, templates: set[int] = frozenset()) -> str:
     """Blocks of the main text, one to a line, white space inside a block made one space.
 
-    Boilerplate elements and subtrees whose hash is in `templates` go first. What then stands in
+    Boilerplate elements and subtrees whose hash is in `templates` go first, but for those that hold
+    most of an article's text. What then stands in
     article elements is the text; without one, in main elements; without those, in the whole page.
     """
 
     def skip(element: Element, in_main: str) -> bool:
         if element.is_boilerplate(in_main):
             return True
-        return bool(templates) and _may_recur(element, in_main) and element.digest - (element.digest >> 63 << 64) in templates
+        if not templates or not _may_recur(element, in_main) or _signed(element.digest) not in templates:
+            return False
+        return not (in_main and _mostly_main(spans.get(id(element), (0, 0)), ends))
 
     root = parse(page or "")
+    blocks, spans = _main_blocks(root, lambda e, in_main: e.is_boilerplate(in_main)) if templates else ([], {})
+    ends = _ends(blocks)
     tags = {node.tag for node, _, _ in _walk(root, skip) if isinstance(node, Element)}
-    chosen = next((t for t in ("article", "main") if t in tags), None)
-    blocks: list[str] = []
+    chosen = _chosen(tags)
+    blocks = []
     words: list[str] = []
     depth = 0
 
@@ -216,21 +272,22 @@ def main_text(page: str | None, templates: set[int] = frozenset()) -> str:
 def site_templates(pages: DataFrame, min_pages: int = 10, min_share: float = 0.2) -> DataFrame:
     """(host, templates): hashes of subtrees on `min_pages` or more pages and `min_share` of a host.
 
-    Pages are told apart by their html, so copies of one page make no template. A host has at most
-    1 / min_share times as many templates as its pages have subtrees.
+    Pages are told apart by the main text around the subtree, so copies of one page make no template,
+    also where their adverts or menus differ. A host has at most 1 / min_share times as many templates
+    as its pages have subtrees.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for start in range(0, len(batch), 256):
                 part = batch.iloc[start : start + 256]
-                made = [sorted(subtree_hashes(h)) for h in part["html"]]
-                out = pd.DataFrame({"host": part["host"].to_numpy(), "digest": made})
-                yield out.explode("digest").dropna().astype({"digest": "int64"})
+                made = [(h, d, c) for h, page in zip(part["host"], part["html"]) for d, cs in subtree_contexts(page).items() for c in cs]
+                yield pd.DataFrame(made, columns=["host", "digest", "context"]).astype({"digest": "int64", "context": "int64"})
 
     counted = pages.filter("html is not null").groupBy("host", F.md5("html").alias("key")).agg(F.min("html").alias("html"))
     sizes = pages.filter("html is not null").select("host", F.md5("html").alias("key")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    seen = counted.select("host", "html").mapInPandas(run, "host string, digest long").groupBy("host", "digest").agg(F.count(F.lit(1)).alias("n"))
+    around = counted.select("host", "html").mapInPandas(run, "host string, digest long, context long").distinct()
+    seen = around.groupBy("host", "digest").agg(F.count(F.lit(1)).alias("n"))
     recurring = seen.filter(F.col("n") >= min_pages).join(sizes, "host").filter(F.col("n") >= min_share * F.col("pages"))
     return recurring.groupBy("host").agg(F.collect_list("digest").alias("templates"))
 

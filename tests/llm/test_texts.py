@@ -277,3 +277,12 @@ def test_header_names_in_an_article_stay():
     page = "<div class=header>site</div><article><div class='article-header'><h1>Title</h1></div><div class=header>by me</div><p>body</p></article>"
     assert maintext.main_text(page) == "Title\nby me\nbody"
     assert maintext.main_text("<div class=header>site</div><p>body</p>") == "body"
+
+
+def test_copies_with_other_adverts_make_no_template(spark):
+    whole = "<article><div><p>a long first paragraph</p><p>and a second one</p></div><section>third part of it</section></article>"
+    bare = "<div><p>a long first paragraph</p></div><div><p>and a second, longer one</p></div><div><p>then the third of them</p></div><div><p>and the fourth and last</p></div>"
+    for body in (whole, bare):
+        rows = [(i, "http://h.org", f"<div><p>ad {i}</p></div>{body}") for i in range(12)]
+        got = maintext.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), min_pages=10).collect()
+        assert all("a long first paragraph" in r["text"] and r["text"].count("\n") >= 2 for r in got)
