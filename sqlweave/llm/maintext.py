@@ -269,12 +269,12 @@ def main_text(page: str | None, templates: set[int] = frozenset()) -> str:
     return "\n".join(blocks)
 
 
-def site_templates(pages: DataFrame, min_pages: int = 10, min_share: float = 0.2) -> DataFrame:
-    """(host, templates): hashes of subtrees on `min_pages` or more pages and `min_share` of a host.
+def site_templates(pages: DataFrame, min_pages: int = 10) -> DataFrame:
+    """(host, templates): hashes of subtrees on `min_pages` or more pages of a host, whatever its size.
 
     Pages are told apart by the main text around the subtree, so copies of one page make no template,
-    also where their adverts or menus differ. A host has at most 1 / min_share times as many templates
-    as its pages have subtrees.
+    also where their adverts or menus differ. A host has at most
+    1 / min_pages times as many templates as all its pages have subtrees.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -285,14 +285,13 @@ def site_templates(pages: DataFrame, min_pages: int = 10, min_share: float = 0.2
                 yield pd.DataFrame(made, columns=["host", "digest", "context"]).astype({"digest": "int64", "context": "int64"})
 
     counted = pages.filter("html is not null").groupBy("host", F.md5("html").alias("key")).agg(F.min("html").alias("html"))
-    sizes = pages.filter("html is not null").select("host", F.md5("html").alias("key")).distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
     around = counted.select("host", "html").mapInPandas(run, "host string, digest long, context long").distinct()
     seen = around.groupBy("host", "digest").agg(F.count(F.lit(1)).alias("n"))
-    recurring = seen.filter(F.col("n") >= min_pages).join(sizes, "host").filter(F.col("n") >= min_share * F.col("pages"))
+    recurring = seen.filter(F.col("n") >= min_pages)
     return recurring.groupBy("host").agg(F.collect_list("digest").alias("templates"))
 
 
-def extract_pages(pages: DataFrame, min_pages: int = 10, min_share: float = 0.2, url: str = "url", html: str = "html") -> DataFrame:
+def extract_pages(pages: DataFrame, min_pages: int = 10, url: str = "url", html: str = "html") -> DataFrame:
     """Add text and n_chars, the main text of each page and its code points; html itself goes.
 
     Element subtrees are hashed, counted per host over distinct pages, and deleted where they
@@ -307,7 +306,7 @@ def extract_pages(pages: DataFrame, min_pages: int = 10, min_share: float = 0.2,
         F.coalesce(url_host(F.col(f"`{url}`")), F.lit("")).alias("host"),
         F.col(f"`{html}`").cast("string").alias("html"),
     )
-    templates = materialise(site_templates(hosted.select("host", "html"), min_pages, min_share))
+    templates = materialise(site_templates(hosted.select("host", "html"), min_pages))
 
     @F.pandas_udf("string")
     def extracted(texts: pd.Series, known: pd.Series) -> pd.Series:

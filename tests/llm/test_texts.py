@@ -286,3 +286,10 @@ def test_copies_with_other_adverts_make_no_template(spark):
         rows = [(i, "http://h.org", f"<div><p>ad {i}</p></div>{body}") for i in range(12)]
         got = maintext.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), min_pages=10).collect()
         assert all("a long first paragraph" in r["text"] and r["text"].count("\n") >= 2 for r in got)
+
+
+def test_templates_of_a_section_of_a_large_host(spark):
+    notice = "<div><p>notice of this section</p></div>"
+    rows = [(i, f"http://h.org/{i}", f"{notice if i < 12 else ''}<p>text {i}</p>") for i in range(100)]
+    got = maintext.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), min_pages=10).collect()
+    assert {r["text"] for r in got} == {f"text {i}" for i in range(100)}
