@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from math import sqrt
 
 import numpy as np
@@ -120,18 +121,22 @@ def search(table: DataFrame, k: int = 10, every: int = 100, settings: Settings =
     holds a third of all rows is many tasks. A block hands on at most k rows per query, in the second
     walk only those within the k-th distance of the first.
 
-    Rows take part as `usable_vectors` says; vectors of another length than the most rows have
-    are compared with none. A query never finds itself, by id; of rows with one id the
+    Rows take part as `usable_vectors` says; each length has an index of its own and is
+    searched among its own rows. A query never finds itself, by id; of rows with one id the
     smallest vector counts.
     Ties go to the smaller id, and a query finds all candidates where they are fewer than k.
     """
-    spark = table.sparkSession
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     sound = materialise(usable_vectors(table, id_column, vector).groupBy("id").agg(F.min("v").alias("v")))
-    usual = sound.groupBy(F.size("v").alias("n")).agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), "n").first()
-    if usual is None:
-        return empty
-    vectors = sound.filter(F.size("v") == usual["n"])
+    asked = sound.filter(F.col("id") % every == 0).select(F.size("v").alias("n")).distinct().orderBy("n").collect()
+    if not asked:
+        return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = [_search_length(sound.filter(F.size("v") == r["n"]), r["n"], k, every, settings) for r in asked]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _search_length(vectors: DataFrame, dims: int, k: int, every: int, settings: Settings) -> DataFrame:
+    """`search` among (id, v) rows whose vectors all have `dims` components."""
+    spark = vectors.sparkSession
     books = fit(vectors, settings)
     held = spark.sparkContext.broadcast(books)
     width = len(books.right)
@@ -154,7 +159,6 @@ def search(table: DataFrame, k: int = 10, every: int = 100, settings: Settings =
     for name, values in full.items():
         values[cells["cell"].to_numpy(np.int64)] = cells[name].to_numpy(float)
     stats = spark.sparkContext.broadcast(full)
-    dims = int(usual["n"])
     queries = placed.filter(F.col("id") % every == 0).select(F.col("id").alias("query_id"), F.col("v").alias("q"))
     blocks = F.ceil(F.col("n") / settings.block_rows).cast("int")
     sizes = spark.createDataFrame(cells[["cell", "n"]]).withColumn("blocks", blocks).select("cell", "blocks")

@@ -47,6 +47,12 @@ def test_all_candidates_ties_and_unfit_vectors(spark):
     assert multiindex.search(table.filter("vec_id = 200")).count() == 0
 
 
+def test_every_length_is_searched(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(20)] + [(100 + i, [float(i), 1.0, 2.0]) for i in range(6)]
+    got = multiindex.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=2, every=100)
+    assert {(r["query_id"], r["rank"], r["vec_id"]) for r in got.collect()} == {(0, 1, 1), (0, 2, 2), (100, 1, 101), (100, 2, 102)}
+
+
 def test_one_repeated_vector(spark):
     rows = [(i, [1.0, 2.0]) for i in range(300)]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
