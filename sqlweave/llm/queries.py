@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sqlweave.llm import decontaminate, languageid, linespread, maintext, mixture, multiindex, quality, simhash, tokenfiles, urlrules
+from sqlweave.llm import (
+    decontaminate, hardnegatives, languageid, linespread, maintext, mixture, multiindex, quality, secretscan, simhash, tokenfiles, urlrules, whitening,
+)
 from sqlweave.session import load
 
 LANGUAGE_FOLDS, QUALITY_FOLDS, QUALITY_HELD = 5, 3, 1
@@ -70,6 +72,18 @@ def source_mix(spark, sf):
     return mixture.mix_sources(load(spark, sf, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def hard_negatives(spark, sf):
+    return hardnegatives.mine_hard_negatives(load(spark, sf, "embeddings"))
+
+
+def whitened_embeddings(spark, sf):
+    return whitening.whiten(load(spark, sf, "embeddings"))
+
+
+def secret_spans(spark, sf):
+    return secretscan.find_secrets(load(spark, sf, "documents").select("doc_id", "text")).drop("text", "found")
+
+
 def pipeline(spark, sf):
     import corpus_pipeline
 
@@ -118,6 +132,42 @@ x as (select c.source, h, upto - n / 2.0 <= target - times * source_size below f
 select doc_id, size, source_size, target, (size * (times + below::int))::bigint taken
 from d join k on d.source is not distinct from k.source join x on d.source is not distinct from x.source and d.h = x.h"""
 
+NEGATIVE_SQL = """with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end label, [floor(256 * c::double) for c in embedding] x
+  from embeddings where label is not null and embedding is not null and not list_contains([c is null or not isfinite(c) for c in embedding], true)),
+s as (select a.vec_id a, r.vec_id r, a.label = r.label same, list_inner_product(a.x, r.x)::bigint score from e a join e r on a.vec_id % 100 = 0 and a.vec_id <> r.vec_id),
+p as (select a, r, score from s where same qualify row_number() over (partition by a order by score desc, r) <= 5),
+n as (select p.a, p.r p, p.score ps, s.r n, s.score ns, row_number() over (partition by p.a, p.r order by s.score desc, s.r) k
+      from p join s on p.a = s.a and not s.same and 80 * p.score <= 100 * s.score and s.score <= p.score)
+select a anchor_id, p positive_id, k::int "rank", n negative_id, ps positive_score, ns negative_score from n where k <= 5"""
+
+# Entropy is worked out anew for every window here; letters of either case are spelt out.
+_EITHER = "|".join("".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+_PATTERNS = {
+    "assign": rf"""({_EITHER})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", "access": "AKIA[A-Z0-9]+", "hex": "[0-9a-f]+",
+    "candidate": r"[0-9A-Za-z+/_=-]+",
+}
+_LEAST = {"assign": secretscan.ASSIGN_VALUE, "access": 20, "hex": 24, "candidate": secretscan.WINDOW}
+_MATCHED = " union all ".join(
+    f"""select rid, '{k}' kind, unnest(range(1, len(ms) + 1)) i, unnest(ms) m, unnest(vs) v, gaps, [length(x) for x in ms] ls from
+    (select rid, regexp_extract_all(body, '{p}', 0) ms, regexp_extract_all(body, '{p}', {2 if k == "assign" else 0}) vs, regexp_split_to_array(body, '{p}') gaps from d)"""
+    for k, p in _PATTERNS.items()
+)
+_ALLOWED = " or ".join(f"regexp_matches(m, '{p}')" for p in secretscan.ALLOWED)
+_SUM = f"""list_min([list_sum([round(c * log2(c) * {secretscan.UNIT})::bigint for c in map_values(list_aggregate(string_split(m[k : k + {secretscan.WINDOW - 1}], ''), 'histogram'))])
+    for k in range(1, length(m) - {secretscan.WINDOW - 2})])"""
+_TOLD = " ".join(f"when regexp_matches(m, '{c.pattern}') then case when {_SUM} <= {secretscan.largest_sum(c.bits)} then '{c.kind}' end" for c in secretscan.CLASSES)
+_ORDER = [*secretscan.BASE_KINDS, *[c.kind for c in secretscan.CLASSES]]
+SECRET_SQL = f"""with d as (select row_number() over () rid, doc_id, coalesce(text, '') body from documents),
+m as ({_MATCHED}),
+placed as (select rid, kind, m, (list_sum([length(g) for g in gaps[1:i]]) + coalesce(list_sum(ls[1 : i - 1]), 0))::bigint s, length(m) n
+       from m where length(v) >= case kind {" ".join(f"when '{k}' then {n}" for k, n in _LEAST.items())} end),
+k as (select rid, s, s + n e, case when kind <> 'candidate' then kind when {_ALLOWED} then null {_TOLD} end kind from placed),
+l as (select rid, kind, kind || ':' || s || ':' || e span, s, list_position({_ORDER}, kind) place from k where kind is not null),
+g as (select rid, count(*) filter (where kind = 'assign') na, count(*) filter (where kind = 'access') nk, count(*) filter (where kind = 'hex') nh,
+      string_agg(span, ',' order by s, place) filter (where place <= {len(secretscan.BASE_KINDS)}) base, string_agg(span, ',' order by s, place) spans from l group by rid)
+select doc_id, coalesce(na, 0) n_assign, coalesce(nk, 0) n_access, coalesce(nh, 0) n_hex, sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans
+from d left join g using (rid)"""
+
 QUERIES = {
     "op1_language_id": (language_id, None),
     "op2_simhash_dedup": (near_dedup, None),
@@ -129,5 +179,8 @@ QUERIES = {
     "op8_line_spread": (line_spread, LINE_SQL),
     "op9_decontaminate": (benchmark_overlap, OVERLAP_SQL),
     "op10_mixture": (source_mix, MIX_SQL),
+    "op11_hard_negatives": (hard_negatives, NEGATIVE_SQL),
+    "op12_whitening": (whitened_embeddings, None),
+    "op13_secret_scan": (secret_spans, SECRET_SQL),
     "pipeline": (pipeline, None),
 }
