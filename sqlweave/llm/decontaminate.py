@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sqlweave.llm.columns import carried
 from sqlweave.session import materialise
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -44,17 +45,17 @@ def find_overlaps(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     one window. A document word inside any occurrence of a window is hit.
 
     Shingles are the tokens of a set join in which a window must be contained whole, so its
-    necessary prefix is its one rarest shingle, by counts over all documents. Only documents
-    that hold a window's prefix token are looked at; the token's place in the window bounds where
-    the window can start and end, and the words there are compared one by one.
+    necessary prefix is its one rarest shingle, by counts over all documents. Each spot of a document at
+    which such a token stands carries the words around it; the token's place in the window bounds where
+    the window can start and end there, and the words are compared one by one.
 
     Documents are told apart by the md5 of their text, so that copies, repeated rows and null
     ids do no harm. A null text has no words. Items with a null id mark words as hit but are not
-    counted or listed; equal ids count once. Without items, nothing is hit and items_sha256 is
-    that of the empty string. Columns of the five names above are replaced.
+    counted or listed; equal ids count once, and of equally rare shingles any serves. Without items,
+    nothing is hit and items_sha256 is that of the empty string; no documents give no rows. Columns of
+    the five names above are replaced, others stay whatever they are called.
     """
-    made = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-    kept = [c for c in documents.columns if c not in made]
+    inward, outward = carried(documents, ("n_words", "n_hit", "n_items", "items_sha256", "contaminated"))
     windows, owners = _windows(benchmark, window)
     windows = windows.withColumn("n", F.size("words")).withColumn("size", F.least("n", F.lit(SHINGLE)))
     sizes = sorted(r["size"] for r in windows.select("size").distinct().collect())  # at most SHINGLE rows
@@ -64,16 +65,16 @@ def find_overlaps(documents: DataFrame, benchmark: DataFrame, window: int = WIND
             "window_id", "words", "n", F.explode(_shingles(F.col("words"), size)).alias("s")
         )
         tokens = part if tokens is None else tokens.unionByName(part)
-    key = F.md5(F.coalesce("text", F.lit("")))
-    keyed = documents.select(
-        *[F.col(f"`{c}`") for c in kept], key.alias("__key"), F.size(words_of(F.col("text"))).cast("long").alias("n_words")
-    )
+    key = F.unhex(F.md5(F.coalesce("text", F.lit(""))))
+    keyed = documents.select(*inward, key.alias("key"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    no_hits = [F.lit(0).cast("long").alias("n_hit"), F.lit(0).cast("long").alias("n_items"), F.lit("").alias("item_ids")]
     if tokens is None:
-        found = keyed.select("__key").limit(0).withColumns({"n_hit": F.lit(0).cast("long"), "n_items": F.lit(0).cast("long"), "item_ids": F.lit("")})
+        joined = keyed.select("*", *no_hits)
     else:
-        found = _found(documents, tokens, owners, sizes, key)
-    return keyed.join(found, "__key", "left").select(
-        *[F.col(f"`{c}`") for c in kept],
+        # Written, so that Spark sees how little of it there is, and moves no text where it can do without.
+        joined = keyed.join(materialise(_found(documents, tokens, owners, sizes, window, key)), "key", "left")
+    return joined.select(
+        *outward,
         "n_words",
         F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
         F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
@@ -82,46 +83,40 @@ def find_overlaps(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     )
 
 
-def _found(documents: DataFrame, tokens: DataFrame, owners: DataFrame, sizes: list[int], key: Column) -> DataFrame:
-    """(__key, n_hit, n_items, item_ids) of the texts in which windows occur."""
+def _found(documents: DataFrame, tokens: DataFrame, owners: DataFrame, sizes: list[int], window: int, key: Column) -> DataFrame:
+    """(key, n_hit, n_items, item_ids) of the texts in which windows occur."""
     tokens = materialise(tokens.select("window_id", "words", "n", F.col("s.size").alias("size"), F.col("s.at").alias("offset"), F.col("s.token").alias("token")))
     known = materialise(tokens.select("size", "token").distinct())
-    worded = documents.filter(F.col("text").isNotNull()).select(key.alias("__key"), words_of(F.col("text")).alias("words"))
+    worded = documents.filter(F.col("text").isNotNull()).select(key.alias("key"), words_of(F.col("text")).alias("words"))
     shingled = F.concat(*[_shingles(F.col("words"), size) for size in sizes])
-    spots = worded.select("__key", F.explode(shingled).alias("x")).select("__key", "x.size", "x.at", "x.token")
-    spots = materialise(spots.join(known, ["size", "token"]))
+    every = worded.select("key", "words", F.explode(shingled).alias("x")).select("key", "words", "x.size", "x.at", "x.token")
+    # A window that holds the token begins at most `before` words earlier, and ends `window` words later at most.
+    before = F.least(F.col("at"), F.lit(window) - F.col("size"))
+    around = F.array_join(F.slice("words", F.col("at") - before + 1, before + window), " ")
+    spots = materialise(every.join(known, ["size", "token"]).select("key", "size", "token", "at", before.alias("before"), around.alias("around")))
     counts = spots.groupBy("size", "token").agg(F.count(F.lit(1)).alias("seen"))
     # Rarest first; tokens in no document make their windows impossible.
     ranked = tokens.join(counts, ["size", "token"], "left").groupBy("window_id").agg(
         F.min(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), F.col("token"), F.col("offset"), F.col("size"), F.col("n"), F.col("words"))).alias("p")
     )
-    prefixes = ranked.filter("p.seen > 0").select("window_id", "p.token", "p.offset", "p.size", "p.n", "p.words")
-    # A text may stand in many rows: its spots count once. Spots that start too early fall out here.
-    aimed = (
-        spots.join(prefixes, ["size", "token"])
-        .filter(F.col("at") >= F.col("offset"))
-        .select("__key", "window_id", (F.col("at") - F.col("offset")).alias("start"), "n", F.col("words").alias("wanted"))
-        .distinct()
-    )
-    candidates = aimed.groupBy("__key").agg(F.collect_list(F.struct("start", "n", "window_id", "wanted")).alias("spots"))
-    texts = worded.join(candidates.select("__key"), "__key", "left_semi").dropDuplicates(["__key"])
-    fitting = F.filter(
-        "spots",
-        lambda s: (s["start"] + s["n"] <= F.size("words")) & (F.slice("words", s["start"] + 1, s["n"]) == s["wanted"]),
-    )
+    prefixes = ranked.filter("p.seen > 0").select("window_id", "p.token", "p.offset", "p.size", "p.n", F.col("p.words").alias("wanted"))
+    # Spots that start too early fall out here. A text may stand in many rows: its hits count once.
+    first = F.col("before") - F.col("offset")
+    fits = F.slice(F.split("around", " "), first + 1, F.col("n")) == F.col("wanted")
     hits = materialise(
-        texts.join(candidates, "__key")
-        .select("__key", F.explode(F.transform(fitting, lambda s: F.struct(s["start"].alias("start"), s["n"].alias("n"), s["window_id"].alias("window_id")))).alias("h"))
-        .select("__key", "h.start", "h.n", "h.window_id")
+        spots.join(materialise(prefixes), ["size", "token"])
+        .filter(F.when(first >= 0, fits).otherwise(False))
+        .select("key", "window_id", (F.col("at") - F.col("offset")).alias("start"), "n")
+        .distinct()
     )
     end = F.col("start") + F.col("n")
-    earlier = Window.partitionBy("__key").orderBy("start", "n").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("key").orderBy("start", "n").rowsBetween(Window.unboundedPreceding, -1)
     fresh = end - F.greatest(F.col("start"), F.least(end, F.coalesce(F.max(end).over(earlier), F.lit(0))))
-    covered = hits.select("__key", "start", "n").distinct().withColumn("fresh", fresh)
-    covered = covered.groupBy("__key").agg(F.sum("fresh").cast("long").alias("n_hit"))
+    covered = hits.select("key", "start", "n").distinct().withColumn("fresh", fresh)
+    covered = covered.groupBy("key").agg(F.sum("fresh").cast("long").alias("n_hit"))
     listed = (
-        hits.select("__key", "window_id").distinct().join(owners, "window_id").select("__key", "item_id").distinct()
-        .groupBy("__key").agg(F.array_sort(F.collect_list(F.col("item_id").cast("string"))).alias("ids"))
-        .select("__key", F.size("ids").cast("long").alias("n_items"), F.array_join("ids", ",").alias("item_ids"))
+        hits.select("key", "window_id").distinct().join(owners, "window_id").select("key", "item_id").distinct()
+        .groupBy("key").agg(F.array_sort(F.collect_list(F.col("item_id").cast("string"))).alias("ids"))
+        .select("key", F.size("ids").cast("long").alias("n_items"), F.array_join("ids", ",").alias("item_ids"))
     )
-    return covered.join(listed, "__key", "left")
+    return covered.join(listed, "key", "left")

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sqlweave.llm.columns import carried, quoted
+from sqlweave.session import materialise
+
 UNDETERMINED = "und"
 SIZES = (3, 4)
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+_NOT_LETTERS = regex.compile(r"\P{L}+")
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 
 
@@ -111,7 +114,7 @@ def train(labelled: DataFrame, settings: Settings = Settings()) -> Filters:
     shares = labelled.sparkSession.createDataFrame([(k, settings.sample_docs / n) for k, n in sizes.items()], "lang string, share double")
     place = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11) / float(1 << 53)
     sample = (
-        usable.join(F.broadcast(shares), "lang").filter(place < F.col("share")).select("lang", "text").distinct()
+        usable.join(shares, "lang").filter(place < F.col("share")).select("lang", "text").distinct()
     )
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -121,7 +124,7 @@ def train(labelled: DataFrame, settings: Settings = Settings()) -> Filters:
                     grams, n = np.unique(np.concatenate([ngrams(t) for t in some]), return_counts=True)
                     yield pd.DataFrame({"lang": lang, "gram": grams.view(np.int64), "n": n})
 
-    counts = sample.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = materialise(sample.mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     rated = counts.join(totals, "lang").withColumn("rate", F.col("n") / F.col("total"))
     peaks = rated.groupBy("gram").agg(F.max("rate").alias("peak"))
@@ -146,10 +149,11 @@ def identify(documents: DataFrame, filters: Filters, text: str = "text") -> Data
     """Add lang_pred and score to every row; only `text` is looked at.
 
     A null text, or one without a letter, is `und` with score 0; so is everything when nothing
-    was learned. Equal scores go to the language that sorts first. Columns of the two names are
-    replaced; an empty table gives an empty result.
+    was learned. Equal scores go to the language that sorts first, and repeated rows are judged alike.
+    Columns of the two names are replaced, others stay whatever they are called; an empty table gives
+    an empty result.
     """
-    kept = [c for c in documents.columns if c not in ("lang_pred", "score")]
+    inward, outward = carried(documents, ("lang_pred", "score"))
     held = documents.sparkSession.sparkContext.broadcast(filters)
 
     @F.pandas_udf("lang_pred string, score double")
@@ -158,9 +162,7 @@ def identify(documents: DataFrame, filters: Filters, text: str = "text") -> Data
 
     # Else a later filter on the prediction would run it a second time, in a second Python worker.
     predicted = predicted.asNondeterministic()
-    return documents.select(*[F.col(f"`{c}`") for c in kept], predicted(F.col(f"`{text}`").cast("string")).alias("__p")).select(
-        *[F.col(f"`{c}`") for c in kept], "__p.lang_pred", "__p.score"
-    )
+    return documents.select(*inward, predicted(F.col(quoted(text)).cast("string")).alias("told")).select(*outward, "told.lang_pred", "told.score")
 
 
 def fold(doc_id: Column, folds: int) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sqlweave.llm.columns import carried, quoted
 from sqlweave.session import materialise
 
 # Sketches have 2^LG_K registers. Their standard error is about 1.04 / sqrt(2^LG_K) at most;
@@ -27,25 +28,26 @@ def drop_site_boilerplate(
     never removed. Each task sketches the sites of its lines, sketches of a line merge in the
     aggregation, and a line is decided by its estimate unless that is near `min_sites`: such
     lines get an exact distinct count. `n_lines` and `n_removed` are added; other columns stay,
-    columns of those two names are replaced.
+    columns of those two names are replaced, whatever the others are called.
 
     A null text stays null with 0 lines; a null site counts as no site. Removal is decided for
     each text, so repeated rows and null ids are treated alike. An empty table gives an empty
     result.
     """
-    kept = [c for c in documents.columns if c not in ("n_lines", "n_removed")]
-    content, where = F.col(f"`{text}`"), F.col(f"`{site}`")
+    inward, outward = carried(documents, ("n_lines", "n_removed"))
+    place = [c for c in documents.columns if c.lower() not in ("n_lines", "n_removed")].index(text)
+    content, where = F.col(quoted(text)), F.col(quoted(site))
     lines = F.split(content, "\n", -1)
     trimmed = lambda x: F.trim(x, F.lit(" \t\r\u000b\f"))
-    source = documents.select(content.alias("__text"), where.cast("string").alias("__site"))
+    source = documents.select(content.alias("content"), where.cast("string").alias("place"))
     spread_lines = (
-        source.filter(F.col("__site").isNotNull() & F.col("__text").isNotNull())
-        .select("__site", F.explode(F.transform(F.split("__text", "\n", -1), trimmed)).alias("line"))
+        source.filter(F.col("place").isNotNull() & F.col("content").isNotNull())
+        .select("place", F.explode(F.transform(F.split("content", "\n", -1), trimmed)).alias("line"))
         .filter(F.col("line") != "")
-        .select("__site", line_hash(F.col("line")).alias("h"))
+        .select("place", line_hash(F.col("line")).alias("h"))
     )
     sketched = spread_lines.groupBy("h").agg(
-        F.hll_sketch_estimate(F.hll_sketch_agg("__site", F.lit(LG_K))).alias("sites")
+        F.hll_sketch_estimate(F.hll_sketch_agg("place", F.lit(LG_K))).alias("sites")
     )
     # Far below the limit most lines fall out here and are never written.
     wide = materialise(sketched.filter(F.col("sites") >= min_sites * (1 - margin)))
@@ -57,26 +59,25 @@ def drop_site_boilerplate(
     boilerplate = materialise(
         wide.filter(F.col("sites") > min_sites * (1 + margin)).select("h").union(exact.select("h"))
     )
-    key = F.md5(F.coalesce(content, F.lit("")))
+    key = F.unhex(F.md5(F.coalesce(content, F.lit(""))))
     # The lines to remove from each text that has any: at most as many as the text has.
-    marked = (
+    marked = materialise(
         documents.filter(content.isNotNull())
-        .select(key.alias("__key"), F.explode(F.array_distinct(F.transform(lines, lambda x: line_hash(trimmed(x))))).alias("h"))
+        .select(key.alias("key"), F.explode(F.array_distinct(F.transform(lines, lambda x: line_hash(trimmed(x))))).alias("h"))
         .join(boilerplate, "h", "left_semi")
         .distinct()
-        .groupBy("__key")
-        .agg(F.collect_list("h").alias("__drop"))
+        .groupBy("key")
+        .agg(F.collect_list("h").alias("gone"))
     )
-    stays = F.filter(lines, lambda x: ~F.array_contains(F.col("__drop"), line_hash(trimmed(x))))
-    has = F.col("__drop").isNotNull()
-    n_lines = F.when(content.isNull(), 0).otherwise(F.size(lines)).cast("long")
+    kept = F.col(f"kept_{place}")
+    now = F.split(kept, "\n", -1)
+    stays = F.filter(now, lambda x: ~F.array_contains(F.col("gone"), line_hash(trimmed(x))))
+    has = F.col("gone").isNotNull()
+    n_lines = F.when(kept.isNull(), 0).otherwise(F.size(now)).cast("long")
+    outward[place] = F.when(has, F.array_join("stays", "\n")).otherwise(kept).alias(text)
     return (
-        documents.select(*[F.col(f"`{c}`") for c in kept], key.alias("__key"))
-        .join(marked, "__key", "left")
-        .withColumn("__stays", F.when(has, stays))
-        .select(
-            *[F.when(has, F.array_join("__stays", "\n")).otherwise(content).alias(text) if c == text else F.col(f"`{c}`") for c in kept],
-            n_lines.alias("n_lines"),
-            F.when(has, n_lines - F.size("__stays")).otherwise(F.lit(0)).cast("long").alias("n_removed"),
-        )
+        documents.select(*inward, key.alias("key"))
+        .join(marked, "key", "left")
+        .withColumn("stays", F.when(has, stays))
+        .select(*outward, n_lines.alias("n_lines"), F.when(has, n_lines - F.size("stays")).otherwise(F.lit(0)).cast("long").alias("n_removed"))
     )

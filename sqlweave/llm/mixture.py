@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sqlweave.llm.columns import carried
 from sqlweave.session import materialise
 
 SPACE_WORDS = r"[^\x20\x09-\x0D]+"
@@ -84,14 +85,13 @@ def mix_sources(
 
     Null texts have size 0 and are taken as 0 words; a null source is a source of its own, last
     in order. Rows equal in id and text share a hash and are taken alike. Columns named size,
-    source_size, target or taken are replaced. An empty table gives an empty result.
+    source_size, target or taken are replaced, others stay whatever they are called. An empty table gives
+    an empty result.
     """
     made = ("size", "source_size", "target", "taken")
-    kept = [c for c in documents.columns if c not in made]
-    sized = documents.select(
-        *[F.col(f"`{c}`") for c in kept], count_words(F.col("text")).alias("size"), mixing_hash(F.col("doc_id"), F.col("text")).alias("__hash")
-    )
-    slim = materialise(sized.select("source", "size", "__hash"))
+    inward, outward = carried(documents, made)
+    sized = documents.select(*inward, "source", count_words(F.col("text")).alias("size"), mixing_hash(F.col("doc_id"), F.col("text")).alias("hash"))
+    slim = materialise(sized.select("source", "size", "hash"))
     totals = slim.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = materialise(source_targets(totals, list(weights), share, most))
     times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
@@ -102,13 +102,13 @@ def mix_sources(
     )
     for level in range(1, LEVELS + 1):
         plan = materialise(_refine(slim, plan, level))
-    extra = (F.col("__hash") < F.col("p.threshold")).cast("long")
+    extra = (F.col("hash") < F.col("p.threshold")).cast("long")
     source_key = F.col("d.source").eqNullSafe(F.col("p.source"))
     return (
         sized.alias("d")
         .join(plan.alias("p"), source_key, "left")
         .select(
-            *[F.col(f"d.`{c}`") for c in kept],
+            *outward,
             F.col("d.size").alias("size"),
             F.col("p.source_size").alias("source_size"),
             F.col("p.target").alias("target"),
@@ -124,11 +124,11 @@ def _refine(slim: DataFrame, plan: DataFrame, level: int) -> DataFrame:
     bucket, which then is one hash, counts as below when that brings the sum nearer to the budget.
     """
     shift = 60 - LEVEL_BITS * level
-    open_from = F.shiftright(F.col("__hash"), shift + LEVEL_BITS) == F.shiftright(F.col("threshold"), shift + LEVEL_BITS)
+    open_from = F.shiftright(F.col("hash"), shift + LEVEL_BITS) == F.shiftright(F.col("threshold"), shift + LEVEL_BITS)
     inside = slim.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")))
     if level > 1:
         inside = inside.filter(open_from)
-    buckets = inside.groupBy(F.col("d.source").alias("source"), F.shiftright("__hash", shift).alias("bucket")).agg(
+    buckets = inside.groupBy(F.col("d.source").alias("source"), F.shiftright("hash", shift).alias("bucket")).agg(
         F.sum("size").alias("n")
     )
     upto = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)

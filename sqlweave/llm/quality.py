@@ -9,9 +9,12 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sqlweave.llm.columns import carried, quoted
+from sqlweave.session import materialise
+
 _TOKENS = re.compile(r"\w+|[^\w\s]+")
 
 
@@ -72,19 +75,38 @@ def logistic(x: float) -> float:
     return float(1.0 / (1.0 + np.exp(-np.clip(x, -35.0, 35.0))))
 
 
+def _order() -> Column:
+    return F.xxhash64("doc_id", "text")
+
+
+def sample_labelled(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(doc_id, text, quality) of the `sample_docs` labelled documents whose hash is smallest.
+
+    Hashes and labels are joined without texts; the chosen hashes, at most `sample_docs` of them, are broadcast
+    to where the texts are read, so no other text moves. Null labels do not count, and of several for one
+    document the largest does.
+    """
+    marked = labels.filter(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    hashed = documents.select("doc_id", _order().alias("h"))
+    chosen = materialise(hashed.join(marked, "doc_id").groupBy("h").agg(F.min("quality").alias("quality")).orderBy("h").limit(settings.sample_docs))
+    source = documents.select("doc_id", "text", _order().alias("h"))
+    return source.join(F.broadcast(chosen), "h").select("doc_id", "text", "quality")
+
+
 def train(labelled: DataFrame, settings: Settings = Settings()) -> np.ndarray:
     """Weights from rows (doc_id, text, quality); rows with a null quality teach nothing.
 
     The `sample_docs` rows whose hash is smallest are learned from, dealt to `shards` learners
     that see their rows in a fixed order `epochs` times; the learners' weights are averaged in
-    Spark. The weight table has 2^dim_bits entries whatever the corpus.
+    Spark. The weight table has 2^dim_bits entries whatever the corpus. Repeated rows teach once, and
+    no rows give weights of zero.
     """
-    usable = labelled.filter(F.col("quality").isNotNull())
-    order = F.xxhash64("doc_id", "text")
-    picked = usable.select(order.alias("h")).orderBy("h").limit(settings.sample_docs)
-    sample = usable.withColumn("h", order).join(picked.distinct(), "h", "left_semi").select(
-        "h", F.pmod("h", F.lit(settings.shards)).alias("shard"), "text", F.col("quality").cast("double").alias("label")
-    ).dropDuplicates(["h"])
+    usable = labelled.filter(F.col("quality").isNotNull()).select(_order().alias("h"), "text", F.col("quality").cast("double").alias("label"))
+    shard = F.pmod("h", F.lit(settings.shards)).alias("shard")
+    once = materialise(usable.groupBy("h").agg(F.min("text").alias("text"), F.max("label").alias("label")).select("h", shard, "text", "label"))
+    # One number: the largest hash of those learned from.
+    last = once.select("h").orderBy("h").limit(settings.sample_docs).agg(F.max("h")).first()[0]
+    sample = once.filter(F.col("h") <= F.lit(last))
 
     def learn(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         model = Ftrl(settings)
@@ -108,10 +130,11 @@ def train(labelled: DataFrame, settings: Settings = Settings()) -> np.ndarray:
 def score_quality(documents: DataFrame, weights: np.ndarray, text: str = "text") -> DataFrame:
     """Add score (0 to 1) and predicted (1 from 0.5 on) to every row; only `text` is looked at.
 
-    A null or empty text is scored by the constant term alone. Columns of the two names are
-    replaced; an empty table gives an empty result.
+    A null or empty text is scored by the constant term alone, and hashes that tie share one weight.
+    Repeated rows are scored alike. Columns of the two names are replaced, others stay whatever they are
+    called; an empty table gives an empty result.
     """
-    kept = [c for c in documents.columns if c not in ("score", "predicted")]
+    inward, outward = carried(documents, ("score", "predicted"))
     held = documents.sparkSession.sparkContext.broadcast(weights)
     dim_bits = len(weights).bit_length() - 1
 
@@ -123,5 +146,5 @@ def score_quality(documents: DataFrame, weights: np.ndarray, text: str = "text")
     def scored(texts: pd.Series) -> pd.Series:
         return pd.Series([score(t) for t in texts], dtype=float)
 
-    made = documents.select(*[F.col(f"`{c}`") for c in kept], scored(F.col(f"`{text}`").cast("string")).alias("score"))
-    return made.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    made = documents.select(*inward, scored(F.col(quoted(text)).cast("string")).alias("score"))
+    return made.select(*outward, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -39,8 +39,7 @@ def token_output(spark, sf):
 def quality_score(spark, sf):
     documents, labels = load(spark, sf, "documents"), load(spark, sf, "labels")
     remainder = languageid.fold(F.col("doc_id"), QUALITY_FOLDS)
-    marked = labels.filter(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    known = documents.filter(remainder != QUALITY_HELD).join(marked, "doc_id").select("doc_id", "text", "quality")
+    known = quality.sample_labelled(documents.filter(remainder != QUALITY_HELD), labels)
     scored = quality.score_quality(documents.select("doc_id", "text"), quality.train(known))
     return scored.select("doc_id", F.coalesce(remainder == QUALITY_HELD, F.lit(False)).alias("held_out"), "score", "predicted")
 

@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sqlweave.llm.columns import carried
 from sqlweave.llm.components import smallest_reachable
 from sqlweave.session import materialise
 
@@ -22,11 +23,13 @@ HALF_BITS = 32
 # differ in at most THRESHOLD // 2 bits of one of their halves.
 CODE_BITS, RADIUS, THRESHOLD = 31, 1, 2
 
-# For links confirmed by similarity: WIDE fingerprint bits, of which each of PARTS parts takes two
-# words of PART_BITS bits. Anchors are the words of the (15, 11) Hamming code, which is perfect too.
-WIDE, PARTS, PART_BITS = 1024, 200, 15
-# A candidate pair is confirmed on its texts unless more than this share of all bits differs:
-# similarity 0.8 makes 0.15 on average, 0.5 makes 0.27.
+# For links confirmed by similarity: SimHash sums of WIDE bits, of which each of WORDS words takes
+# WORD_BITS. A word's anchor is the nearest code word of the first-order Reed-Muller code of that
+# length, of which there are 2 * WORD_BITS. Each of PARTS parts is the anchors of PART_WORDS words.
+WIDE, WORDS, WORD_BITS, PARTS, PART_WORDS = 1024, 64, 256, 96, 3
+# Texts that share a part are compared by SKETCH_BITS of their bits first: similarity 0.8 makes about 10
+# of 64 differ, unrelated texts 32. Then all bits are, of which 0.15 and 0.5 differ (0.27 at similarity 0.5).
+SKETCH_BITS, SKETCH_DIFFERENT = 64, 20
 MAX_DIFFERENT = 0.25
 
 
@@ -133,11 +136,10 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
 
 _MIXERS = (np.random.default_rng(SEED).integers(0, 1 << 63, WIDE // 64, np.uint64) << np.uint64(1)) | np.uint64(1)
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
-_PART_PLACES = np.stack([np.random.default_rng([SEED, p]).permutation(WIDE)[: 2 * PART_BITS].reshape(2, PART_BITS) for p in range(PARTS)])
 
 
-def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
-    """WIDE SimHash bits over a set of shingle hashes, each mixed anew for every 64 bits."""
+def wide_sums(hashes: np.ndarray) -> np.ndarray:
+    """SimHash sums of WIDE bits, set less unset, over a set of shingle hashes, each mixed anew for every 64 bits."""
     counts, size = np.zeros((WIDE // 8, 256), np.int64), WIDE // 8
     for start in range(0, len(hashes), 8192):
         mixed = hashes[start : start + 8192, None] * _MIXERS[None, :]
@@ -146,16 +148,33 @@ def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
         mixed ^= mixed >> np.uint64(32)
         places = mixed.view(np.uint8).reshape(-1, size) + 256 * np.arange(size)
         counts += np.bincount(places.ravel(), minlength=256 * size).reshape(size, 256)
-    return (2 * (counts @ _BYTE_BITS).ravel() > len(hashes)).astype(np.uint8)
+    return 2 * (counts @ _BYTE_BITS).ravel() - len(hashes)
 
 
-def home_anchors(bits: np.ndarray) -> np.ndarray:
-    """PARTS numbers for each row of fingerprint bits: the part and the home anchors of its two words."""
-    cut = bits[:, _PART_PLACES].astype(np.int64)
-    word = cut @ (1 << np.arange(PART_BITS))
-    syndrome = np.bitwise_xor.reduce(cut * np.arange(1, PART_BITS + 1), axis=-1)
-    anchor = word ^ np.where(syndrome > 0, 1 << np.maximum(syndrome - 1, 0), 0)
-    return np.arange(PARTS) << 2 * PART_BITS | anchor[..., 0] << PART_BITS | anchor[..., 1]
+def _hadamard(size: int) -> np.ndarray:
+    """Signs of the first-order Reed-Muller code's words, but for their complements."""
+    n = np.arange(size)
+    return (1 - 2 * (np.bitwise_count(n[:, None] & n[None, :]) & 1)).astype(np.float32)
+
+
+_SIDE = int(WORD_BITS**0.5)
+_SQUARE = _hadamard(_SIDE)
+_draw = np.random.default_rng([SEED, WIDE])
+_PLACES = np.stack([_draw.permutation(WIDE)[:WORD_BITS] for _ in range(WORDS)])
+_SIGNS = (1 - 2 * _draw.integers(0, 2, (WORDS, WORD_BITS))).astype(np.float32)
+PART_PLACES = [sorted(_draw.permutation(WORDS)[:PART_WORDS].tolist()) for _ in range(PARTS)]
+
+
+def home_anchors(sums: np.ndarray) -> np.ndarray:
+    """The anchor of each of WORDS words for each row of sums: number and sign of the nearest code word.
+
+    The products with all code words are one Hadamard transform, here as two products with its square root.
+    """
+    words = sums[:, _PLACES].astype(np.float32) * _SIGNS
+    rows = words.reshape(-1, _SIDE) @ _SQUARE
+    fit = (rows.reshape(-1, _SIDE, _SIDE).swapaxes(1, 2).reshape(-1, _SIDE) @ _SQUARE).reshape(len(sums), WORDS, WORD_BITS)
+    best = np.abs(fit).argmax(2)
+    return 2 * best + (np.take_along_axis(fit, best[..., None], 2)[..., 0] < 0)
 
 
 def with_wide_fingerprints(documents: DataFrame, words: int) -> DataFrame:
@@ -166,23 +185,27 @@ def with_wide_fingerprints(documents: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for start in range(0, whole.num_rows, 256):
-                batch = whole.slice(start, 256)
+            for start in range(0, whole.num_rows, 128):
+                batch = whole.slice(start, 128)
                 sets = [shingle_hashes(t.as_py(), words) for t in batch.column("text")]
                 prints = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
-                bits = np.stack([wide_fingerprint(s) for s in sets])
-                packed = np.packbits(bits, axis=1, bitorder="little").view(np.int64)
-                anchors = [a if len(s) else [] for a, s in zip(home_anchors(bits), sets)]
+                sums = np.stack([wide_sums(s) for s in sets])
+                packed = np.packbits((sums > 0).astype(np.uint8), axis=1, bitorder="little").view(np.int64)
+                anchors = [a if len(s) else [] for a, s in zip(home_anchors(sums).astype(np.int16), sets)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id"), batch.column("text_hash"), pa.array(prints),
-                        pa.array(list(packed), pa.list_(pa.int64())), pa.array(anchors, pa.list_(pa.int64())),
+                        pa.array(list(packed), pa.list_(pa.int64())), pa.array(anchors, pa.list_(pa.int16())),
                     ],
                     ["doc_id", "text_hash", "fp", "bits", "anchors"],
                 )
 
     slim = documents.select(F.col("doc_id").cast("long"), _text_hash().alias("text_hash"), F.col("text").cast("string"))
-    return slim.mapInArrow(run, "doc_id long, text_hash long, fp long, bits array<bigint>, anchors array<bigint>")
+    return slim.mapInArrow(run, "doc_id long, text_hash long, fp long, bits array<bigint>, anchors array<smallint>")
+
+
+def _different(a: str, b: str) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
 def _confirmed(pairs: DataFrame, classes: DataFrame, documents: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -197,7 +220,7 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, documents: DataFrame, words
     close = materialise(
         pairs.join(side("u"), "u").join(side("v"), "v").filter(apart <= int(MAX_DIFFERENT * WIDE)).select("u", "v", "u_hash", "v_hash")
     )
-    asked = close.select(F.explode(F.array("u_hash", "v_hash")).alias("h")).distinct()
+    asked = materialise(close.select(F.explode(F.array("u_hash", "v_hash")).alias("h")).distinct())
     hashed = documents.select(_text_hash().alias("h"), F.col("text").cast("string").alias("t"))
     texts = materialise(hashed.join(asked, "h", "left_semi").groupBy("h").agg(F.min("t").alias("t")))
     text = lambda n: texts.select(F.col("h").alias(f"{n}_hash"), F.col("t").alias(f"{n}_text"))
@@ -208,23 +231,38 @@ def similar_roots(prints: DataFrame, documents: DataFrame, words: int, similarit
     """(fp, root) of every class: classes linked over texts of `similarity` or more have one root.
 
     Each part of a fingerprint is assigned to its home anchors; texts that share those of one part
-    are candidates. At first each is compared with one text of its anchor only, then with all whose
-    root is another, so a group of copies of one text is not paired with itself.
+    are compared there. At first each meets one text of its anchor only, its lead; where an anchor then
+    holds several roots, the texts of all roots but its commonest meet all texts of other roots. So a
+    group of copies of one text is not paired with itself, however large.
     """
     classes = materialise(prints.groupBy("fp").agg(F.min("text_hash").alias("text_hash"), F.first("bits").alias("bits"), F.first("anchors").alias("anchors")))
-    placed = classes.select("fp", F.explode("anchors").alias("anchor"))
-    shared = placed.groupBy("anchor").agg(F.min("fp").alias("lead"), F.max("fp").alias("last")).filter("lead < last").select("anchor", "lead")
-    met = materialise(placed.join(shared, "anchor"))
-    leads = materialise(met.filter("fp != lead").select(F.col("lead").alias("u"), F.col("fp").alias("v")).distinct())
+    parts = F.array(*[F.xxhash64(F.lit(i), *[F.get("anchors", F.lit(w)) for w in part]) for i, part in enumerate(PART_PLACES)])
+    sketch = F.element_at("bits", 1).alias("sketch")
+    placed = classes.filter(F.size("anchors") > 0).select("fp", sketch, F.explode(parts).alias("anchor"))
+    lead = F.min(F.struct("fp", "sketch"))
+    shared = placed.groupBy("anchor").agg(lead.alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = materialise(shared.select("anchor", F.col("lead.fp").alias("lead"), F.col("lead.sketch").alias("lead_sketch"), "n"))
+    near_lead = _different("sketch", "lead_sketch") <= SKETCH_DIFFERENT
+    # Of an anchor with two texts nothing is left once these have met.
+    met = materialise(placed.join(shared, "anchor").filter((F.col("n") > 2) | (near_lead & (F.col("fp") != F.col("lead")))))
+    leads = materialise(met.filter((F.col("fp") != F.col("lead")) & near_lead).select(F.col("lead").alias("u"), F.col("fp").alias("v")).distinct())
     links = _confirmed(leads, classes, documents, words, similarity)
-    roots = smallest_reachable(links).select(F.col("node").alias("fp"), "root")
-    rooted = met.join(roots, "fp", "left").select("anchor", "fp", F.coalesce("root", "fp").alias("root"))
-    mixed = rooted.groupBy("anchor").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a < b").select("anchor")
-    open_rows = materialise(rooted.join(mixed, "anchor"))
-    left = open_rows.select("anchor", F.col("fp").alias("u"), F.col("root").alias("u_root"))
-    right = open_rows.select("anchor", F.col("fp").alias("v"), F.col("root").alias("v_root"))
-    rest = left.join(right, "anchor").filter("u < v and u_root != v_root").select("u", "v").distinct()
-    more = _confirmed(rest.join(leads, ["u", "v"], "left_anti"), classes, documents, words, similarity)
+    roots = materialise(smallest_reachable(links).select(F.col("node").alias("fp"), "root"))
+    rooted = materialise(
+        met.filter("n > 2").select("anchor", "fp", "sketch").join(roots, "fp", "left").select("anchor", "fp", "sketch", F.coalesce("root", "fp").alias("root"))
+    )
+    sizes = rooted.groupBy("anchor", "root").agg(F.count(F.lit(1)).alias("n"))
+    mixed = sizes.groupBy("anchor").agg(F.max_by("root", F.struct("n", "root")).alias("common"), F.count(F.lit(1)).alias("roots")).filter("roots > 1")
+    open_rows = materialise(rooted.join(mixed.select("anchor", "common"), "anchor"))
+    left = open_rows.filter("root != common").select("anchor", F.col("fp").alias("u"), F.col("root").alias("u_root"), F.col("sketch").alias("u_sketch"))
+    right = open_rows.select(
+        F.col("anchor").alias("at"), F.col("fp").alias("v"), F.col("root").alias("v_root"), F.col("sketch").alias("v_sketch"), (F.col("root") == F.col("common")).alias("v_common")
+    )
+    # Pairs of two uncommon roots meet twice and count once.
+    apart = (F.col("u_root") != F.col("v_root")) & (F.col("v_common") | (F.col("u") < F.col("v")))
+    rest = left.join(right, (F.col("anchor") == F.col("at")) & apart & (_different("u_sketch", "v_sketch") <= SKETCH_DIFFERENT))
+    rest = rest.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    more = _confirmed(materialise(rest.join(leads, ["u", "v"], "left_anti")), classes, documents, words, similarity)
     final = smallest_reachable(links.unionByName(more)).select(F.col("node").alias("fp"), "root")
     return classes.select("fp").join(final, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
@@ -278,10 +316,9 @@ def keep_first(documents: DataFrame, words: int = 3, similarity: float | None =
         prints.select("doc_id", "text_hash", "fp").join(roots, "fp").groupBy("root").agg(F.min(place).alias("w"))
         .select(F.col("w.doc_id").alias("w_id"), F.col("w.text_hash").alias("w_hash"))
     )
-    hashed = documents.withColumn("__hash", _text_hash())
-    won = hashed.join(
-        materialise(winners), F.col("doc_id").cast("long").eqNullSafe(F.col("w_id")) & (F.col("__hash") == F.col("w_hash")), "left_semi"
-    )
-    sortable = F.struct(*[F.col(f"`{n}`") for n, kind in documents.dtypes if "map<" not in kind])
-    packed = F.struct(*[F.col(f"`{c}`") for c in documents.columns])
-    return won.groupBy("doc_id", "__hash").agg(F.min_by(packed, sortable).alias("__row")).select("__row.*")
+    inward, outward = carried(documents)
+    hashed = documents.select(*inward, F.col("doc_id").cast("long").alias("id"), _text_hash().alias("hash"))
+    won = hashed.join(materialise(winners), F.col("id").eqNullSafe(F.col("w_id")) & (F.col("hash") == F.col("w_hash")), "left_semi")
+    kept = [f"kept_{i}" for i in range(len(inward))]
+    sortable = F.struct(*[name for name, (_, kind) in zip(kept, documents.dtypes) if "map<" not in kind and "variant" not in kind])
+    return won.groupBy("id", "hash").agg(F.min_by(F.struct(*kept), sortable).alias("first")).select("first.*").select(*outward)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sqlweave.llm.columns import carried, quoted
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 # Hex digits of a digest that the join uses; the whole digest is compared afterwards.
@@ -51,14 +53,11 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     suffixes times its path prefixes of the lengths that rules have. Expressions meet rules on
     a short prefix of their SHA-256, and the full digest confirms. A null url, or one without
     `://`, has empty host and path. Rules with a null host or path fit nothing. Columns of
-    `pages` named host, path, rule or verdict are replaced; empty tables give empty results.
+    `pages` named host, path, rule or verdict are replaced, others stay whatever they are called.
+    Repeated rows and null ids are judged like any other; empty tables give empty results.
     """
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    placed = pages.select(
-        *[F.col(f"`{c}`") for c in kept],
-        url_host(F.col(f"`{url}`")).alias("host"),
-        url_path(F.col(f"`{url}`")).alias("path"),
-    ).fillna("", ["host", "path"])
+    inward, outward = carried(pages, ("host", "path", "rule", "verdict"))
+    placed = pages.select(*inward, url_host(F.col(quoted(url))).alias("host"), url_path(F.col(quoted(url))).alias("path")).fillna("", ["host", "path"])
     known = rules.filter(F.col("host").isNotNull() & F.col("path").isNotNull()).select(
         F.translate("host", UPPER, LOWER).alias("r_host"), F.col("path").alias("r_path"), F.col("verdict").alias("r_verdict")
     )
@@ -90,7 +89,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
         .agg(F.max(strength).alias("best"))
     )
     return placed.join(best, ["host", "path"], "left").select(
-        *[F.col(f"`{c}`") for c in kept],
+        *outward,
         "host",
         "path",
         F.col("best.rule").alias("rule"),

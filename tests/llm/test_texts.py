@@ -198,6 +198,25 @@ def test_false_positive_correction():
     assert filters.predict("hello there") == ("some", 1.0)
 
 
+@pytest.mark.parametrize("text", ["½", "² ①", "Ⅷ 12 _ !", "٣٤", "\u0301", "", None])
+def test_a_text_without_letters_has_no_language(spark, text):
+    rows = [(1, "some plain words", "en"), (1, "some plain words", "en"), (2, "einige andere worte", "de")]
+    filters = languageid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), languageid.Settings(min_count=1))
+    assert filters.predict(text) == ("und", 0.0)
+    assert filters.predict("½ some plain words ②")[0] == "en"
+
+
+def test_quality_samples_without_moving_other_texts(spark):
+    rows = [(i, f"text {i}", i % 2) for i in range(300)]
+    docs = spark.createDataFrame([r[:2] for r in rows] + [rows[5][:2], (None, "x"), (700, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows[:200]] + [(3, 0), (7, None), (None, 1)], "doc_id long, quality int")
+    sample = quality.sample_labelled(docs, labels, quality.Settings(sample_docs=50))
+    got = sample.collect()
+    assert {(r["doc_id"], r["text"], r["quality"]) for r in got} <= set(rows[:200]) and len({r["doc_id"] for r in got}) == 50
+    every = {r["doc_id"] for r in quality.sample_labelled(docs, labels).collect()}
+    assert every == set(range(200))
+
+
 def test_more_than_64_languages(spark):
     rows = [(i, f"{chr(0x4E00 + 50 * i)}{chr(0x4E01 + 50 * i)}{chr(0x4E02 + 50 * i)} " * 5, f"l{i:02}") for i in range(70)]
     filters = languageid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))

@@ -2,15 +2,16 @@
 
 import ast
 import math
-from collections import Counter, defaultdict
+from collections import Counter
 from pathlib import Path
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sqlweave.llm import decontaminate, mixture, multiindex, simhash, tokenfiles
+from sqlweave.llm import decontaminate, languageid, linespread, maintext, mixture, multiindex, quality, simhash, tokenfiles, urlrules
 from sqlweave.llm.queries import QUERIES, VOCABULARY
 from sqlweave.session import load
 
@@ -84,7 +85,7 @@ def test_traversal_rises(spark):
 @pytest.fixture(scope="module")
 def con():
     connection = duckdb.connect()
-    for table in ("documents", "pages", "benchmark"):
+    for table in ("documents", "pages", "benchmark", "embeddings"):
         connection.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
     return connection
 
@@ -110,6 +111,84 @@ def test_held_out_language_and_quality(spark):
     assert sum(g > b for g, b in pairs) >= 0.8 * len(pairs)
 
 
+def five_words(text):
+    words = (text or "").encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+@pytest.mark.parametrize("size", [10, 100, 700])
+def test_near_texts_share_a_part_of_their_anchors(size):
+    """Pairs of similarity 0.8 exactly, the hardest that count."""
+    rng = np.random.default_rng(size)
+    shared = -(-16 * size // 18)
+    pairs = [rng.integers(0, 1 << 63, 2 * size - shared, dtype=np.uint64) for _ in range(250)]
+    left, right = (simhash.home_anchors(np.stack([simhash.wide_sums(x) for x in side])) for side in ([h[:size] for h in pairs], [h[size - shared :] for h in pairs]))
+    met = (left == right)[:, np.array(simhash.PART_PLACES)].all(2)
+    assert met.any(1).mean() >= 0.9
+    # Of unrelated texts one in millions shares a part.
+    assert not (left == np.roll(right, 1, 0))[:, np.array(simhash.PART_PLACES)].all(2).any()
+
+
+def test_near_groups_link_through_any_member(spark):
+    """Two groups of near copies that only one pair of members joins, and one text alike to none."""
+    rng = np.random.default_rng(8)
+    draw = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+    base, far = draw(400), draw(400)
+    bridge = base[:]
+    bridge[180:212] = draw(32)
+    other = bridge[:]
+    other[100:132] = draw(32)
+    texts = [" ".join(x) for x in (base, base[:-1], base[1:], base[2:], bridge, other, other[:-2], other[1:], far)]
+    sets = [five_words(t) for t in texts]
+    alike = lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])
+    assert alike(0, 4) and alike(4, 5) and not any(alike(i, j) for i in range(4) for j in range(5, 8))
+    rows = [(i, t) for i, t in enumerate(texts)] + [(20 + i, t) for i, t in enumerate(texts)] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.keep_first(docs, 5, 0.8).collect()) == [0, 8]
+    without = docs.filter("doc_id % 20 != 4")
+    assert sorted(r["doc_id"] for r in simhash.keep_first(without, 5, 0.8).collect()) == [0, 5, 8]
+
+
+CLASHES = (
+    "kept_0 id hash w_id w_hash first text_hash fp root anchor key n_words_ found item_ids best told p __hash __key __p score_ content place gone stays "
+    "h n rank size_ threshold times p_ d q v cell chunk x value label marked limit sketch bits"
+).split()
+
+
+@pytest.mark.parametrize("operator", ["identify", "keep_first", "keep_near", "quality", "main_text", "urls", "lines", "overlaps", "mix"])
+def test_extra_columns_may_have_any_name(spark, operator):
+    """Each operator on a table with its own inner names as columns, with a repeated row, nulls and an empty text."""
+    if operator in ("main_text", "urls"):
+        html = "<html><body><article><p>Some words of one page.</p></article></body></html>"
+        rows = [(1, "http://a.org/x", html), (1, "http://a.org/x", html), (None, None, None), (2, "", "")]
+        table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    else:
+        rows = [(1, "one two three four five six\nseven", "a", "en"), (1, "one two three four five six\nseven", "a", "en"), (None, None, None, None), (3, "", "b", "de")]
+        table = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    wide = table.select("*", *[F.lit(i).alias(c) for i, c in enumerate(CLASHES)], F.lit("z").alias("odd.name"))
+    run = {
+        "identify": lambda t: languageid.identify(t, languageid.train(t)),
+        "keep_first": simhash.keep_first,
+        "keep_near": lambda t: simhash.keep_first(t, 5, 0.8),
+        "quality": lambda t: quality.score_quality(t, quality.train(quality.sample_labelled(t, t.select("doc_id", F.lit(1).alias("quality"))))),
+        "main_text": maintext.extract_pages,
+        "urls": lambda t: urlrules.judge_urls(t, spark.createDataFrame([("org", "/", "block")], "host string, path string, verdict string")),
+        "lines": linespread.drop_site_boilerplate,
+        "overlaps": lambda t: decontaminate.find_overlaps(t, spark.createDataFrame([(1, "two three four")], "item_id long, text string")),
+        "mix": mixture.mix_sources,
+    }[operator]
+    got = run(wide)
+    assert [c for c in got.columns if c in wide.columns] == [c for c in wide.columns if operator != "main_text" or c != "html"]
+    rows = got.collect()
+    # A null and an empty text are near-duplicates, as repeated rows are.
+    assert len(rows) == (2 if operator.startswith("keep") else 4)
+    assert {tuple(r[c] for c in [*CLASHES, "odd.name"]) for r in rows} == {(*range(len(CLASHES)), "z")}
+    plain = [c for c in run(table).columns]
+    count = lambda found: Counter(tuple(r[c] for c in plain) for r in found)
+    assert count(rows) == count(run(table).collect())
+    assert run(wide.limit(0)).count() == 0
+
+
 def test_pipeline_equals_its_parts_done_plainly(spark):
     docs = load(spark, SF, "documents")
     stages = [docs]
@@ -121,14 +200,15 @@ def test_pipeline_equals_its_parts_done_plainly(spark):
             assert out.columns == docs.columns
     first, named, single, clean, mixed, tokens = [s.collect() for s in stages]
     assert {r["doc_id"] for r in named} == {r["doc_id"] for r in first if any(c.isalpha() for c in r["text"] or "")}
-    prints = {r["doc_id"]: simhash.fingerprint(r["text"]) for r in named}
-    root = dict(prints)
-    for _ in range(20):
-        root = {d: min(root[e] for e in prints if (prints[d] ^ prints[e]).bit_count() <= 2) for d in prints}
-    groups = defaultdict(set)
-    for d, r in root.items():
-        groups[r].add(d)
-    assert {r["doc_id"] for r in single} == {min(g) for g in groups.values()}
+    # Brute force over all pairs of five-word shingle sets. Pairs near 0.8 that share no part may be missed.
+    sets = {r["doc_id"]: five_words(r["text"]) for r in named}
+    root = {d: d for d in sets}
+    links = [(d, e) for d in sets for e in sets if d < e and len(sets[d] & sets[e]) >= 0.8 * len(sets[d] | sets[e])]
+    for _ in links:
+        for d, e in links:
+            root[d] = root[e] = min(root[d], root[e])
+    gone, want = {r["doc_id"] for r in named} - {r["doc_id"] for r in single}, {d for d, r in root.items() if d != r}
+    assert gone <= want and len(gone) >= 0.9 * len(want) > 0
     windows = set()
     words = lambda t: [w for w in "".join(c.lower() if c.isascii() and c.isalnum() else c if not c.isascii() else " " for c in t or "").split(" ") if w]
     for item in load(spark, SF, "benchmark").collect():
@@ -155,7 +235,7 @@ def test_pipeline_of_an_empty_table(spark):
 
 def test_native_operators_use_no_python():
     """Line spread and decontamination stay on built-in functions."""
-    for name in ("linespread.py", "decontaminate.py"):
+    for name in ("linespread.py", "decontaminate.py", "secretscan.py"):
         tree = ast.parse((Path(decontaminate.__file__).parent / name).read_text())
         used = {n.attr for n in ast.walk(tree) if isinstance(n, ast.Attribute)}
         assert not used & {"udf", "pandas_udf", "mapInPandas", "mapInArrow", "applyInPandas", "rdd", "toPandas"}
