@@ -12,6 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sqlweave.llm.columns import carried, quoted
 from sqlweave.llm.urlrules import url_host
 from sqlweave.session import materialise
 
@@ -42,6 +43,14 @@ DROPPED_NAMES = set(
     "comment comments disqus reply replies discussion share sharing social related recommended widget widgets form search".split()
 )
 HEADER_NAMES = set("header masthead topbar banner".split())
+# These go even where they hold an article: teasers in a sidebar are no main text.
+MARGINS = {"nav", "footer", "aside"}
+# Where a page has no main element, a name drops no element with most of its text, but for readers' comments.
+DISCUSSION = set("comment comments disqus reply replies discussion".split())
+# Inside a main element only these names drop a span, which else is part of a sentence.
+ADVERTS = set("ad ads advert adverts advertisement advertisements adsense sponsor sponsored sponsors promo promos promotion".split())
+# Blocks of a main element with this many characters may be templates too: notices and calls to subscribe.
+LONG_BLOCKS, LONG_BLOCK = set("p ul ol dl table blockquote".split()), 24
 MAIN_TAGS = {"article", "main"}
 CONTEXT_TEXTS = 3
 CLOSED_BY_BLOCK = {"p"}
@@ -51,10 +60,10 @@ CLOSES_SAME = set("li dt dd tr td th option p".split())
 class Element:
     """An element with its children (elements and texts) and the hash of its subtree."""
 
-    __slots__ = ("tag", "names", "marks", "role", "hidden", "children", "digest", "has_text", "has_main")
+    __slots__ = ("tag", "names", "marks", "role", "hidden", "children", "digest", "has_text", "has_main", "mass")
 
     def __init__(self, tag: str, attributes: str = "") -> None:
-        self.tag, self.children, self.digest, self.has_text, self.has_main = tag, [], 0, False, tag in MAIN_TAGS
+        self.tag, self.children, self.digest, self.has_text, self.has_main, self.mass = tag, [], 0, False, tag in MAIN_TAGS, 0
         found = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in _ATTRIBUTE.finditer(attributes)} if attributes.strip(" /\n") else {}
         self.names = set(_NAME_PARTS.split(found.get("class", "") + " " + found.get("id", ""))) - {""} if found else set()
         tokens = (found.get("class", "") + " " + found.get("id", "")).split() if self.names & DROPPED_NAMES else []
@@ -71,21 +80,30 @@ class Element:
                 state.update(child.digest.to_bytes(8, "little"))
                 self.has_text |= child.has_text
                 self.has_main |= child.has_main
+                self.mass += child.mass if child.tag not in RAW else 0
             elif words := " ".join(child.split()):
                 state.update(b"\1" + words.encode("utf-8", "surrogatepass"))
                 self.has_text = True
+                self.mass += len(words)
         self.digest = state.intdigest()
 
-    def is_boilerplate(self, in_main: str) -> bool:
-        if self.tag in ("html", "body") or self.tag in INLINE and self.tag != "span":
+    def is_boilerplate(self, in_main: str, whole: int = 0) -> bool:
+        """Whether this is no main text by its kind; `whole` is the number of characters of the page."""
+        if self.tag in ("html", "body") or self.tag in INLINE and self.tag != "span" or self.tag in MAIN_TAGS:
             return False
-        if self.tag in DROPPED_TAGS or self.hidden or self.role in DROPPED_ROLES:
-            return True
-        if self.tag == "header" and not in_main:
+        if self.tag in MARGINS:
             return True
-        # What holds an article goes by name only inside another one, as comments do.
-        if self.tag in MAIN_TAGS or self.has_main and in_main != "article" or in_main and self.tag == "header":
+        # What wraps an article, a form around the page as well, goes only inside another article, as comments do.
+        if self.has_main and in_main != "article":
             return False
+        if self.tag in DROPPED_TAGS or self.hidden or self.role in DROPPED_ROLES:
+            return True
+        if self.tag == "header":
+            return not in_main
+        if in_main and self.tag == "span":
+            return any(mark & ADVERTS for mark in self.marks)
+        if not in_main and 2 * self.mass > whole > 0:
+            return any(mark & DISCUSSION for mark in self.marks)
         return any(not (in_main and mark & HEADER_NAMES) for mark in self.marks)
 
 
@@ -130,6 +148,10 @@ def parse(text: str) -> Element:
         stack[-1].children.append(element)
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(text, at)
+            if end is None and tag == "noscript":
+                # Never closed: what follows is the page, not the text of this element.
+                stack.append(element)
+                continue
             element.children.append(text[at : end.start() if end else size])
             element.close()
             at = end.end() if end else size
@@ -164,24 +186,55 @@ def _signed(digest: int) -> int:
     return digest - (digest >> 63 << 64)
 
 
-def _chosen(tags: set[str]) -> str | None:
-    return next((t for t in ("article", "main") if t in tags), None)
+def _regions(nodes: list[tuple[Element | str | None, str, Element]]) -> set[int] | None:
+    """Places in `nodes` of the texts that are main text; None for all of them.
+
+    Main elements hold it, and outermost articles where these have more text outside main elements. Of a main
+    element one article of which has most of its text, what follows that article is left out; what
+    leads up to it stays.
+    """
+    open_ones: list[tuple[Element, int]] = []
+    inside = {"main": set(), "article": set()}
+    closed: list[tuple[Element, int, int, bool]] = []
+    for at, (node, _, element) in enumerate(nodes):
+        if isinstance(node, str):
+            tags = {e.tag for e, _ in open_ones}
+            if "main" in tags:
+                inside["main"].add(at)
+            elif "article" in tags:
+                inside["article"].add(at)
+        elif element.tag in MAIN_TAGS:
+            if node is not None:
+                open_ones.append((element, at))
+            else:
+                _, start = open_ones.pop()
+                closed.append((element, start, at, any(e.tag == "main" for e, _ in open_ones)))
+    size = lambda places: sum(len("".join(nodes[i][0].split())) for i in places)
+    if not closed:
+        return None
+    if size(inside["article"]) > size(inside["main"]) or not any(e.tag == "main" for e, *_ in closed):
+        return inside["article"]
+    kept = inside["main"]
+    for element, start, end, within in closed:
+        if element.tag == "article" and within:
+            own = [i for i in kept if start < i < end]
+            around = next((s, e) for m, s, e, _ in closed if m.tag == "main" and s < start and end < e)
+            if 2 * size(own) > size([i for i in inside["main"] if around[0] < i < around[1]]):
+                kept = {i for i in kept if not end < i < around[1]}
+    return kept
 
 
 def _main_blocks(root: Element, skip) -> tuple[list[str], dict[int, tuple[int, int]]]:
     """Texts of the main text in page order, and the range of them that each element (by id) holds."""
     nodes = list(_walk(root, skip))
-    chosen = _chosen({node.tag for node, _, _ in nodes if isinstance(node, Element)})
+    places = _regions(nodes)
     blocks: list[str] = []
     spans: dict[int, tuple[int, int]] = {}
-    depth = 0
-    for node, _, element in nodes:
+    for at, (node, _, element) in enumerate(nodes):
         if isinstance(node, str):
-            if (depth or chosen is None) and (words := " ".join(node.split())):
+            if (places is None or at in places) and (words := " ".join(node.split())):
                 blocks.append(words)
             continue
-        if element.tag == chosen:
-            depth += 1 if node is not None else -1
         spans[id(element)] = (len(blocks), 0) if node is not None else (spans[id(element)][0], len(blocks))
     return blocks, spans
 
@@ -203,7 +256,7 @@ def subtree_contexts(page: str | None) -> dict[int, set[int]]:
     in a main element that holds most of the main text is none.
     """
     root = parse(page or "")
-    blocks, spans = _main_blocks(root, lambda e, in_main: e.is_boilerplate(in_main))
+    blocks, spans = _main_blocks(root, lambda e, in_main: e.is_boilerplate(in_main, root.mass))
     ends = _ends(blocks)
     longest = sorted(range(len(blocks)), key=lambda i: (-len(blocks[i]), blocks[i]))
     found: dict[int, set[int]] = {}
@@ -219,34 +272,33 @@ def subtree_contexts(page: str | None) -> dict[int, set[int]]:
 
 
 def _may_recur(element: Element, in_main: str) -> bool:
-    """Blocks of text in a main element are its content, however often they recur."""
+    """Short blocks of text in a main element, and cells and items, are its content however often they recur."""
     plain = element.tag in INLINE or element.tag in MAIN_TAGS or element.tag in ("#page", "html", "head", "body")
-    return element.has_text and not plain and not (in_main and element.tag in TEXT_BLOCKS)
+    return element.has_text and not plain and not (in_main and element.tag in TEXT_BLOCKS and (element.tag not in LONG_BLOCKS or element.mass < LONG_BLOCK))
 
 
 def main_text(page: str | None, templates: set[int] = frozenset()) -> str:
     """Blocks of the main text, one to a line, white space inside a block made one space.
 
     Boilerplate elements and subtrees whose hash is in `templates` go first, but for those that hold
-    most of an article's text. What then stands in
-    article elements is the text; without one, in main elements; without those, in the whole page.
+    most of an article's text. Of what then stands in main elements or articles, `_regions` tells the text;
+    without those it is the whole page.
     """
 
     def skip(element: Element, in_main: str) -> bool:
-        if element.is_boilerplate(in_main):
+        if element.is_boilerplate(in_main, root.mass):
             return True
         if not templates or not _may_recur(element, in_main) or _signed(element.digest) not in templates:
             return False
         return not (in_main and _mostly_main(spans.get(id(element), (0, 0)), ends))
 
     root = parse(page or "")
-    blocks, spans = _main_blocks(root, lambda e, in_main: e.is_boilerplate(in_main)) if templates else ([], {})
+    blocks, spans = _main_blocks(root, lambda e, in_main: e.is_boilerplate(in_main, root.mass)) if templates else ([], {})
     ends = _ends(blocks)
-    tags = {node.tag for node, _, _ in _walk(root, skip) if isinstance(node, Element)}
-    chosen = _chosen(tags)
+    nodes = list(_walk(root, skip))
+    places = _regions(nodes)
     blocks = []
     words: list[str] = []
-    depth = 0
 
     def flush() -> None:
         block = " ".join(entities.unescape("".join(words)).split())
@@ -254,17 +306,15 @@ def main_text(page: str | None, templates: set[int] = frozenset()) -> str:
         if block:
             blocks.append(block)
 
-    for node, _, element in _walk(root, skip):
+    for at, (node, _, element) in enumerate(nodes):
         if isinstance(node, str):
-            if depth or chosen is None:
+            if places is None or at in places:
                 words.append(node)
             continue
         if element.tag == "br":
             words.append(" ")
         elif element.tag not in INLINE:
             flush()
-        if element.tag == chosen:
-            depth += 1 if node is not None else -1
     flush()
     return "\n".join(blocks)
 
@@ -297,20 +347,17 @@ def extract_pages(pages: DataFrame, min_pages: int = 10, url: str = "url", html:
     Element subtrees are hashed, counted per host over distinct pages, and deleted where they
     recur on many pages of that host; elements that are no main text by kind, role or name go too.
 
-    A null html gives the empty text. A null url, or one without a host, belongs to the host ''.
-    Columns named text or n_chars are replaced; an empty table gives an empty result.
+    A null html gives the empty text. A null url, or one without a host, belongs to the host ''. Repeated
+    rows are extracted alike and count as one page; of articles with equal text all stay. Columns named text
+    or n_chars are replaced, others stay whatever they are called; an empty table gives an empty result.
     """
-    kept = [c for c in pages.columns if c not in ("text", "n_chars", html)]
-    hosted = pages.select(
-        *[F.col(f"`{c}`").alias(f"k_{c}") for c in kept],
-        F.coalesce(url_host(F.col(f"`{url}`")), F.lit("")).alias("host"),
-        F.col(f"`{html}`").cast("string").alias("html"),
-    )
+    inward, outward = carried(pages, ("text", "n_chars", html.lower()))
+    hosted = pages.select(*inward, F.coalesce(url_host(F.col(quoted(url))), F.lit("")).alias("host"), F.col(quoted(html)).cast("string").alias("html"))
     templates = materialise(site_templates(hosted.select("host", "html"), min_pages))
 
     @F.pandas_udf("string")
     def extracted(texts: pd.Series, known: pd.Series) -> pd.Series:
         return pd.Series([main_text(t, frozenset() if k is None else {int(x) for x in k}) for t, k in zip(texts, known)], dtype=object)
 
-    made = hosted.join(templates, "host", "left").select(*[F.col(f"k_{c}").alias(c) for c in kept], extracted("html", "templates").alias("text"))
-    return made.withColumn("n_chars", F.length("text").cast("long"))
+    made = hosted.join(templates, "host", "left").select(*[f"kept_{i}" for i in range(len(inward))], extracted("html", "templates").alias("text"))
+    return made.select(*outward, "text", F.length("text").cast("long").alias("n_chars"))

@@ -292,6 +292,30 @@ def test_names_never_drop_main_elements(page):
     assert maintext.main_text(page) == "body"
 
 
+@pytest.mark.parametrize("page,text", [
+    ('<body><form id="aspnetForm"><div><article><p>Kept</p><input></article></div></form></body>', "Kept"),
+    ("<noscript><img src=x><article><p>Kept</p></article>", "Kept"),
+    ("<article hidden>Kept</article><div role=dialog><article>too</article></div>", "Kept\ntoo"),
+    ("<main><h1>Title</h1><p>Long main text</p></main><section><article><p>Teaser</p></article></section>", "Title\nLong main text"),
+    ("<main><h1>Title</h1><p>Lead</p><article><p>Body of some length</p></article><p>after</p></main>", "Title\nLead\nBody of some length"),
+    ("<main></main><article><p>one</p></article><article>two</article>", "one\ntwo"),
+    ('<div id="form"><p>Body text</p></div>', "Body text"),
+    ("<div class=comments><p>a comment longer than the page</p></div><p>text</p>", "text"),
+    ('<article>A <span class="share">kept</span> b <span class=ad>x</span></article>', "A kept b"),
+    ("<aside><article>teaser</article></aside><p>text</p>", "text"),
+])
+def test_wrappers_never_take_the_text_with_them(page, text):
+    assert maintext.main_text(page) == text
+
+
+def test_long_recurring_blocks_of_articles_go(spark):
+    notice = "<p>Subscribe now to read all that our editors write</p>"
+    rows = [(i, f"http://h.org/{i}", f"<article><h2>Summary</h2><p>{'own words ' * 9}{i}</p>{notice}<ul><li>yes</li></ul></article>") for i in range(12)]
+    rows += rows[:2]
+    got = maintext.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string"), min_pages=10).collect()
+    assert len(got) == 14 and {r["text"] for r in got} == {f"Summary\n{'own words ' * 9}{i}\nyes" for i in range(12)}
+
+
 def test_header_names_in_an_article_stay():
     page = "<div class=header>site</div><article><div class='article-header'><h1>Title</h1></div><div class=header>by me</div><p>body</p></article>"
     assert maintext.main_text(page) == "Title\nby me\nbody"
