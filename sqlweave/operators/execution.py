@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from sqlweave.functions.cells import row_cells
 from sqlweave.functions.text import FIXED_YEAR
 from sqlweave.operators import denotation as D
-from sqlweave.session import scratch_root
+from sqlweave.session import scratch_path
 
 STATUS_DDL = "query_id bigint, side string, ok boolean, timed_out boolean, exception string, seconds double"
 RESULT_DDL = "query_id bigint, side string, row_idx bigint, cells array<string>"
@@ -114,7 +114,7 @@ def run_statements(
     `session_for` gives the session that holds a database's tables.
     """
     spark = statements.sparkSession
-    root = f"{scratch_root(spark).rstrip('/')}/sqlweave/runs-{uuid.uuid4().hex}"
+    root = scratch_path(spark)
     pick = session_for or (lambda _: spark)
     rows: Iterator[Row] = statements.select("query_id", "side", "db_id", "sql").toLocalIterator()
     done: list[tuple] = []

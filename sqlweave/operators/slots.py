@@ -30,13 +30,95 @@ def _power(base: Column, times: Column) -> Column:
     )
 
 
+# Whole numbers of any length are arrays of limbs, the lowest first.
+LIMB_DIGITS = 9
+LIMB = 10**LIMB_DIGITS
+
+
+def _limbs(number: Column) -> Column:
+    """Limbs of a whole number given in digits."""
+    digits = number.cast("string")
+    whole = F.lpad(digits, (F.ceil(F.length(digits) / LIMB_DIGITS) * LIMB_DIGITS).cast("int"), "0")
+    return F.reverse(F.transform(F.regexp_extract_all(whole, F.lit(f".{{{LIMB_DIGITS}}}"), F.lit(0)), lambda x: x.cast("long")))
+
+
+def _digits(limbs: Column) -> Column:
+    """The digits of a number in limbs."""
+    text = F.array_join(F.reverse(F.transform(limbs, lambda x: F.lpad(x.cast("string"), LIMB_DIGITS, "0"))), "")
+    return F.regexp_replace(text, "^0+(?=.)", "")
+
+
+def _times(limbs: Column, factor: Column) -> Column:
+    state = lambda carry, out: F.struct(carry.alias("carry"), out.alias("out"))
+
+    def step(acc: Column, limb: Column) -> Column:
+        x = limb * factor + acc["carry"]
+        return state(F.floor(x / LIMB).cast("long"), F.concat(acc["out"], F.array(F.pmod(x, F.lit(LIMB)))))
+
+    start = state(F.lit(0).cast("long"), F.array().cast("array<bigint>"))
+    return F.aggregate(limbs, start, step, lambda acc: F.when(acc["carry"] > 0, F.concat(acc["out"], F.array(acc["carry"]))).otherwise(acc["out"]))
+
+
+def _divided(limbs: Column, by: Column) -> Column:
+    """(rest, out): the remainder, and the quotient in limbs."""
+    state = lambda rest, out: F.struct(rest.alias("rest"), out.alias("out"))
+
+    def step(acc: Column, limb: Column) -> Column:
+        x = acc["rest"] * LIMB + limb
+        rest = F.pmod(x, by)
+        return state(rest, F.concat(F.array(F.floor((x - rest) / by).cast("long")), acc["out"]))
+
+    return F.aggregate(F.reverse(limbs), state(F.lit(0).cast("long"), F.array().cast("array<bigint>")), step)
+
+
+def slot_plan(queries: DataFrame) -> DataFrame:
+    """(query_id, sql_pred, pieces, values, n_alternatives): what fillings are made of, and how many there are.
+
+    `n_alternatives` is literals^slots in digits, exact whatever its length.
+    """
+    gold, pred = T.reformat_tokens(F.col("sql_gt")), T.reformat_tokens(F.col("sql_pred"))
+    cut = queries.select(
+        "query_id", "sql_pred", F.split(T.slot_text(pred), rf"\b{T.SLOT}\b").alias("pieces"), F.array_distinct(T.literals(gold)).alias("values")
+    )
+    slots = F.slice("pieces", 2, F.size("pieces"))
+    power = F.aggregate(slots, F.array(F.lit(1).cast("long")), lambda acc, _: _times(acc, F.size("values").cast("long")))
+    return cut.withColumn("n_alternatives", _digits(power))
+
+
+def fillings_in(plan: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(query_id, cand_idx, sql) of the candidates from `first` on, `number` of them or as many as there are.
+
+    `ranges(query_id, first decimal(38,0), number)`. Candidate 0 is the prediction, candidate i > 0 the
+    filling i - 1 in the order of `slot_fillings`. Each is worked out from its number alone, so a
+    consumer asks for any range of any number of fillings, and nothing else is written.
+    """
+    asked = plan.join(ranges, "query_id").filter("number > 0")
+    steps = F.explode(F.sequence(F.lit(0), F.col("number").cast("int") - 1)).alias("step")
+    listed = asked.select("query_id", "sql_pred", "pieces", "values", "n_alternatives", "first", steps).withColumn(
+        "cand_idx", (F.col("first") + F.col("step")).cast("decimal(38,0)")
+    )
+    # A decimal of 38 digits cannot reach a count of more.
+    held = (F.length("n_alternatives") > 38) | (F.col("cand_idx") <= F.try_to_number("n_alternatives", F.lit("9" * 38)))
+    base = F.greatest(F.size("values"), F.lit(1)).cast("long")
+    state = lambda left, words: F.struct(left.alias("left"), words.alias("words"))
+
+    def put(acc: Column, piece: Column) -> Column:
+        parted = _divided(acc["left"], base)
+        return state(parted["out"], F.concat(acc["words"], F.array(F.get("values", parted["rest"].cast("int")), piece)))
+
+    start = state(_limbs(F.greatest(F.col("cand_idx") - 1, F.lit(0)).cast("decimal(38,0)")), F.slice("pieces", 1, 1))
+    words = F.aggregate(F.slice("pieces", 2, F.size("pieces")), start, put, lambda acc: acc["words"])
+    return listed.filter(held).select("query_id", "cand_idx", F.when(F.col("cand_idx") == 0, F.col("sql_pred")).otherwise(F.array_join(words, "")).alias("sql"))
+
+
 def slot_fillings(queries: DataFrame) -> DataFrame:
     """Every way to put gold literals into the slots of a prediction.
 
     `queries(query_id, sql_gt, sql_pred)`. Candidate 0 is the prediction as it stands,
     the others are all literals^slots fillings. Long series are cut into chunks that
     different tasks write, so none is left out. `n_alternatives` is exact; where it is beyond
-    a long it is null, nothing could write the fillings, and candidate 0 stands alone.
+    a long it is null, nothing could write the fillings, and candidate 0 stands alone here: `slot_plan`
+    has the count, and `fillings_in` any range of them.
     """
     prepared = (
         queries.withColumn("gold_words", T.reformat_tokens(F.col("sql_gt")))

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sqlweave.operators import execution
-from sqlweave.session import load, scratch_root
+from sqlweave.operators import candidates, execution
+from sqlweave.session import load, scratch_path
 from sqlweave.sources import readers, writers
 from sqlweave.plans.bindings import questions
 
@@ -127,6 +125,66 @@ def _pairs_sql(ordered_family: bool) -> str:
     return f"select query_id, res, error, false timeout, error_msg from ({' union all '.join(parts)})"
 
 
+# (gold, prediction) pairs whose prediction has other literals, and the fillings tried in their order.
+SLOTTED = [
+    ("SELECT count(*) FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 70000", "SELECT count(*) FROM orders WHERE o_orderstatus = 'O' AND o_totalprice > 1"),
+    ("SELECT o_custkey, count(*) FROM orders WHERE o_totalprice > 3 GROUP BY o_custkey", "SELECT o_custkey, count(*) FROM orders WHERE o_totalprice > 3 GROUP BY o_custkey"),
+    ("SELECT max(o_totalprice) FROM orders WHERE o_orderstatus = 'F'", "SELECT min(o_totalprice) FROM orders WHERE o_orderstatus = 'O'"),
+    ("SELECT count(nothing) FROM orders WHERE o_custkey > 3", "SELECT count(*) FROM orders WHERE o_custkey > 3"),
+    ("SELECT count(*) FROM orders WHERE o_custkey BETWEEN 2 AND 60", "SELECT count(*) FROM orders WHERE o_custkey >= 10 AND o_custkey <= 20 AND o_orderkey >= 0"),
+]
+CANDIDATES = [
+    [SLOTTED[0][1], *[f"SELECT count(*) FROM orders WHERE o_orderstatus = {a} AND o_totalprice > {b}" for b in ("'F'", "70000") for a in ("'F'", "70000")]],
+    [SLOTTED[1][1]],
+    [SLOTTED[2][1], "SELECT min(o_totalprice) FROM orders WHERE o_orderstatus = 'F'"],
+    [],
+    [SLOTTED[4][1], *[f"SELECT count(*) FROM orders WHERE o_custkey >= {a} AND o_custkey <= {b} AND o_orderkey >= {c}" for c in (2, 60) for b in (2, 60) for a in (2, 60)]],
+]
+SUITE = 3
+
+
+def _slotted(spark: SparkSession) -> DataFrame:
+    rows = [(i, "all", gold, pred) for i, (gold, pred) in enumerate(SLOTTED)]
+    return spark.createDataFrame(rows, "query_id bigint, db_id string, sql_gt string, sql_pred string")
+
+
+def candidate_run(spark, sf):
+    """Fillings of five predictions, run until one gives the gold result on all orders."""
+    _views(spark, sf)
+    return candidates.first_passing(_slotted(spark)).select("query_id", "res", F.col("cand_idx").cast("int").alias("cand_idx"), "gold_failed")
+
+
+def suite_run(spark, sf):
+    """The same on three databases, each with the orders of a third of all customers."""
+    sessions = {}
+    for number in range(SUITE):
+        part = sessions[f"part_{number}"] = spark.newSession()
+        load(part, sf, "orders").filter(F.col("o_custkey") % SUITE == number).createOrReplaceTempView("orders")
+    asked = _slotted(spark)
+    databases = asked.select("query_id", F.posexplode(F.array(*[F.lit(name) for name in sessions])).alias("db_no", "db_id"))
+    found = candidates.first_passing(asked, databases, session_for=sessions.__getitem__)
+    return found.select("query_id", "res", F.col("cand_idx").cast("int").alias("cand_idx"), "gold_failed")
+
+
+def _candidates_sql(parts: list[str]) -> str:
+    """The first candidate in order that differs from the gold result on none of `parts`, conditions on the orders."""
+    rows = []
+    for i, ((gold, _), texts) in enumerate(zip(SLOTTED, CANDIDATES)):
+        if not texts:
+            rows.append(f"select {i}::bigint query_id, null::int cand_idx, true gold_failed")
+        for number, sql in enumerate(texts):
+            # A text compared with a number is an error in either engine or equals none.
+            if "o_orderstatus = 7" in sql or "o_totalprice > 'F'" in sql:
+                continue
+            on = lambda text, part: text.replace("FROM orders", f"FROM (SELECT * FROM orders WHERE {part})")  # noqa: E731, B023
+            same = " and ".join(
+                f"not exists (({on(gold, p)}) except all ({on(sql, p)})) and not exists (({on(sql, p)}) except all ({on(gold, p)}))" for p in parts
+            )
+            rows.append(f"select {i}::bigint query_id, case when {same} then {number} end cand_idx, false gold_failed")
+    return f"""select query_id, (min(cand_idx) is not null)::int res, min(cand_idx) cand_idx, bool_or(gold_failed) gold_failed
+        from ({" union all ".join(rows)}) group by query_id"""
+
+
 def session_files(spark, sf):
     """Every document as a session file: lines are turns, a blank line ends a session."""
     lines = load(spark, sf, "documents").select(
@@ -141,7 +199,7 @@ def question_files(spark, sf):
         "question_id", "db_id", F.concat("question", F.lit(" é")).alias("question"),
         F.when(F.col("evidence") != "", F.col("evidence")).alias("evidence"), F.col("sql").alias("SQL"),
     )
-    path = f"{scratch_root(spark)}/sqlweave/questions-{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     writers.write_json(asked, path)
     return readers.read_questions(spark, path, lines=True).select("question_id", "db_id", "question", "evidence")
 
@@ -151,6 +209,8 @@ QUERIES = {name: (_sql(text), text.rstrip().rstrip(";")) for name, text in CONST
     "sql_like": (_sql(_LIKE.format("ILIKE", "ILIKE")), _LIKE.format("ilike", "ilike")),
     "execute_pairs": (execute_pairs, _pairs_sql(False)),
     "execute_pairs_ordered": (execute_pairs_ordered, _pairs_sql(True)),
+    "candidate_run": (candidate_run, _candidates_sql(["true"])),
+    "suite_run": (suite_run, _candidates_sql([f"o_custkey % {SUITE} = {n}" for n in range(SUITE)])),
     "session_files": (
         session_files,
         r"""with s as (select doc_id, string_split(regexp_replace(text, '\. ?\n', chr(46) || chr(10) || chr(10), 'g'), chr(10)) ls from documents),
