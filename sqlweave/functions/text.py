@@ -137,14 +137,20 @@ _SUBQUERY = r"\( ?(?:select|with)\b[^()]*\)"
 _PARENS = r"\(([^()]*)\)"
 
 
-def outer_block(sql: Column) -> Column:
+def outer_block(sql: Column, digests: bool = False) -> Column:
     """The outermost query block: nested selects become '{q}', other parentheses are opened.
 
-    Innermost parentheses are folded first, as many times as the text has parentheses.
+    Innermost parentheses are folded first, as many times as the text has parentheses. With
+    `digests` each nested select keeps a digest of its own folded text, as '{q…}'.
     """
 
+    def named(text: Column) -> Column:
+        # One nested select a round; equal ones share their digest.
+        swap = lambda sub: F.when(sub == "", text).otherwise(F.replace(text, sub, F.concat(F.lit(" {q"), F.md5(sub), F.lit("} "))))
+        return F.get(F.transform(F.array(F.regexp_extract(text, _SUBQUERY, 0)), swap), F.lit(0))
+
     def fold(text: Column, _: Column) -> Column:
-        inner = F.regexp_replace(text, _SUBQUERY, " {q} ")
+        inner = named(text) if digests else F.regexp_replace(text, _SUBQUERY, " {q} ")
         return F.regexp_replace(inner, r"\((?! ?(?:select|with)\b)([^()]*)\)", "⟦$1⟧")
 
     blank = blank_literals(sql)

@@ -203,14 +203,10 @@ _AGGREGATE = r"\b(?:max|min|count|sum|avg) ?⟦(.*)⟧"
 _OPERATOR = r" (?:not )?(?:=|!=|<>|>=|<=|>|<|like|in|between|is)(?: |$).*$"
 
 
-def _units(c: Column, nested: Column) -> dict[str, Column]:
-    """Unit lists of a clause struct. Sub-queries carry a digest of their text."""
-
-    def tagged(items: Column) -> Column:
-        return F.transform(items, lambda x: F.replace(x, F.lit("{q}"), F.concat(F.lit("{q"), nested, F.lit("}"))))
-
-    selected = tagged(T.split_list(c["select"]))
-    where = tagged(T.split_conditions(c["where"]))
+def _units(c: Column) -> dict[str, Column]:
+    """Unit lists of a clause struct. Each sub-query stands in its unit as the digest of its own text."""
+    selected = T.split_list(c["select"])
+    where = T.split_conditions(c["where"])
     return {
         "select": selected,
         "select(no AGG)": F.transform(selected, lambda x: F.trim(F.regexp_replace(x, _AGGREGATE, "$1"))),
@@ -223,28 +219,44 @@ def _units(c: Column, nested: Column) -> dict[str, Column]:
 
 def _tables(c: Column) -> Column:
     """Table names of a FROM clause, aliases and conditions left out."""
-    return F.regexp_extract_all(F.concat(F.lit("join "), c["from"]), F.lit(r"(?:\bjoin|,) ([\w.]+|\{q\})"), 1)
+    return F.regexp_extract_all(F.concat(F.lit("join "), c["from"]), F.lit(r"(?:\bjoin|,) ([\w.]+|\{q\w*\})"), 1)
+
+
+_SET_OPERATION = r" (?:union(?: all)?|intersect|except) (.*)$"
+
+
+def _same_block(a: Column, b: Column) -> Column:
+    """Whether two clause structs match exactly, with units, tables and connectives in any order."""
+    bag = lambda items: F.array_sort(items)
+    same = (a["set_op"] == b["set_op"]) & (a["having"] == b["having"]) & (a["order_by"] == b["order_by"]) & ((a["limit"] == "") == (b["limit"] == ""))
+    for units in (lambda c: T.split_list(c["select"]), lambda c: T.split_conditions(c["where"]), lambda c: T.split_list(c["group_by"]), _tables):
+        same = same & (bag(units(a)) == bag(units(b)))
+    connectives = lambda c: bag(F.array_distinct(T.connectives(c["where"])))
+    return same & (connectives(a) == connectives(b))
 
 
 def compare_texts(queries: DataFrame) -> DataFrame:
     """Components of each (query_id, sql_gt, sql_pred): label_total, pred_total and cnt.
 
-    Both texts are taken apart inside their row, so nothing is shuffled. A set
-    operation or sub-query matches when its neutral text does.
+    Both texts are taken apart inside their row, so nothing is shuffled. Sub-queries are folded
+    from the inside out and match when their own neutral text does, wherever their unit stands. The
+    side of a set operation matches when its clauses do, units in any order; what follows a second
+    one there has to be the same text.
     """
     df = queries
     for side, column in (("g", "sql_gt"), ("p", "sql_pred")):
         df = with_neutral_text(df, column, f"{side}_text")
-        df = T.with_clauses(df, f"{side}_text", f"{side}_c")
-        inner = F.regexp_extract(F.col(f"{side}_text"), r"\( (select .*)\)", 1)
-        df = df.withColumn(f"{side}_nested", F.when(inner != "", F.md5(inner)).otherwise(""))
-        rest = F.regexp_extract(F.col(f"{side}_text"), r" (?:union|intersect|except) (.*)$", 1)
-        df = df.withColumn(f"{side}_rest", rest)
+        df = df.withColumn(f"{side}_outer", T.outer_block(F.col(f"{side}_text"), digests=True))
+        df = df.withColumn(f"{side}_rest", F.regexp_extract(f"{side}_outer", _SET_OPERATION, 1)).withColumns({
+            f"{side}_c": T.clauses(T.first_block(F.col(f"{side}_outer")), F.col(f"{side}_outer")),
+            f"{side}_rc": T.clauses(T.first_block(F.col(f"{side}_rest")), F.col(f"{side}_rest")),
+            f"{side}_last": F.regexp_extract(f"{side}_rest", _SET_OPERATION, 1),
+        })
     gold, pred = F.col("g_c"), F.col("p_c")
     # Unit lists are columns of their own: the counting below reads them many times.
     staged = {}
     for side in "gp":
-        units = _units(F.col(f"{side}_c"), F.col(f"{side}_nested"))
+        units = _units(F.col(f"{side}_c"))
         staged |= {f"{side}_u{i}": units[name] for i, name in enumerate(UNIT_LISTS)}
     df = df.withColumns(staged)
 
@@ -276,7 +288,8 @@ def compare_texts(queries: DataFrame) -> DataFrame:
         )
     )
     set_g, set_p = gold["set_op"] != "", pred["set_op"] != ""
-    same_set = set_g & (gold["set_op"] == pred["set_op"]) & (F.col("g_rest") == F.col("p_rest"))
+    same_rest = (F.col("g_last") == F.col("p_last")) & _same_block(F.col("g_rc"), F.col("p_rc"))
+    same_set = set_g & (gold["set_op"] == pred["set_op"]) & same_rest
     lines.append(line("IUEN", set_g, set_p, same_set))
     return df.select(
         *queries.columns,

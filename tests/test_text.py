@@ -126,6 +126,16 @@ def test_linking(spark):
         ("SELECT a FROM t WHERE b IN (SELECT c FROM u)", "SELECT a FROM t WHERE b IN (SELECT d FROM u)", 0),
         ("SELECT a FROM t UNION SELECT b FROM u", "SELECT a FROM t UNION SELECT b FROM u", 1),
         ("SELECT a FROM t UNION SELECT b FROM u", "SELECT a FROM t EXCEPT SELECT b FROM u", 0),
+        ("SELECT a FROM t WHERE b IN (SELECT c FROM u) AND d IN (SELECT e FROM v)", "SELECT a FROM t WHERE d IN (SELECT e FROM v) AND b IN (SELECT c FROM u)", 1),
+        ("SELECT a FROM t WHERE b IN (SELECT c FROM u) AND d IN (SELECT e FROM v)", "SELECT a FROM t WHERE b IN (SELECT e FROM v) AND d IN (SELECT c FROM u)", 0),
+        ("SELECT a FROM t WHERE b IN (SELECT c FROM u WHERE x IN (SELECT y FROM w))", "SELECT a FROM t WHERE b IN (SELECT c FROM u WHERE x IN (SELECT z FROM w))", 0),
+        ("SELECT a FROM t WHERE b > (SELECT avg(b) FROM t)", "SELECT a FROM t WHERE b > (SELECT avg(b) FROM t)", 1),
+        ("SELECT a FROM t UNION SELECT b FROM u WHERE c = 1 AND d = 2", "SELECT a FROM t UNION SELECT b FROM u WHERE d = 5 AND c = 6", 1),
+        ("SELECT a FROM t UNION SELECT b FROM u WHERE c = 1 AND d = 2", "SELECT a FROM t UNION SELECT b FROM u WHERE c = 1 OR d = 2", 0),
+        ("SELECT a FROM t EXCEPT SELECT b FROM u, w", "SELECT a FROM t EXCEPT SELECT b FROM w, u", 1),
+        ("SELECT a FROM t EXCEPT SELECT b FROM u", "SELECT a FROM t EXCEPT SELECT b FROM w", 0),
+        ("SELECT a FROM t WHERE b IN (SELECT c FROM u UNION SELECT c FROM v) AND d = 1", "SELECT a FROM t WHERE d = 2 AND b IN (SELECT c FROM u UNION SELECT c FROM v)", 1),
+        ("SELECT a FROM t INTERSECT SELECT b FROM u UNION SELECT c FROM v", "SELECT a FROM t INTERSECT SELECT b FROM u UNION SELECT d FROM v", 0),
     ],
 )
 def test_exact_match(spark, gold, pred, exact):
