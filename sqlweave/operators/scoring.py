@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sqlweave.functions import text as T
+from sqlweave.functions.arrays import unnest
+from sqlweave.functions.scopes import with_resolved_names
 
 # Components that are compared as bags of units.
 UNIT_LISTS = ("select", "select(no AGG)", "where", "where(no OP)", "group(no Having)", "keywords")
@@ -146,46 +148,36 @@ def _neutral_words(sql: Column) -> Column:
     return F.split(T.slot_text(T.reformat_tokens(T.remove_distinct(T.join_operators(T.collapse_space(sql))))), " ")
 
 
-def with_neutral_text(df: DataFrame, sql: str, out: str) -> DataFrame:
+def with_neutral_text(df: DataFrame, sql: str, out: str, names: Column | None = None) -> DataFrame:
     """Add a query's neutral text, in which columns stand under their tables' names.
 
-    Aliases given with AS hold for the whole text; a later one of the same name wins. Where
-    the text reads a single table, its columns stand without the table.
+    Names are read block by block, see `scopes.with_resolved_names`.
     """
-    words = F.col("__words")
+    worded = df.withColumn("__words", _neutral_words(F.col(sql)))
+    placed = with_resolved_names(worded, "__words", "__plain", names)
+    return placed.withColumn(out, F.array_join("__plain", " ")).drop("__words", "__plain")
 
-    def after(starts: tuple[str, ...]) -> Column:
-        return F.filter(words, lambda w, i: F.get(words, i - 1).isin(*starts) & (w != "("))
 
-    def named(word: Column, i: Column) -> Column:
-        return F.when(word == "as", F.struct(F.get(words, i + 1).alias("alias"), F.get(words, i - 1).alias("name")))
+def with_known_names(queries: DataFrame, columns: DataFrame, representatives: DataFrame | None = None) -> DataFrame:
+    """Add `names`: the catalog columns both of whose names occur in one of a query's texts.
 
-    def resolved(word: Column) -> Column:
-        dot = F.instr(word, ".")
-        prefix = F.substring_index(word, ".", 1)
-        own = F.filter("__aliases", lambda a: a["alias"] == prefix)
-        table = F.coalesce(F.get(own, F.size(own) - 1)["name"], prefix)
-        column = F.substr(word, dot + 1)
-        full = F.when(F.col("__single") == table, column).otherwise(F.concat(table, F.lit("."), column))
-        return F.when((dot > 1) & word.rlike(r"^[a-z_]\w*\."), full).otherwise(word)
-
-    def kept(word: Column, i: Column) -> Column:
-        """Not the AS behind a table, nor the alias behind that."""
-        def renames(at: Column) -> Column:
-            return (F.get(words, at) == "as") & F.coalesce(F.get(words, at - 2).isin("from", "join", ","), F.lit(False))
-
-        return ~F.coalesce(renames(i) | renames(i - 1), F.lit(False))
-
-    sources = F.array_distinct(after(("from", "join")))
-    listed = F.col("__plain").rlike(r"\bfrom \S+(?: as \w+)? ,")
-    return (
-        df.withColumn("__words", _neutral_words(F.col(sql)))
-        .withColumn("__plain", F.array_join("__words", " "))
-        .withColumn("__aliases", F.filter(F.transform(words, named), lambda a: a.isNotNull()))
-        .withColumn("__single", F.when((F.size(sources) == 1) & ~listed, F.get(sources, F.lit(0))))
-        .withColumn(out, F.array_join(F.transform(F.filter(words, kept), resolved), " "))
-        .drop("__words", "__plain", "__aliases", "__single")
-    )
+    `queries(query_id, db_id, sql_gt, sql_pred)`, `columns(db_id, table_name, column_name)`,
+    `representatives(db_id, unit, representative)` with units 'table.column', as for
+    `map_equivalent_columns`. Names are compared in lower case. A query's list is bounded by its
+    texts' words; words meet the catalog in equi-joins by database and name.
+    """
+    text = F.lower(F.concat_ws(" ", "sql_gt", "sql_pred"))
+    words = unnest(queries, F.array_distinct(F.regexp_extract_all(text, F.lit(r"\w+"), 0)), "word", "query_id", "db_id")
+    known = columns.select("db_id", F.lower("table_name").alias("table"), F.lower("column_name").alias("column")).distinct()
+    found = words.withColumnRenamed("word", "column").join(known, ["db_id", "column"])
+    found = found.join(words.withColumnRenamed("word", "table"), ["query_id", "db_id", "table"], "left_semi")
+    if representatives is None:
+        found = found.withColumn("representative", F.lit(None).cast("string"))
+    else:
+        first = representatives.groupBy("db_id", F.lower("unit").alias("unit")).agg(F.min(F.lower("representative")).alias("representative"))
+        found = found.withColumn("unit", F.concat_ws(".", "table", "column")).join(first, ["db_id", "unit"], "left")
+    lists = found.groupBy("query_id").agg(F.collect_list(F.struct("table", "column", "representative")).alias("names"))
+    return queries.join(lists, "query_id", "left")
 
 
 def _shared(a: Column, b: Column) -> Column:
@@ -235,17 +227,25 @@ def _same_block(a: Column, b: Column) -> Column:
     return same & (connectives(a) == connectives(b))
 
 
-def compare_texts(queries: DataFrame) -> DataFrame:
+def compare_texts(
+    queries: DataFrame, columns: DataFrame | None = None, representatives: DataFrame | None = None
+) -> DataFrame:
     """Components of each (query_id, sql_gt, sql_pred): label_total, pred_total and cnt.
 
     Both texts are taken apart inside their row, so nothing is shuffled. Sub-queries are folded
     from the inside out and match when their own neutral text does, wherever their unit stands. The
     side of a set operation matches when its clauses do, units in any order; what follows a second
     one there has to be the same text.
+
+    With the catalog's `columns`, bare names of blocks that read several tables are placed, and
+    columns count as equal to their `representatives`; see `with_known_names`. Without, such names
+    match as they stand.
     """
-    df = queries
+    df, names = queries, None
+    if columns is not None:
+        df, names = with_known_names(queries, columns, representatives), F.col("names")
     for side, column in (("g", "sql_gt"), ("p", "sql_pred")):
-        df = with_neutral_text(df, column, f"{side}_text")
+        df = with_neutral_text(df, column, f"{side}_text", names)
         df = df.withColumn(f"{side}_outer", T.outer_block(F.col(f"{side}_text"), digests=True))
         df = df.withColumn(f"{side}_rest", F.regexp_extract(f"{side}_outer", _SET_OPERATION, 1)).withColumns({
             f"{side}_c": T.clauses(T.first_block(F.col(f"{side}_outer")), F.col(f"{side}_outer")),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sqlweave.functions import text as T
@@ -132,6 +132,47 @@ def exact_match(spark, sf):
     return S.exact_match_texts(compared).select("query_id", "exact")
 
 
+# Event types by turns: the second table of a text that reads two.
+_TYPES = ("click", "error", "purchase", "signup", "view")
+
+
+def exact_match_names(spark, sf):
+    """Texts over each user's tables whose predictions leave out prefixes, reuse aliases or turn the tables round.
+
+    By event: two tables in gold order; two tables turned round, where the bare name may belong to the
+    other one; a sub-query under a reused alias; the same with both tables swapped. Columns of even
+    keys are references of one group.
+    """
+    types = F.array(*[F.lit(t) for t in _TYPES])
+    events = keyed_events(spark, sf).withColumn("t", F.col("event_type"))
+    events = events.withColumn("o", F.element_at(types, (F.array_position(types, F.col("t")) % len(_TYPES) + 1).cast("int")))
+    t, o, c = F.col("t"), F.col("o"), F.concat(F.lit("k"), "k")
+    kind = F.col("event_id") % 4
+
+    def say(text: str) -> Column:
+        return F.concat(*[{"T": t, "O": o, "C": c}.get(part, F.lit(part)) for part in text.split("|")])
+
+    joined = say("SELECT |T|.|C| FROM |T| JOIN |O| WHERE |T|.|C| > 1")
+    nested = say("SELECT T1.|C| FROM |T| AS T1 WHERE T1.|C| IN (SELECT T1.|C| FROM |O| AS T1)")
+    predicted = (
+        F.when(kind == 0, say("SELECT |C| FROM |T| JOIN |O| WHERE |C| > 5"))
+        .when(kind == 1, say("SELECT |C| FROM |O| AS a JOIN |T| AS b WHERE |C| > 5"))
+        .when(kind == 2, say("SELECT |C| FROM |T| WHERE |C| IN (SELECT |C| FROM |O|)"))
+        .otherwise(say("SELECT |C| FROM |O| WHERE |C| IN (SELECT |C| FROM |T|)"))
+    )
+    pairs = events.select(
+        F.col("event_id").alias("query_id"), F.concat(F.lit("db_"), "user_id").alias("db_id"),
+        F.when(kind < 2, joined).otherwise(nested).alias("sql_gt"), predicted.alias("sql_pred"),
+    )
+    seen = events.select(F.concat(F.lit("db_"), "user_id").alias("db_id"), "event_type", "k").distinct()
+    columns = seen.select("db_id", F.initcap("event_type").alias("table_name"), F.concat(F.lit("K"), "k").alias("column_name"))
+    first = seen.filter("k % 2 = 0").withColumn("first", F.min("event_type").over(Window.partitionBy("db_id", "k")))
+    representatives = first.select(
+        "db_id", F.concat(F.col("event_type"), F.lit(".k"), "k").alias("unit"), F.concat(F.col("first"), F.lit(".k"), "k").alias("representative")
+    )
+    return S.exact_match_texts(S.compare_texts(pairs, columns, representatives)).select("query_id", "exact")
+
+
 # Units of the query shapes in `plans.sqltext`, by component.
 SHAPE_UNITS = {
     "select": [1, 2, 2, 1, 1, 1, 2, 1],
@@ -245,6 +286,16 @@ QUERIES = {
         round(avg(x) filter (lang = 'es'), 6) es, round(avg(x) filter (lang = 'fr'), 6) fr from l group by 1""",
     ),
     "exact_match": (exact_match, "select event_id query_id, ((event_id // 8) % 4 < 3)::int exact from events"),
+    "exact_match_names": (
+        exact_match_names,
+        """with e as (select event_id, user_id, event_type t, json_extract_string(props, '$.k')::int k from events),
+        n as (select *, case t when 'click' then 'error' when 'error' then 'purchase' when 'purchase' then 'signup'
+              when 'signup' then 'view' else 'click' end o from e),
+        seen as (select distinct user_id, t, k from e)
+        select event_id query_id, case event_id % 4 when 0 then 1 when 2 then 1 when 3 then 0
+        else (s.t is null or n.k % 2 = 0)::int end exact
+        from n left join seen s on s.user_id = n.user_id and s.t = n.o and s.k = n.k""",
+    ),
     "text_components": (text_components, _text_components_sql()),
     "keyword_overlap": (
         keyword_overlap,

@@ -143,6 +143,46 @@ def test_exact_match(spark, gold, pred, exact):
     assert scoring.exact_match_texts(scoring.compare_texts(df)).first()["exact"] == exact
 
 
+NAMED = [
+    # A bare name belongs to the first table of its own block that has it.
+    ("SELECT singer.name FROM singer JOIN concert ON singer.id = concert.singer_id", "SELECT name FROM singer JOIN concert ON id = singer_id", 1),
+    ("SELECT T1.name FROM concert AS T2 JOIN singer AS T1 ON T1.id = T2.singer_id", "SELECT name FROM singer JOIN concert ON id = singer_id", 1),
+    ("SELECT concert.year FROM singer JOIN concert ON singer.id = concert.singer_id", "SELECT year FROM singer, concert WHERE id = singer_id", 0),
+    ("SELECT concert.year FROM singer, concert WHERE singer.id = concert.singer_id", "SELECT year FROM singer AS a, concert AS b WHERE a.id = b.singer_id", 1),
+    ("SELECT concert.place FROM concert JOIN singer", "SELECT place FROM singer JOIN concert", 0),
+    ("SELECT concert.place FROM concert JOIN singer", "SELECT place FROM concert JOIN singer", 1),
+    ("SELECT count(*) FROM singer JOIN concert GROUP BY singer.name HAVING count(*) > 2", "SELECT count(*) FROM singer JOIN concert GROUP BY name HAVING count(*) > 5", 1),
+    # Columns of one reference group are one column where both tables are read, not elsewhere.
+    ("SELECT singer.id FROM singer JOIN concert", "SELECT concert.singer_id FROM singer JOIN concert", 1),
+    ("SELECT singer.id FROM singer JOIN concert", "SELECT singer_id FROM concert JOIN singer", 1),
+    ("SELECT singer.id FROM singer JOIN concert", "SELECT concert.year FROM singer JOIN concert", 0),
+    ("SELECT id FROM singer", "SELECT singer_id FROM concert", 0),
+    # An alias means what its own block declares; outer ones are seen from inside.
+    ("SELECT name FROM singer AS T1 WHERE T1.id IN (SELECT T1.singer_id FROM concert AS T1)", "SELECT name FROM singer WHERE id IN (SELECT singer_id FROM concert)", 1),
+    ("SELECT name FROM singer AS T1 WHERE T1.id IN (SELECT T2.singer_id FROM concert AS T2 WHERE T2.place = T1.place)", "SELECT name FROM singer WHERE id IN (SELECT singer_id FROM concert WHERE place = singer.place)", 1),
+    ("SELECT name FROM singer AS T1 WHERE T1.id IN (SELECT T2.singer_id FROM concert AS T2 WHERE T2.place = T1.place)", "SELECT name FROM singer WHERE id IN (SELECT singer_id FROM concert WHERE place = concert.place)", 0),
+    ("SELECT T1.place FROM singer AS T1 UNION SELECT T1.place FROM concert AS T1", "SELECT place FROM singer UNION SELECT place FROM concert", 1),
+    ("SELECT T1.place FROM singer AS T1 UNION SELECT T1.place FROM concert AS T1", "SELECT place FROM singer UNION SELECT year FROM concert", 0),
+    ("SELECT T1.name FROM singer AS T1 JOIN singer AS T2 ON T1.id = T2.id", "SELECT name FROM singer JOIN singer", 1),
+    ("SELECT count(*) FROM (SELECT T1.place FROM singer AS T1 EXCEPT SELECT T1.place FROM concert AS T1)", "SELECT count(*) FROM (SELECT place FROM singer EXCEPT SELECT place FROM concert)", 1),
+]
+
+
+def test_exact_match_places_names_by_block_and_catalog(spark):
+    pairs = spark.createDataFrame([(i, "D", g, p) for i, (g, p, _) in enumerate(NAMED)], "query_id int, db_id string, sql_gt string, sql_pred string")
+    columns = [("D", "Singer", c) for c in ("ID", "Name", "place")] + [("D", "Concert", c) for c in ("singer_id", "year", "place")]
+    columns += [("E", "Concert", "name"), ("E", "Singer", "year")]
+    catalog = spark.createDataFrame(columns, "db_id string, table_name string, column_name string")
+    same = spark.createDataFrame([("D", "concert.singer_id", "singer.id"), ("D", "singer.id", "singer.id")], "db_id string, unit string, representative string")
+    out = {r["query_id"]: r["exact"] for r in scoring.exact_match_texts(scoring.compare_texts(pairs, catalog, same)).collect()}
+    wrong = [(g, p, e) for i, (g, p, e) in enumerate(NAMED) if out[i] != e]
+    assert not wrong
+    # Names that no catalog knows, null and empty texts stay as they are.
+    odd = spark.createDataFrame([(1, "X", "SELECT a FROM t JOIN u", "SELECT a FROM u JOIN t"), (2, "X", "", ""), (3, None, "SELECT a FROM t", "SELECT a FROM t"), (4, "X", None, "SELECT a FROM t")], pairs.schema)
+    got = {r["query_id"]: r["exact"] for r in scoring.exact_match_texts(scoring.compare_texts(odd, catalog, same)).collect()}
+    assert got[1] == 1 and got[3] == 1 and got[4] in (0, None) and len(got) == 4
+
+
 def test_json_text_escapes(spark):
     import json
 
