@@ -13,6 +13,7 @@ import time
 import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
+from functools import cache
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -34,7 +35,11 @@ _QUOTED = re.compile(r"""('(?:[^']|'')*'|"(?:[^"]|"")*"|`[^`]*`)""")
 _SPLIT_OPERATOR = re.compile(r"([<>!]) =")
 _CURRENT_YEAR = re.compile(r"\bYEAR\s*\(\s*CURDATE\s*\(\s*\)\s*\)", re.I)
 _LIKE = re.compile(r"\bLIKE\b", re.I)
-_QUOTIENT = re.compile(r"(?<![\w.])((?:\w+\.)?\w+)\s*/\s*((?:\w+\.)?\w+)(?![\w.(])")
+_OPERAND = r"(?:\b(?:count|sum|min|max)\s*)?\(\s*(?:distinct\s+)?(?:(?:\w+\.)?\w+|\*)\s*\)|(?:\w+\.)?\w+"
+_QUOTIENT = re.compile(rf"(?<![\w.])({_OPERAND})\s*/\s*({_OPERAND})(?![\w.(])", re.I)
+# A word in front of a parenthesis calls a function, unless it is one of these.
+_BEFORE_VALUE = re.compile(r"\b(?:select|distinct|where|and|or|not|on|by|having|when|then|else|between|like|all)$|\W$|^$", re.I)
+_CALL = re.compile(r"(\w*)\s*\(\s*(?:distinct\s+)?([\w.]+|\*)\s*\)", re.I)
 
 
 def integral_columns(session: SparkSession) -> set[str]:
@@ -50,15 +55,24 @@ def compatible(sql: str, integral: Callable[[], set[str]] = set) -> str:
     """A statement as Spark has to read it, changed by text only and never inside quotes.
 
     Comparison operators split by a space are joined, the current year is the fixed one, LIKE
-    ignores case, and a quotient of two whole numbers or whole-number columns is a whole number.
+    ignores case, and a quotient of two whole numbers is a whole number: of digits, whole-number
+    columns, either of them in parentheses, counts, and sums, minima and maxima of such columns.
     A quotient that stands behind another product, or whose types the text cannot tell, stays.
     """
 
     def is_whole(operand: str) -> bool:
+        call = _CALL.fullmatch(operand)
+        if call and call[1].lower() == "count":
+            return True
+        if call and call[1].lower() in ("", "sum", "min", "max"):
+            return is_whole(call[2])
         return operand.isdigit() or operand.rpartition(".")[2].lower() in integral()
 
     def quotient(m: re.Match) -> str:
-        alone = m.string[: m.start()].rstrip()[-1:] not in ("*", "/", "%", ")")
+        before = m.string[: m.start()].rstrip()
+        alone = before[-1:] not in ("*", "/", "%", ")")
+        if m[1].startswith("("):
+            alone = alone and _BEFORE_VALUE.search(before[-20:]) is not None
         return f"{m[1]} div {m[2]}" if alone and is_whole(m[1]) and is_whole(m[2]) else m[0]
 
     def plain(part: str) -> str:
@@ -69,7 +83,7 @@ def compatible(sql: str, integral: Callable[[], set[str]] = set) -> str:
     return "".join(part if i % 2 else plain(part) for i, part in enumerate(_QUOTED.split(sql)))
 
 
-def _run(session: SparkSession, row: Row, path: str, timeout: float) -> tuple:
+def _run(session: SparkSession, row: Row, path: str, timeout: float, integral: Callable[[], set[str]]) -> tuple:
     """Run one statement under a job tag; a timer cancels its jobs when time is up."""
     tag = f"statement-{uuid.uuid4().hex}"
     context = session.sparkContext
@@ -85,7 +99,7 @@ def _run(session: SparkSession, row: Row, path: str, timeout: float) -> tuple:
     timer.start()
     started = time.monotonic()
     try:
-        result = session.sql(compatible(row["sql"].rstrip().rstrip(";"), lambda: integral_columns(session)))
+        result = session.sql(compatible(row["sql"].rstrip().rstrip(";"), integral))
         result.select(
             F.lit(row["query_id"]).cast("long").alias("query_id"),
             F.lit(row["side"]).alias("side"),
@@ -116,6 +130,12 @@ def run_statements(
     spark = statements.sparkSession
     root = scratch_path(spark)
     pick = session_for or (lambda _: spark)
+    # Whole-number columns are listed once per session, when a quotient first asks for them.
+    listed: dict[int, tuple[SparkSession, Callable[[], set[str]]]] = {}
+
+    def integral(session: SparkSession) -> Callable[[], set[str]]:
+        return listed.setdefault(id(session), (session, cache(lambda: integral_columns(session))))[1]
+
     rows: Iterator[Row] = statements.select("query_id", "side", "db_id", "sql").toLocalIterator()
     done: list[tuple] = []
     written = 0
@@ -137,7 +157,8 @@ def run_statements(
                 flush()
             path = f"{root}/results/statement={number}"
             task = inheritable_thread_target(spark)(_run)
-            waiting.add(pool.submit(task, pick(row["db_id"]), row, path, timeout))
+            session = pick(row["db_id"])
+            waiting.add(pool.submit(task, session, row, path, timeout, integral(session)))
         done.extend(f.result() for f in wait(waiting).done)
     flush()
     status = spark.read.schema(STATUS_DDL).parquet(f"{root}/status") if written else spark.createDataFrame([], STATUS_DDL)

@@ -251,7 +251,11 @@ def test_statements_are_made_compatible_outside_quotes():
         "select a from t where b like 'x > = like%'": "select a from t where b ILIKE 'x > = like%'",
         "where n > = 5 and m ! = 3": "where n >= 5 and m != 3",
         "where y = YEAR(CURDATE()) and z = 'YEAR(CURDATE())'": "where y = 2020 and z = 'YEAR(CURDATE())'",
-        "select n/2, t.n / m, x/2, 2.5 / n, 3 * n / 2, (n) / 2, n / f(m)": "select n div 2, t.n div m, x/2, 2.5 / n, 3 * n / 2, (n) / 2, n / f(m)",
+        "select n/2, t.n / m, x/2, 2.5 / n, 3 * n / 2, n / f(m)": "select n div 2, t.n div m, x/2, 2.5 / n, 3 * n / 2, n / f(m)",
+        "select sum(n)/count(*), (n) / 2, MAX( t.n ) / m": "select sum(n) div count(*), (n) div 2, MAX( t.n ) div m",
+        "where x = 1 and (n)/2 > 1 or f (n) / 2 = 1": "where x = 1 and (n) div 2 > 1 or f (n) / 2 = 1",
+        "select count(distinct x) / 2, n / (m)": "select count(distinct x) div 2, n div (m)",
+        "select avg(n) / 2, sum(x)/count(*), sum(n + x) / 2, f(n)/2, (a + n) / 2": "select avg(n) / 2, sum(x)/count(*), sum(n + x) / 2, f(n)/2, (a + n) / 2",
         "select `a / b`, \"n/2\" from t": "select `a / b`, \"n/2\" from t",
     }
     assert {sql: compatible(sql, whole) for sql in same} == same
