@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 SET_OPERATIONS = ("union", "intersect", "except")
 # Words that open a clause.
-ZONES = ("select", "from", "join", "on", "where", "group", "having", "order", "limit")
+ZONES = ("select", "from", "join", "on", "using", "where", "group", "having", "order", "limit")
+# Words that may stand behind a table and are no alias of it.
+NO_ALIAS = (*ZONES, *SET_OPERATIONS, "as", "inner", "left", "right", "full", "cross", "natural", "outer")
 NO_NAMES = "array<struct<table:string,column:string,representative:string>>"
 
 
@@ -88,14 +90,19 @@ def _declares(words: Column, scopes: Column, i: Column) -> Column:
     )
 
 
-def declared_tables(words: Column, scopes: Column) -> Column:
+def declared_tables(words: Column, scopes: Column, bare_aliases: bool = False) -> Column:
     """(at, table, alias, block) of everything read in a FROM list; a sub-query's table is '('.
 
-    Only AS gives an alias; a table without one stands under its own name.
+    Only AS gives an alias, or with `bare_aliases` the word behind the table as well; a table without
+    one stands under its own name.
     """
 
     def declared(word: Column, i: Column) -> Column:
-        alias = F.when((F.get(words, i + 1) == "as") & (word != "("), F.get(words, i + 2)).otherwise(word)
+        after = F.get(words, i + 1)
+        alias = F.when((after == "as") & (word != "("), F.get(words, i + 2))
+        if bare_aliases:
+            alias = alias.when((word != "(") & after.rlike(r"^[a-z_]\w*$") & ~after.isin(*NO_ALIAS), after)
+        alias = alias.otherwise(word)
         block = F.element_at(F.get(scopes, F.when(word == "(", i - 1).otherwise(i)), -1)
         found = F.struct(i.alias("at"), word.alias("table"), alias.alias("alias"), block.alias("block"))
         return F.when(_declares(words, scopes, i), found)

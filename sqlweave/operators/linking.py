@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sqlweave.functions.arrays import unnest
+from sqlweave.functions.scopes import declared_tables, token_scopes
 from sqlweave.functions.text import collapse_space
 
 _CTE = r"\b(\w+) as ?\( ?(?:select|with|values)\b"
@@ -13,7 +14,7 @@ _FROM = (
     r"\b(?:from|join) ([^()]+?)(?= (?:where|group by|order by|having|limit|union|intersect|except"
     r"|on|using|(?:inner |left |right |full |cross |natural )?(?:outer )?join)\b|[();]|$)"
 )
-_QUALIFIED = r"\b(\w+)\.(\w+)\b"
+_TOKEN = r"\w+\.\w+|\w+|[^\s\w]"
 _BARE = r"(?<![\w.])([a-z_]\w*)(?![\w.(])"
 
 
@@ -50,18 +51,35 @@ def _parsed(queries: DataFrame) -> DataFrame:
         lambda w: F.struct(_name(F.coalesce(F.get(w, F.lit(1)), w[0])).alias("alias"), _name(w[0]).alias("table_name")),
     )
     real = F.filter(refs, lambda r: ~F.array_contains(ctes, r["table_name"]))
-    pairs = F.transform(
-        F.arrays_zip(
-            F.regexp_extract_all(text, F.lit(_QUALIFIED), 1).alias("alias"),
-            F.regexp_extract_all(text, F.lit(_QUALIFIED), 2).alias("column_name"),
-        ),
-        lambda p: F.struct(_name(p["alias"]).alias("alias"), _name(p["column_name"]).alias("column_name")),
+    declared, scopes = F.col("__declared"), F.col("__scopes")
+
+    def owned(word: Column, i: Column) -> Column:
+        """A prefixed name with the table that the nearest block around it declares under the prefix."""
+        alias = _name(F.substring_index(word, ".", 1))
+        near = F.filter(declared, lambda d: (d["alias"] == alias) & F.array_contains(F.get(scopes, i), d["block"]))
+        return F.when(
+            F.instr(word, ".") > 1,
+            F.struct(
+                alias.alias("alias"), _name(F.substring_index(word, ".", -1)).alias("column_name"),
+                F.try_element_at(near, F.lit(-1))["table"].alias("table_name"),
+            ),
+        )
+
+    pairs = F.filter(
+        F.transform("__words", owned), lambda p: p.isNotNull() & ~F.coalesce(F.array_contains(ctes, p["table_name"]), F.lit(False))
+    )
+    named = F.transform(
+        declared_tables(F.col("__words"), scopes, bare_aliases=True),
+        lambda d: F.struct(_name(d["table"]).alias("table"), _name(d["alias"]).alias("alias"), d["block"].alias("block")),
     )
     rest = F.regexp_replace(F.regexp_replace(text, _FROM, "from"), r"\bas \w+", "")
     return (
         queries.withColumn("__plain", _plain(F.col("sql")))
         .withColumn("__quoted", F.regexp_extract_all(F.col("__plain"), F.lit(_QUOTED), 0))
         .withColumn("__text", _held(F.col("__plain")))
+        .withColumn("__words", F.regexp_extract_all(text, F.lit(_TOKEN), 0))
+        .withColumn("__scopes", token_scopes(F.col("__words")))
+        .withColumn("__declared", named)
         .withColumn("__refs", F.array_distinct(real))
         .withColumn("__qualified", F.array_distinct(pairs))
         .withColumn("__bare", F.array_distinct(F.transform(F.regexp_extract_all(rest, F.lit(_BARE), 1), _name)))
@@ -80,7 +98,8 @@ def used_tables(queries: DataFrame, columns: DataFrame) -> DataFrame:
 def used_columns(queries: DataFrame, columns: DataFrame) -> DataFrame:
     """Catalog rows of the columns each query uses.
 
-    Aliases are resolved, CTE names are no tables, a bare name belongs to every used
+    An alias means the table that the nearest block around it declares under it, or where none does
+    all tables the text declares under it. CTE names are no tables, a bare name belongs to every used
     table that has it. All name pairs of a text are worked out inside its row; one
     equi-join on the full column name then keeps those that exist.
     """
@@ -88,10 +107,9 @@ def used_columns(queries: DataFrame, columns: DataFrame) -> DataFrame:
     def resolve(name: Column) -> Column:
         hit = F.filter("__refs", lambda r: (r["alias"] == name["alias"]) | (r["table_name"] == name["alias"]))
         by_alias = F.filter(hit, lambda r: r["alias"] == name["alias"])
-        chosen = F.when(F.size(by_alias) > 0, by_alias).otherwise(hit)
-        return F.transform(
-            chosen, lambda r: F.struct(r["table_name"].alias("t"), name["column_name"].alias("c"))
-        )
+        anywhere = F.transform(F.when(F.size(by_alias) > 0, by_alias).otherwise(hit), lambda r: r["table_name"])
+        tables = F.when(name["table_name"].isNotNull(), F.array(name["table_name"])).otherwise(anywhere)
+        return F.transform(tables, lambda t: F.struct(t.alias("t"), name["column_name"].alias("c")))
 
     def everywhere(name: Column) -> Column:
         return F.transform("__refs", lambda r: F.struct(r["table_name"].alias("t"), name.alias("c")))

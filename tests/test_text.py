@@ -143,6 +143,25 @@ def test_exact_match(spark, gold, pred, exact):
     assert scoring.exact_match_texts(scoring.compare_texts(df)).first()["exact"] == exact
 
 
+def test_an_alias_links_to_the_table_of_its_own_block(spark):
+    columns = spark.createDataFrame([("D", t, c) for t in ("Singer", "Concert") for c in ("id", "place")], "db_id string, table_name string, column_name string")
+    texts = {
+        1: ("SELECT T1.id FROM singer AS T1 WHERE T1.id IN (SELECT T1.place FROM concert AS T1)", {("Singer", "id"), ("Concert", "place")}),
+        2: ("SELECT T1.id FROM singer T1 UNION SELECT T1.place FROM concert T1", {("Singer", "id"), ("Concert", "place")}),
+        3: ("SELECT T1.id FROM singer T1 WHERE EXISTS (SELECT 1 FROM concert T2 WHERE T2.place = T1.place)", {("Singer", "id"), ("Singer", "place"), ("Concert", "place")}),
+        4: ("SELECT a.id, b.id FROM singer a, concert b WHERE a.place > 1.5", {("Singer", "id"), ("Concert", "id"), ("Singer", "place")}),
+        5: ("SELECT T1.id FROM `Singer` AS T1 WHERE T1.`place` = 'concert.id'", {("Singer", "id"), ("Singer", "place")}),
+        6: ("SELECT concert.id FROM singer LEFT JOIN concert USING (id, place)", None),
+    }
+    queries = spark.createDataFrame([(i, "D", sql) for i, (sql, _) in texts.items()], "question_id int, db_id string, sql string")
+    found = {i: set() for i in texts}
+    for r in linking.used_columns(queries, columns).collect():
+        found[r["question_id"]].add((r["table_name"], r["column_name"]))
+    for i, (_, expected) in texts.items():
+        assert expected is None or found[i] == expected, (i, found[i])
+    assert ("Concert", "id") in found[6]
+
+
 NAMED = [
     # A bare name belongs to the first table of its own block that has it.
     ("SELECT singer.name FROM singer JOIN concert ON singer.id = concert.singer_id", "SELECT name FROM singer JOIN concert ON id = singer_id", 1),
