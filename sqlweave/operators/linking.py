@@ -61,7 +61,8 @@ def _parsed(queries: DataFrame) -> DataFrame:
             F.instr(word, ".") > 1,
             F.struct(
                 alias.alias("alias"), _name(F.substring_index(word, ".", -1)).alias("column_name"),
-                F.try_element_at(near, F.lit(-1))["table"].alias("table_name"),
+                # In a text of one block all its declarations are near, so they need no scope.
+                F.when(F.col("__nested"), F.try_element_at(near, F.lit(-1))["table"]).alias("table_name"),
             ),
         )
 
@@ -78,8 +79,9 @@ def _parsed(queries: DataFrame) -> DataFrame:
         .withColumn("__quoted", F.regexp_extract_all(F.col("__plain"), F.lit(_QUOTED), 0))
         .withColumn("__text", _held(F.col("__plain")))
         .withColumn("__words", F.regexp_extract_all(text, F.lit(_TOKEN), 0))
-        .withColumn("__scopes", token_scopes(F.col("__words")))
-        .withColumn("__declared", named)
+        .withColumn("__nested", F.size(F.filter("__words", lambda w: w == "select")) > 1)
+        .withColumn("__scopes", F.when(F.col("__nested"), token_scopes(F.col("__words"))))
+        .withColumn("__declared", F.when(F.col("__nested"), named))
         .withColumn("__refs", F.array_distinct(real))
         .withColumn("__qualified", F.array_distinct(pairs))
         .withColumn("__bare", F.array_distinct(F.transform(F.regexp_extract_all(rest, F.lit(_BARE), 1), _name)))
