@@ -10,13 +10,17 @@ rows behind and still counts as equal.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sqlweave.operators.ranking import position
+from sqlweave.session import materialise
 
 GOLD, PRED = "gold", "pred"
 
+# Partial column mappings of a query taken on per round; the others wait for a later one.
+MAPPINGS_AT_ONCE = 32
+
 
 def _is(side: str) -> Column:
     return F.when(F.col("side") == side, 1).otherwise(0)
@@ -104,60 +108,99 @@ def quick_reject(results: DataFrame, queries: DataFrame) -> DataFrame:
 
 def permute_cells(cells: Column, permutation: Column) -> Column:
     """Reorder the cells of a row; `permutation` holds 0-based source positions."""
-    return F.transform(permutation, lambda i: F.element_at(cells, i + 1))
+    return F.transform(permutation, lambda i: F.get(cells, i))
+
 
+def _own_column(pair: Column) -> Column:
+    return F.when(F.col("side") == GOLD, pair["gold"]).otherwise(pair["pred"])
 
-def _column_mappings(rows: DataFrame) -> DataFrame:
-    """(query_id, permutation): every way to line the pred columns up with the gold ones
-    that column contents do not rule out.
 
-    A column's fingerprint is the multiset of its cells, each tagged with its row's
-    order-free content. Columns that are equal cell by cell on the pred side are
-    interchangeable, so they are only used in their own order.
+def _column_classes(rows: DataFrame, states: DataFrame) -> DataFrame:
+    """Columns not mapped yet, by what they hold: (query_id, turn, print, golds, preds).
+
+    A column's print is the multiset of its cells, each tagged with its row: the cells of
+    the mapped columns in their order and the other cells without one. Under every right
+    mapping that extends the state a gold column and its pred column have equal prints.
+    `preds` carry `content`, equal for pred columns that are equal cell by cell.
     """
-    row_tag = F.xxhash64(F.array_sort("cells"), "at")
-    cell = rows.select(
-        "query_id", "side", "row_idx", row_tag.alias("tag"), F.posexplode("cells").alias("col", "cell")
+    used = F.transform("mapping", _own_column)
+    filled = F.transform("cells", lambda c: F.coalesce(c, F.lit("")))
+    numbered = rows.join(states, "query_id").select(
+        "query_id",
+        "turn",
+        "side",
+        "row_idx",
+        "at",
+        used.alias("used"),
+        F.transform(filled, lambda c, i: F.struct(i.alias("col"), c.alias("cell"))).alias("numbered"),
     )
+    free = F.filter("numbered", lambda x: ~F.array_contains("used", x["col"]))
+    mapped = F.transform("used", lambda i: F.get("numbered", i)["cell"])
+    tag = F.xxhash64("at", mapped, F.array_sort(F.transform(free, lambda x: x["cell"])))
+    cell = numbered.select("query_id", "turn", "side", "row_idx", tag.alias("tag"), F.explode(free).alias("x"))
 
-    def total(hashed: Column) -> Column:
-        return F.sum(hashed.cast("decimal(38,0)"))
+    def total(*parts: Column | str) -> Column:
+        return F.sum(F.xxhash64(*parts).cast("decimal(38,0)"))
 
-    columns = cell.groupBy("query_id", "side", "col").agg(
-        total(F.xxhash64("cell", "tag", F.col("cell").isNull())).alias("print"),
-        total(F.xxhash64("cell", "row_idx", F.col("cell").isNull())).alias("content"),
+    columns = cell.groupBy("query_id", "turn", "side", F.col("x.col").alias("col")).agg(
+        total("x.cell", "tag").alias("print"), total("x.cell", "row_idx").alias("content")
     )
-    pred = columns.filter(F.col("side") == PRED).select(
-        "query_id", "print", F.struct("col", "content").alias("source")
+    gold = F.when(F.col("side") == GOLD, F.col("col"))
+    pred = F.when(F.col("side") == PRED, F.struct("content", "col"))
+    return columns.groupBy("query_id", "turn", "print").agg(
+        F.array_sort(F.collect_list(gold)).alias("golds"), F.array_sort(F.collect_list(pred)).alias("preds")
     )
-    gold = columns.filter(F.col("side") == GOLD).select("query_id", "print", "col")
-    choices = (
-        gold.join(pred, ["query_id", "print"], "left")
-        .groupBy("query_id", "col")
-        .agg(F.array_sort(F.collect_list("source")).alias("sources"))
-        .groupBy("query_id")
+
+
+def _extended(rows: DataFrame, states: DataFrame) -> DataFrame:
+    """Every way to take each state on, (query_id, width, mapping); states that cannot be right leave none.
+
+    A class of one column, or of pred columns that are all equal, leaves no choice and is
+    mapped at once. Of the others the smallest gives its first gold column to each
+    different pred column of the class.
+    """
+    contents = F.array_distinct(F.transform("preds", lambda p: p["content"]))
+    pairs = F.transform(
+        F.arrays_zip("golds", "preds"), lambda z: F.struct(z["golds"].alias("gold"), z["preds"]["col"].alias("pred"))
+    )
+    fixed = F.size(contents) == 1
+    steps = (
+        _column_classes(rows, states)
+        .groupBy("query_id", "turn")
         .agg(
-            F.array_sort(F.collect_list(F.struct("col", "sources"))).alias("slots"),
+            F.bool_and(F.size("golds") == F.size("preds")).alias("possible"),
+            F.flatten(F.collect_list(F.when(fixed, pairs))).alias("sure"),
+            F.min(F.when(~fixed, F.struct(F.size(contents), "golds", "preds"))).alias("open"),
         )
+        .filter("possible")
+    )
+    different = F.filter(
+        "open.preds", lambda p: ~F.exists("open.preds", lambda o: (o["content"] == p["content"]) & (o["col"] < p["col"]))
+    )
+    gold = F.get("open.golds", F.lit(0))
+    choices = F.when(
+        F.col("open").isNotNull(),
+        F.transform(different, lambda p: F.array(F.struct(gold.alias("gold"), p["col"].alias("pred")))),
+    ).otherwise(F.array(F.slice("sure", 1, 0)))
+    return steps.join(states, ["query_id", "turn"]).select(
+        "query_id", "width", F.explode(F.transform(choices, lambda c: F.concat("mapping", "sure", c))).alias("mapping")
     )
 
-    def grow(partial: Column, slot: Column) -> Column:
-        """Extend every partial mapping by each source still free for this slot."""
-
-        def extend(done: Column) -> Column:
-            free = F.filter(slot["sources"], lambda s: ~F.array_contains(F.transform(done, lambda d: d["col"]), s["col"]))
-            first = F.filter(
-                free,
-                lambda s: ~F.exists(free, lambda o: (o["content"] == s["content"]) & (o["col"] < s["col"])),
-            )
-            return F.transform(first, lambda s: F.concat(done, F.array(s)))
-
-        return F.flatten(F.transform(partial, extend))
 
-    source_type = "array<array<struct<col:int,content:decimal(38,0)>>>"
-    mappings = F.aggregate("slots", F.expr(f"cast(array(array()) as {source_type})"), grow)
-    return choices.select("query_id", F.explode(mappings).alias("sources")).select(
-        "query_id", F.transform("sources", lambda s: s["col"]).alias("permutation")
+def _fitting(rows: DataFrame, complete: DataFrame) -> DataFrame:
+    """query_id of the queries one of whose complete mappings makes the two results equal, row by row."""
+    sources = F.transform(F.array_sort("mapping"), lambda m: m["pred"])
+    arranged = rows.join(complete.select("query_id", sources.alias("permutation")), "query_id").withColumn(
+        "cells",
+        F.when(F.col("side") == PRED, permute_cells(F.col("cells"), F.col("permutation"))).otherwise(F.col("cells")),
+    )
+    return (
+        _counts(arranged, "permutation", "at", "cells")
+        .groupBy("query_id", "permutation")
+        .agg(F.bool_and(F.col("gold_n") == F.col("pred_n")).alias("fits"))
+        .filter("fits")
+        .select("query_id")
+        .distinct()
     )
 
 
@@ -165,8 +208,12 @@ def column_permutation_equal(results: DataFrame, queries: DataFrame) -> DataFram
     """Does some order of the pred columns make the results equal?
 
     `queries` carries `ordered`: rows are compared by position where it is true, as a
-    bag elsewhere. Cheap necessary conditions come first; the surviving queries are
-    compared row by row under each column mapping their fingerprints allow.
+    bag elsewhere. Cheap necessary conditions come first. Then mappings of the surviving
+    queries grow in rounds, all queries at once: each query takes its longest partial
+    mappings on by the columns its rows now tell apart and keeps the other choices for
+    later, so that at most MAPPINGS_AT_ONCE x width^2 of a query wait; complete ones are
+    checked row by row. Columns that can trade places cost one choice, not every order of them, and a
+    query ends with its first fit. No mapping that could fit is left out.
     """
     keyed = results.join(queries.select("query_id", "ordered"), "query_id").withColumn(
         "at", _order_key(F.col("ordered"))
@@ -178,27 +225,34 @@ def column_permutation_equal(results: DataFrame, queries: DataFrame) -> DataFram
         .filter("alive")
         .select("query_id")
     )
-    rows = keyed.join(survivors, "query_id", "left_semi")
-    mapped = rows.join(_column_mappings(rows), "query_id")
-    arranged = mapped.withColumn(
-        "cells",
-        F.when(F.col("side") == PRED, permute_cells(F.col("cells"), F.col("permutation"))).otherwise(
-            F.col("cells")
-        ),
-    )
-    verdict = (
-        _counts(arranged, "permutation", "at", "cells")
-        .groupBy("query_id", "permutation")
-        .agg(F.bool_and(F.col("gold_n") == F.col("pred_n")).alias("fits"))
-        .groupBy("query_id")
-        .agg(F.bool_or("fits").alias("colperm_eq"))
+    rows = materialise(
+        keyed.join(survivors, "query_id", "left_semi").select("query_id", "side", "row_idx", "at", "cells")
     )
+    nothing = F.expr("cast(array() as array<struct<gold:int,pred:int>>)")
+    states = rows.groupBy("query_id").agg(F.max(F.size("cells")).alias("width")).withColumn("mapping", nothing)
+    is_complete = F.size("mapping") == F.col("width")
+    longest = Window.partitionBy("query_id").orderBy(F.desc(F.size("mapping")), "mapping")
+    fitting = rows.select("query_id").limit(0)
+    while True:
+        states = materialise(states)
+        complete, partial = states.filter(is_complete), states.filter(~is_complete)
+        left = states.agg(F.bool_or(is_complete).alias("complete"), F.bool_or(~is_complete).alias("partial")).first()
+        if left["complete"]:
+            found = materialise(_fitting(rows, complete))
+            fitting = fitting.union(found)
+            partial = partial.join(found, "query_id", "left_anti")
+        if not left["partial"]:
+            break
+        placed = partial.withColumn("turn", F.row_number().over(longest))
+        now = placed.filter(F.col("turn") <= MAPPINGS_AT_ONCE)
+        later = placed.filter(F.col("turn") > MAPPINGS_AT_ONCE).drop("turn")
+        states = _extended(rows, now).unionByName(later)
     seen = results.select("query_id").distinct().withColumn("has_rows", F.lit(True))
     return (
-        queries.join(verdict, "query_id", "left")
+        queries.join(fitting.withColumn("fits", F.lit(True)), "query_id", "left")
         .join(seen, "query_id", "left")
-        .withColumn("colperm_eq", F.coalesce("colperm_eq", F.col("has_rows").isNull()))
-        .drop("has_rows")
+        .withColumn("colperm_eq", F.coalesce("fits", F.col("has_rows").isNull()))
+        .drop("fits", "has_rows")
     )
 
 

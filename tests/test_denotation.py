@@ -84,6 +84,33 @@ def test_identical_columns_do_not_multiply(spark):
     assert run(spark, D.column_permutation_equal, [(wide, [wide[0][::-1]])], "colperm_eq") == [True]
 
 
+def incidence(edges, width):
+    return [tuple("n:1" if c in edge else "n:0" for c in range(width)) for edge in edges]
+
+
+def test_columns_that_can_trade_places_do_not_multiply(spark):
+    """Twelve columns: their 12! orders are never listed."""
+    rng = random.Random(5)
+    one_ring = incidence([(i, (i + 1) % 12) for i in range(12)], 12)
+    two_rings = incidence([(h + i, h + (i + 1) % 6) for h in (0, 6) for i in range(6)], 12)
+    unit = incidence([(i,) for i in range(12)], 12)
+    mixed = [tuple(rng.choice(["n:0", "n:1"]) for _ in range(12)) for _ in range(30)]
+    order = rng.sample(range(12), 12)
+
+    def moved(rows):
+        out = [tuple(r[i] for i in order) for r in rows]
+        rng.shuffle(out)
+        return out
+
+    # Two rings of six have the row and column sums of one of twelve.
+    pairs = [(one_ring, moved(one_ring)), (one_ring, moved(two_rings)), (unit, moved(unit)), (mixed, moved(mixed))]
+    swapped = [list(r) for r in moved(mixed)]
+    i = next(i for i, r in enumerate(swapped) if r[0] != r[1])
+    swapped[i][0], swapped[i][1] = swapped[i][1], swapped[i][0]
+    pairs.append((mixed, [tuple(r) for r in swapped]))
+    assert run(spark, D.column_permutation_equal, pairs, "colperm_eq") == [True, False, True, True, False]
+
+
 @pytest.mark.parametrize(
     "rows, valid",
     [([], 0), ([["n:0"]], 0), ([[None]], 0), ([["s:"]], 0), ([[None, None], [None, None]], 0), ([["n:5"], ["n:0"]], 1)],
