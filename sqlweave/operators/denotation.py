@@ -115,9 +115,11 @@ def _own_column(pair: Column) -> Column:
     return F.when(F.col("side") == GOLD, pair["gold"]).otherwise(pair["pred"])
 
 
-def _column_classes(rows: DataFrame, states: DataFrame) -> DataFrame:
+def _column_classes(stated: DataFrame) -> DataFrame:
     """Columns not mapped yet, by what they hold: (query_id, turn, print, golds, preds).
 
+    `stated` are rows with `turn` and `mapping` of a state of their query.
+
     A column's print is the multiset of its cells, each tagged with its row: the cells of
     the mapped columns in their order and the other cells without one. Under every right
     mapping that extends the state a gold column and its pred column have equal prints.
@@ -125,7 +127,7 @@ def _column_classes(rows: DataFrame, states: DataFrame) -> DataFrame:
     """
     used = F.transform("mapping", _own_column)
     filled = F.transform("cells", lambda c: F.coalesce(c, F.lit("")))
-    numbered = rows.join(states, "query_id").select(
+    numbered = stated.select(
         "query_id",
         "turn",
         "side",
@@ -152,7 +154,7 @@ def _column_classes(rows: DataFrame, states: DataFrame) -> DataFrame:
     )
 
 
-def _extended(rows: DataFrame, states: DataFrame) -> DataFrame:
+def _extended(stated: DataFrame, states: DataFrame) -> DataFrame:
     """Every way to take each state on, (query_id, width, mapping); states that cannot be right leave none.
 
     A class of one column, or of pred columns that are all equal, leaves no choice and is
@@ -165,7 +167,7 @@ def _extended(rows: DataFrame, states: DataFrame) -> DataFrame:
     )
     fixed = F.size(contents) == 1
     steps = (
-        _column_classes(rows, states)
+        _column_classes(stated)
         .groupBy("query_id", "turn")
         .agg(
             F.bool_and(F.size("golds") == F.size("preds")).alias("possible"),
@@ -229,24 +231,28 @@ def column_permutation_equal(results: DataFrame, queries: DataFrame) -> DataFram
         keyed.join(survivors, "query_id", "left_semi").select("query_id", "side", "row_idx", "at", "cells")
     )
     nothing = F.expr("cast(array() as array<struct<gold:int,pred:int>>)")
-    states = rows.groupBy("query_id").agg(F.max(F.size("cells")).alias("width")).withColumn("mapping", nothing)
+    first = rows.groupBy("query_id").agg(F.max(F.size("cells")).alias("width"))
+    fitting = first.filter(F.col("width") == 0).select("query_id")
+    first = first.filter(F.col("width") > 0).withColumns({"turn": F.lit(1), "mapping": nothing})
+    states = _extended(rows.withColumns({"turn": F.lit(1), "mapping": nothing}), first)
     is_complete = F.size("mapping") == F.col("width")
     longest = Window.partitionBy("query_id").orderBy(F.desc(F.size("mapping")), "mapping")
-    fitting = rows.select("query_id").limit(0)
     while True:
         states = materialise(states)
-        complete, partial = states.filter(is_complete), states.filter(~is_complete)
         left = states.agg(F.bool_or(is_complete).alias("complete"), F.bool_or(~is_complete).alias("partial")).first()
+        partial = states.filter(~is_complete)
         if left["complete"]:
-            found = materialise(_fitting(rows, complete))
+            found = _fitting(rows, states.filter(is_complete))
+            if left["partial"]:
+                found = materialise(found)
+                partial = partial.join(found, "query_id", "left_anti")
             fitting = fitting.union(found)
-            partial = partial.join(found, "query_id", "left_anti")
         if not left["partial"]:
             break
         placed = partial.withColumn("turn", F.row_number().over(longest))
         now = placed.filter(F.col("turn") <= MAPPINGS_AT_ONCE)
         later = placed.filter(F.col("turn") > MAPPINGS_AT_ONCE).drop("turn")
-        states = _extended(rows, now).unionByName(later)
+        states = _extended(rows.join(now, "query_id"), now).unionByName(later)
     seen = results.select("query_id").distinct().withColumn("has_rows", F.lit(True))
     return (
         queries.join(fitting.withColumn("fits", F.lit(True)), "query_id", "left")

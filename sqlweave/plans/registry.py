@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
-FAMILIES = ["denotation", "sqltext", "catalog", "retrieval", "scoring", "datasets", "correction", "sqlsubset"]
+FAMILIES = ["denotation", "sqltext", "catalog", "retrieval", "scoring", "datasets", "correction", "sqlsubset", "roundtrips"]
 
 
 def all_queries() -> dict[str, tuple[Builder, str | None]]:

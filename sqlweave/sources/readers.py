@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sqlweave.operators.ranking import running
@@ -41,9 +41,12 @@ def _indexed_names(names: Column) -> Column:
     return F.transform(names, lambda n: F.struct(n[0].cast("int").alias("table_idx"), n[1].alias("name")))
 
 
-def read_catalogs(spark: SparkSession, path: str) -> DataFrame:
-    """JSON array of catalogs. Mixed single and composite keys stay texts like '3' or '[3,4]'."""
-    raw = spark.read.schema(CATALOG_DDL).option("multiLine", True).json(path)
+def read_catalogs(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """JSON array (or JSON lines) of catalogs. Mixed single and composite keys stay texts like '3' or '[3,4]'.
+
+    An array is one task whatever its size; files of JSON lines are split.
+    """
+    raw = spark.read.schema(CATALOG_DDL).option("multiLine", not lines).json(path)
     return raw.withColumns(
         {c: _indexed_names(F.col(c)) for c in ("column_names_original", "column_names")}
     )
@@ -121,6 +124,31 @@ def sessions(lines: DataFrame, keys: list[str] | None = None) -> DataFrame:
     )
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines of text files with their number in the file from 0: (file, line_no, line).
+
+    A large file is many splits. Only line counts per split are summed along the file; a
+    split's rows follow each other in one task, so their ids there count from its first.
+    """
+    read = spark.read.text(path).select(
+        F.col("value").alias("line"),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("id"),
+    )
+    splits = read.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select(
+        "file", "block", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift")
+    )
+    return read.join(starts, ["file", "block"]).select("file", (F.col("id") + F.col("shift")).alias("line_no"), "line")
+
+
+def read_sessions(spark: SparkSession, path: str) -> DataFrame:
+    """Session files: tab-separated turns, a blank line after each session; numbers are per file."""
+    return sessions(numbered_lines(spark, path), ["file"])
+
+
 def session_count_gap(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """Session counts of both files; they have to be equal before turns are scored."""
 
@@ -143,10 +171,10 @@ def introspect(spark: SparkSession, tables: dict[str, DataFrame], db_id: str) ->
     return spark.createDataFrame(rows, "db_id string, table_name string, col_idx int, column_name string, type string")
 
 
-def read_schema_json(spark: SparkSession, path: str) -> DataFrame:
-    """Per-database JSON listing tables with their columns, names lower-cased."""
+def read_schema_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Per-database JSON array (or JSON lines) of tables with their columns, names lower-cased."""
     ddl = "table string, col_data array<struct<column_name:string>>"
-    raw = spark.read.schema(ddl).option("multiLine", True).json(path)
+    raw = spark.read.schema(ddl).option("multiLine", not lines).json(path)
     return raw.select(F.lower("table").alias("table_name"), F.explode("col_data").alias("c")).select(
         "table_name", F.lower("c.column_name").alias("column_name")
     )

@@ -181,6 +181,27 @@ def test_other_sources(spark, tmp_path):
     assert readers and writers.read_vectors(spark, str(tmp_path / "v")).filter("db_id = 1").count() == 5
 
 
+def test_lines_of_a_file_read_in_many_splits_keep_their_numbers(spark, tmp_path):
+    lines = [("" if i % 7 == 6 else f"turn {i}\tdb") for i in range(5000)]
+    for name, part in (("a.sql", lines), ("b.sql", lines[:100])):
+        (tmp_path / name).write_text("\n".join(part) + "\n")
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "4096")
+    try:
+        numbered = readers.numbered_lines(spark, str(tmp_path))
+        rows = numbered.collect()
+        told = readers.read_sessions(spark, str(tmp_path)).collect()
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 8
+    finally:
+        spark.conf.set(key, before)
+    for name, part in (("a.sql", lines), ("b.sql", lines[:100])):
+        got = sorted((r["line_no"], r["line"]) for r in rows if r["file"].endswith(name))
+        assert got == list(enumerate(part))
+        turns = {(r["session_id"], r["turn"], r["sql"]) for r in told if r["file"].endswith(name)}
+        assert turns == {(i // 7, i % 7 + 1, f"turn {i}") for i, line in enumerate(part) if line}
+
+
 def test_sample_values(spark):
     df = spark.createDataFrame([(f"v{i:03d}", "") for i in range(200)] + [(None, "x")], "a string, b string").repartition(7)
     rows = C.sample_values(df, "t", ["a", "b"]).collect()
