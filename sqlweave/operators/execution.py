@@ -16,7 +16,7 @@ from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 from functools import cache
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from sqlweave.functions.cells import row_cells
@@ -194,3 +194,41 @@ def grade_pairs(pairs: DataFrame, ordered_family: bool = False, with_gold: bool
     )
     outcomes = pairs.select("query_id").join(ran, "query_id").join(equal, "query_id")
     return D.status_report(outcomes, ordered_family)
+
+
+def timed_pairs(pairs: DataFrame, repeats: int = 10, ordered_family: bool = False, **options) -> DataFrame:
+    """Time ratio of every (query_id, db_id, sql_gt, sql_pred) from repeated runs: (query_id, time_ratio, runs_kept).
+
+    The gold and the predicted statement run in turns, one at a time unless `workers` says
+    otherwise, so both meet the same load. Results of the first run decide whether they are
+    equal. A pair of which no run of both sides came through has ratio 0 and no runs.
+    """
+    options = {"workers": 1} | options
+    sides = [
+        F.struct(F.lit(run).alias("run"), F.lit(side).alias("side"), F.col(text).alias("sql"))
+        for run in range(repeats)
+        for side, text in ((D.GOLD, "sql_gt"), (D.PRED, "sql_pred"))
+    ]
+    runs = pairs.select("query_id", "db_id", F.inline(F.array(*sides)))
+    # A run is a statement of its own: its number goes into the id.
+    numbered = runs.select((F.col("query_id") * repeats + F.col("run")).alias("query_id"), "side", "db_id", "sql")
+    results, status = run_statements(numbered, **options)
+    query, run = F.floor(F.col("query_id") / repeats).cast("long"), F.pmod("query_id", F.lit(repeats))
+
+    def seconds(side: str) -> Column:
+        return F.max(F.when((F.col("side") == side) & F.col("ok"), F.col("seconds")))
+
+    taken = (
+        status.groupBy(query.alias("of"), run.alias("run"))
+        .agg(seconds(D.GOLD).alias("t_gold"), seconds(D.PRED).alias("t_pred"))
+        .dropna()
+        .withColumnRenamed("of", "query_id")
+    )
+    first = results.withColumn("run", run).filter(F.col("run") == 0).withColumn("query_id", query).drop("run")
+    queries = pairs.select("query_id", D.order_matters(F.col("sql_gt")).alias("ordered"))
+    if ordered_family:
+        equal = D.column_permutation_equal(first, queries).select("query_id", F.col("colperm_eq").alias("equal"))
+    else:
+        equal = D.set_equal(first, queries).select("query_id", F.col("set_eq").alias("equal"))
+    ratios = D.efficiency_ratio(taken.join(equal, "query_id"))
+    return pairs.select("query_id").join(ratios, "query_id", "left").fillna({"time_ratio": 0.0, "runs_kept": 0})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,6 +123,14 @@ def baseline_loss(pairs: DataFrame, batch: str, beta: float = BETA) -> DataFrame
     return pairs.join(means, batch).withColumn("loss", loss)
 
 
+def _leading(cuts: Column, holds: Callable[[Column], Column]) -> Column:
+    """How many of fewer than PARTS ascending cuts fulfil a condition that ends somewhere, by halving."""
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range((PARTS - 1).bit_length()))])
+    return F.aggregate(
+        steps, F.lit(0), lambda n, step: n + F.when(holds(F.get(cuts, n + step - 1)), step).otherwise(0)
+    )
+
+
 def sorted_pair_loss(
     pairs: DataFrame, batch: str, paired: bool = True, beta: float = BETA, smoothing: float = 0.0
 ) -> DataFrame:
@@ -139,8 +149,8 @@ def sorted_pair_loss(
         valued = pairs.select(batch, "pair_id", value.alias(name))
         percentiles = [i / PARTS for i in range(1, PARTS)]
         cuts = valued.groupBy(batch).agg(F.percentile_approx(name, percentiles).alias("__cuts"))
-        below = F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col(name))), F.lit(0))
-        upto = F.coalesce(F.size(F.filter("__cuts", lambda c: c <= F.col(name))), F.lit(0))
+        below = _leading(F.col("__cuts"), lambda c: c < F.col(name))
+        upto = _leading(F.col("__cuts"), lambda c: c <= F.col(name))
         # Between two cuts both counts are equal; where they differ all values are the same.
         tied = F.when(below < upto, F.pmod(F.xxhash64("pair_id"), F.lit(TIED_PARTS))).otherwise(0)
         cut = valued.join(cuts, batch).withColumn("__part", F.struct((below + upto).alias("at"), tied.alias("tied"))).drop("__cuts")

@@ -88,11 +88,14 @@ PAIRS = [
 ]
 
 
-def _graded(spark: SparkSession, sf: str, ordered_family: bool) -> DataFrame:
+def _pairs(spark: SparkSession, sf: str) -> DataFrame:
     _views(spark, sf)
     rows = [(i, None, gold, pred) for i, (gold, pred) in enumerate(PAIRS)]
-    pairs = spark.createDataFrame(rows, "query_id bigint, db_id string, sql_gt string, sql_pred string")
-    graded = execution.grade_pairs(pairs, ordered_family)
+    return spark.createDataFrame(rows, "query_id bigint, db_id string, sql_gt string, sql_pred string")
+
+
+def _graded(spark: SparkSession, sf: str, ordered_family: bool) -> DataFrame:
+    graded = execution.grade_pairs(_pairs(spark, sf), ordered_family)
     message = F.when(F.col("error"), "failed").otherwise(F.col("error_msg"))
     return graded.select("query_id", "res", "error", "timeout", message.alias("error_msg"))
 
@@ -105,6 +108,12 @@ def execute_pairs_ordered(spark, sf):
     return _graded(spark, sf, ordered_family=True)
 
 
+def timed_pairs(spark, sf):
+    """Both statements of every pair run in turns, twice each; seconds differ from run to run, so only their use is told."""
+    timed = execution.timed_pairs(_pairs(spark, sf), repeats=2)
+    return timed.select("query_id", (F.col("time_ratio") > 0).alias("timed"), "runs_kept")
+
+
 def _pairs_sql(ordered_family: bool) -> str:
     parts = []
     for i, (gold, pred) in enumerate(PAIRS):
@@ -209,6 +218,10 @@ QUERIES = {name: (_sql(text), text.rstrip().rstrip(";")) for name, text in CONST
     "sql_like": (_sql(_LIKE.format("ILIKE", "ILIKE")), _LIKE.format("ilike", "ilike")),
     "execute_pairs": (execute_pairs, _pairs_sql(False)),
     "execute_pairs_ordered": (execute_pairs_ordered, _pairs_sql(True)),
+    "timed_pairs": (
+        timed_pairs,
+        f"select query_id, res = 1 timed, case when error then 0 else 2 end::bigint runs_kept from ({_pairs_sql(False)})",
+    ),
     "candidate_run": (candidate_run, _candidates_sql(["true"])),
     "suite_run": (suite_run, _candidates_sql([f"o_custkey % {SUITE} = {n}" for n in range(SUITE)])),
     "session_files": (

@@ -5,7 +5,7 @@ from itertools import product
 
 import pytest
 
-from sqlweave.operators import candidates, slots
+from sqlweave.operators import candidates, execution, slots
 
 QUERIES = "query_id bigint, sql_gt string, sql_pred string"
 RANGES = "query_id bigint, first decimal(38,0), number int"
@@ -84,3 +84,16 @@ def test_suites_need_every_database(spark):
     only = {r["query_id"]: r["res"] for r in candidates.first_passing(queries, suites.filter("db_id = 'x'"), session_for=sessions.__getitem__).collect()}
     assert only == {1: 1, 2: 0, 3: 0}
     assert candidates.first_passing(queries.limit(0), suites, session_for=sessions.__getitem__).count() == 0
+
+
+def test_time_ratios_come_from_repeated_runs(spark):
+    spark.range(5).createOrReplaceTempView("timed_five")
+    rows = [
+        (7, None, "select id from timed_five", "select id from timed_five where id >= 0"),
+        (8, None, "select id from timed_five", "select id from timed_five where id > 0"),
+        (9, None, "select id from timed_five", "select nothing from timed_five"),
+    ]
+    pairs = spark.createDataFrame(rows, "query_id bigint, db_id string, sql_gt string, sql_pred string")
+    timed = {r["query_id"]: (r["time_ratio"], r["runs_kept"]) for r in execution.timed_pairs(pairs, repeats=3).collect()}
+    assert timed[7][0] > 0 and timed[7][1] == 3
+    assert timed[8] == (0.0, 3) and timed[9] == (0.0, 0)
