@@ -170,7 +170,10 @@ def training_document(table: Column, column: Column, description: Column, values
 
 
 def restore_casing(names: DataFrame, columns: DataFrame) -> DataFrame:
-    """Give (db_id, table_name, column_name) their catalog spelling; unknown names stay."""
+    """Give (db_id, table_name, column_name) their catalog spelling; unknown names stay.
+
+    A catalog's names are far larger in memory than in their files, so they are never broadcast.
+    """
     spelled = columns.select(
         "db_id",
         F.lower("table_name").alias("__t"),
@@ -181,8 +184,8 @@ def restore_casing(names: DataFrame, columns: DataFrame) -> DataFrame:
     tables = spelled.select("db_id", "__t", F.col("__table").alias("__only")).distinct()
     return (
         names.withColumns({"__t": F.lower("table_name"), "__c": F.lower("column_name")})
-        .join(tables, ["db_id", "__t"], "left")
-        .join(spelled.drop("__table"), ["db_id", "__t", "__c"], "left")
+        .join(tables.hint("merge"), ["db_id", "__t"], "left")
+        .join(spelled.drop("__table").hint("merge"), ["db_id", "__t", "__c"], "left")
         .withColumn("table_name", F.coalesce("__only", "table_name"))
         .withColumn("column_name", F.coalesce("__column", "column_name"))
         .drop("__t", "__c", "__only", "__column")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sqlweave.functions.arrays import unnest
+from sqlweave.session import materialise
 
 # The instruction put before every question.
 INSTRUCTION = (
@@ -85,13 +86,16 @@ def _cell_winners(
     """
     asked_n = questions.groupBy(group).agg(F.count(F.lit(1)).alias("q"))
     held_n = documents.groupBy(group).agg(F.count(F.lit(1)).alias("d"))
-    grid = asked_n.join(held_n, group).select(
-        group,
-        F.ceil(F.col("q") / CELL_ROWS).alias("q_cells"),
-        F.ceil(F.col("d") / CELL_ROWS).alias("d_cells"),
+    # Written out, the grid is seen as the small table it is. Unwritten, its estimate is a product, and
+    # the side with the vectors, small in its files and large in memory, was broadcast instead.
+    grid = materialise(
+        asked_n.join(held_n.hint("merge"), group).withColumns(
+            {"q_cells": F.ceil(F.col("q") / CELL_ROWS), "d_cells": F.ceil(F.col("d") / CELL_ROWS)}
+        )
     )
     # Small groups share bins of about one cell's rows on both sides, as many as the rows ask for.
-    rows = asked_n.join(held_n, group).agg(F.sum(F.least("q", F.lit(CELL_ROWS))), F.sum(F.least("d", F.lit(CELL_ROWS)))).first()
+    rows = grid.agg(F.sum(F.least("q", F.lit(CELL_ROWS))), F.sum(F.least("d", F.lit(CELL_ROWS)))).first()
+    grid = grid.drop("q", "d")
     bins = max(1, *[-(-(n or 0) // CELL_ROWS) for n in rows])
     single = (F.col("q_cells") == 1) & (F.col("d_cells") == 1)
     home = F.when(single, F.pmod(F.xxhash64(group), F.lit(bins))).otherwise(F.xxhash64(group))

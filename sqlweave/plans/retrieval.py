@@ -82,7 +82,7 @@ def embed_text(spark, sf):
 def retrieve_schema(spark, sf):
     """Whole retrieval: column documents and questions embedded, ten nearest columns of the
     question's database, grouped by table in catalog spelling."""
-    columns = catalog(spark, sf)
+    columns = materialise(catalog(spark, sf))
     values = C.clean_value_description(F.col("value_description"))
     documents = columns.select(
         "db_id", "doc_id",
@@ -98,7 +98,7 @@ def retrieve_schema(spark, sf):
     lowered = columns.select(
         "doc_id", "db_id", F.lower("table_name").alias("table_name"), F.lower("column_name").alias("column_name")
     )
-    spelled = C.restore_casing(hits.join(lowered, "doc_id"), columns.select("db_id", "table_name", "column_name"))
+    spelled = C.restore_casing(hits.join(lowered.hint("merge"), "doc_id"), columns.select("db_id", "table_name", "column_name"))
     grouped = R.group_hits(spelled.select("question_id", "rank", "table_name", "column_name"))
     return grouped.select("question_id", "table_name", "table_rank", F.array_join("columns", ",").alias("columns"))
 
