@@ -43,21 +43,22 @@ def sample_negatives(
 ) -> DataFrame:
     """At most `limit` documents of the database that the row's question does not use.
 
-    Rows (question_id, db_id, doc_id = the positive) take consecutive places on their
-    database's seeded ring, as many extra as the question has positives, so enough are
-    left after those are struck out.
+    Rows (question_id, db_id, doc_id = the positive) walk their database's seeded ring, by as
+    many extra places as the question has positives, so enough are left after those are struck out.
     """
     used = links.groupBy("question_id").agg(F.count(F.lit(1)).alias("n_used"))
-    asked = rows.select("question_id", "db_id", F.col("doc_id").alias("positive")).join(used, "question_id")
+    keys = ["question_id", "db_id", "positive"]
+    # A row that comes several times takes each negative as often, and `limit` in all.
+    copies = rows.select("question_id", "db_id", F.col("doc_id").alias("positive")).groupBy(*keys).agg(F.count(F.lit(1)).alias("times"))
+    asked = copies.join(used, "question_id")
     taken = ring_sample(
-        asked, documents, "db_id", ["question_id", "positive"], ["doc_id"], F.lit(limit) + F.col("n_used"), seed
+        asked, documents, "db_id", ["question_id", "positive"], ["doc_id"], F.lit(limit) + F.col("n_used"), seed,
+        struck=links, keep=F.lit(limit),
     )
-    clean = taken.join(links, ["question_id", "doc_id"], "left_anti")
-    order = Window.partitionBy("question_id", "positive").orderBy("pick")
-    return (
-        clean.withColumn("neg_rank", F.row_number().over(order))
-        .filter(F.col("neg_rank") <= limit)
-        .select("question_id", "positive", F.col("doc_id").alias("negative"), "neg_rank")
+    before = (F.col("turn") - 1) * F.col("times")
+    ranks = F.sequence(before + 1, F.least(F.col("turn") * F.col("times"), F.lit(limit).cast("long")))
+    return taken.filter(before < limit).select(
+        "question_id", "positive", F.col("doc_id").alias("negative"), F.explode(F.transform(ranks, lambda n: n.cast("int"))).alias("neg_rank")
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sqlweave.functions.text import normalise_sql, strip_space
@@ -32,14 +32,11 @@ def augment_schemas(
     counts = needed.groupBy("question_id", "db_id").agg(F.count(F.lit(1)).alias("n_needed"))
     asked = counts.withColumn("variant", variants)
     wanted = F.when(F.col("n_needed") < top_k, F.lit(top_k)).otherwise(0)
-    picked = ring_sample(asked, columns, "db_id", ["question_id", "variant"], ["doc_id"], wanted, seed)
-    others = picked.join(needed.select("question_id", "doc_id"), ["question_id", "doc_id"], "left_anti")
-    order = F.row_number().over(Window.partitionBy("question_id", "variant").orderBy("pick"))
-    distractors = (
-        others.withColumn("place", order)
-        .filter(F.col("place") <= F.lit(top_k) - F.col("n_needed"))
-        .select("question_id", "db_id", "doc_id", "variant", F.lit(False).alias("is_needed"))
+    picked = ring_sample(
+        asked, columns, "db_id", ["question_id", "variant"], ["doc_id"], wanted, seed,
+        struck=needed, keep=F.lit(top_k) - F.col("n_needed"),
     )
+    distractors = picked.select("question_id", "db_id", "doc_id", "variant", F.lit(False).alias("is_needed"))
     return kept.union(distractors)
 
 

@@ -11,10 +11,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sqlweave.functions.seeded import digest, digest_bucket, digest_int
+from sqlweave.session import materialise
 
 # Rows of one key that share a bucket when the order is a dense integer.
 BUCKET_WIDTH = 65536
 
+# Members of a ring that are looked up together.
+RING_PAGE = 1024
+
 # Primes: one that does not divide a ring's size leads over all its places.
 STRIDES = [p for p in range(10_007, 11_000, 2) if all(p % d for d in range(3, 105, 2))][:64]
 
@@ -119,6 +123,8 @@ def ring_sample(
     member_keys: list[str],
     size: int | Column,
     seed: str,
+    struck: DataFrame | None = None,
+    keep: Column | None = None,
 ) -> DataFrame:
     """`size` distinct members of its group for every request, without pairing all with all.
 
@@ -127,23 +133,60 @@ def ring_sample(
     so it meets `size` different members (a number or a column of `requests`) and the same
     members do not always come together. The work is requests x size whatever the group
     holds. Every member is equally likely to be taken. Groups smaller than `size` are
-    taken whole. `pick` numbers a request's members from 1.
+    taken whole. `pick` numbers a request's members from 1, `turn` those of them that it keeps.
+
+    `struck(request_keys[0], *member_keys)` are members a request may not take; of the others its
+    first `keep` stay, a column of `requests`. Both are settled by places, before members are looked up.
+    Rings are looked up in pages of RING_PAGE members, so a request is one row per page it meets.
     """
     ring = seeded_position(members.select(group, *member_keys), [group], seed, member_keys, "__place", "__size")
-    sizes = members.groupBy(group).agg(F.count(F.lit(1)).alias("__size"))
-    picks = F.sequence(F.lit(0), F.least(F.lit(size).cast("long"), F.col("__size")) - 1)
-    picks = F.when(F.lit(size) > 0, picks).otherwise(F.array().cast("array<bigint>"))
-    wanted = (
-        requests.join(sizes, group)
+    ring = materialise(ring.drop("__size"))
+    sizes = ring.groupBy(group).agg(F.count(F.lit(1)).alias("__size"))
+    page = lambda place: F.floor((place - 1) / F.lit(RING_PAGE)).cast("long")
+    member = F.struct("__place", *member_keys)
+    pages = (
+        ring.groupBy(group, page(F.col("__place")).alias("__page"))
+        .agg(F.array_sort(F.collect_list(member)).alias("__members"))
+    )
+    walking = requests
+    if struck is not None:
+        owner = request_keys[0]
+        met = requests.select(owner, group).distinct().join(struck.select(owner, *member_keys).distinct().hint("merge"), owner)
+        places = met.join(ring.hint("merge"), [group, *member_keys]).groupBy(owner, group).agg(F.collect_set("__place").alias("__struck"))
+        walking = requests.join(places.hint("merge"), [owner, group], "left").withColumn("__struck", F.coalesce("__struck", F.array().cast("array<bigint>")))
+    walking = (
+        walking.withColumn("__count", F.lit(size).cast("long"))
+        .join(sizes, group)
+        .withColumn("__count", F.least("__count", "__size"))
         .withColumn("__digest", digest(seed, *[F.col(k) for k in request_keys]))
         .withColumn("__start", F.pmod(digest_int(F.col("__digest")), F.col("__size")))
         .withColumn("__stride", _stride(F.col("__digest"), F.col("__size")))
-        .withColumn("__pick", F.explode(picks))
-        .withColumn("__place", F.pmod(F.col("__start") + F.col("__pick") * F.col("__stride"), F.col("__size")) + 1)
-        .withColumn("pick", (F.col("__pick") + 1).cast("int"))
-        .drop("__digest", "__start", "__stride", "__pick", "__size")
+        .drop("__digest")
+        .filter(F.col("__count") > 0)
+    )
+    picks = F.transform(
+        F.sequence(F.lit(0).cast("long"), F.col("__count") - 1),
+        lambda p: F.struct(
+            (p + 1).cast("int").alias("pick"), (F.pmod(F.col("__start") + p * F.col("__stride"), F.col("__size")) + 1).alias("place")
+        ),
+    )
+    if struck is not None:
+        picks = F.filter(picks, lambda p: ~F.array_contains("__struck", p["place"]))
+    if keep is not None:
+        picks = F.slice(picks, 1, F.greatest(keep, F.lit(0)).cast("int"))
+    picks = F.transform(picks, lambda p, i: F.struct(p["pick"].alias("pick"), (i + 1).cast("int").alias("turn"), p["place"].alias("place")))
+    several = F.array_distinct(F.transform(picks, lambda p: page(p["place"])))
+    first_page = F.array(F.lit(0).cast("long"))
+    asked = walking.withColumn("__page", F.explode(F.when(F.col("__size") <= RING_PAGE, first_page).otherwise(several)))
+    here = F.filter(picks, lambda p: page(p["place"]) == F.col("__page"))
+    taken = F.transform(
+        here,
+        lambda p: F.struct(
+            p["pick"].alias("pick"), p["turn"].alias("turn"), F.get("__members", F.pmod(p["place"] - 1, F.lit(RING_PAGE)).cast("int")).alias("member")
+        ),
     )
-    return wanted.join(ring.drop("__size"), [group, "__place"]).drop("__place")
+    found = asked.join(pages.hint("merge"), [group, "__page"]).select(*requests.columns, F.explode(taken).alias("__taken"))
+    return found.select(*requests.columns, "__taken.pick", "__taken.turn", *[f"__taken.member.{k}" for k in member_keys])
 
 
 def gather_text(df: DataFrame, keys: list[str], pos: str, text: str, separator: str = "\n") -> DataFrame:
