@@ -16,13 +16,13 @@ from concurrent.futures import FIRST_COMPLETED, Future, ThreadPoolExecutor, wait
 from functools import cache
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sqlweave.functions.cells import row_cells
 from sqlweave.functions.text import FIXED_YEAR
 from sqlweave.operators import denotation as D
-from sqlweave.session import scratch_path
+from sqlweave.session import materialise, scratch_path
 
 STATUS_DDL = "query_id bigint, side string, ok boolean, timed_out boolean, exception string, seconds double"
 RESULT_DDL = "query_id bigint, side string, row_idx bigint, cells array<string>"
@@ -166,7 +166,22 @@ def run_statements(
         return spark.createDataFrame([], RESULT_DDL), status
     results = spark.read.schema(RESULT_DDL).option("recursiveFileLookup", True).parquet(f"{root}/results")
     kept = results.join(status.filter("ok").select("query_id", "side"), ["query_id", "side"], "left_semi")
-    return D.dense_rows(kept), status
+    return _numbered(kept), status
+
+
+def _numbered(results: DataFrame) -> DataFrame:
+    """Row ids of written results as 0-based positions.
+
+    An id is a partition's number and a count from 0 inside it, and all rows written are here. So
+    only partitions are counted, and no row is sorted or shuffled.
+    """
+    keys = ["query_id", "side"]
+    sizes = results.groupBy(*keys, F.shiftright("row_idx", 33).alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*keys, "__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
+    placed = results.withColumn("__part", F.shiftright("row_idx", 33)).join(materialise(offsets), [*keys, "__part"])
+    position = F.col("__offset") + F.col("row_idx").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn("row_idx", position).select(*results.columns)
 
 
 def grade_pairs(pairs: DataFrame, ordered_family: bool = False, with_gold: bool = True, **options) -> DataFrame:
