@@ -17,6 +17,8 @@ from sqlweave.session import materialise
 
 # How many values of a column are looked at, and how many are kept.
 SAMPLE_POOL = 10
+# Rows whose values are compared at once.
+SAMPLE_ROWS = 512
 SAMPLE_SIZE = 2
 
 
@@ -86,13 +88,17 @@ def sample_values(table: DataFrame, table_name: str, columns: list[str], seed: s
 
     def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[str, pa.Array] = {}
-        for batch in batches:
-            for name in columns:
-                values = pc.unique(pc.drop_null(batch.column(name)))
-                if name in kept:
-                    values = pc.unique(pa.concat_arrays([kept[name], values]))
-                order = pc.array_sort_indices(values)[:SAMPLE_POOL]
-                kept[name] = values.take(order)
+        for whole in batches:
+            # Pieces, because every step below copies the texts it looks at.
+            for start in range(0, whole.num_rows, SAMPLE_ROWS):
+                batch = whole.slice(start, SAMPLE_ROWS)
+                for name in columns:
+                    values = pc.unique(pc.drop_null(batch.column(name)))
+                    if name in kept:
+                        values = pc.unique(pa.concat_arrays([kept[name], values]))
+                    order = pc.array_sort_indices(values)[:SAMPLE_POOL]
+                    kept[name] = values.take(order)
+            pa.default_memory_pool().release_unused()
         names = [n for n, values in kept.items() for _ in values]
         flat = [v.as_py() for values in kept.values() for v in values]
         yield pa.RecordBatch.from_arrays(
