@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
+# Rows of a task whose row-wise work is costly.
+SPREAD_ROWS = 50_000
+
 
 def build_session(app: str = "sqlweave", master: str | None = None, **conf: str) -> SparkSession:
     """Session with the settings the operators rely on; `conf` overrides any of them."""
@@ -32,13 +35,14 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(table: DataFrame) -> DataFrame:
-    """Hand a freshly read table to all cores when its files make fewer partitions than that.
+    """Hand a freshly read table to all cores in shares of at most about SPREAD_ROWS rows.
 
-    For row-wise work that costs far more than reading. A table of many splits is left
-    alone, so at scale nothing is shuffled.
+    For row-wise work that costs far more than reading. The number of splits does not tell how
+    rows are dealt: a row group is read by one task however many splits its file makes, so a file
+    of a few large row groups would leave most tasks without a row.
     """
     cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+    return table.repartition(max(cores, -(-table.count() // SPREAD_ROWS)))
 
 
 def scratch_root(spark: SparkSession) -> str:

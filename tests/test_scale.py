@@ -6,8 +6,9 @@ import io
 from pyspark.sql import functions as F
 
 from sqlweave.operators import catalog as C
+from sqlweave.operators import execution, ranking
 from sqlweave.operators import retrieval as R
-from sqlweave.session import materialise
+from sqlweave.session import materialise, spread
 
 
 def plan(df) -> str:
@@ -19,10 +20,46 @@ def plan(df) -> str:
 
 def test_catalogs_and_vectors_are_not_broadcast(spark):
     rows = [(i, f"db_{i % 3}", [float(i), 1.0], "T", f"C{i}") for i in range(30)]
-    table = materialise(spark.createDataFrame(rows, "id bigint, db_id string, vector array<double>, table_name string, column_name string"))
+    written = spark.createDataFrame(rows, "id bigint, db_id string, vector array<double>, table_name string, column_name string")
+    table, other = materialise(written), materialise(written)
     asked = table.select("db_id", F.col("id").alias("question_id"), "vector")
-    held = table.select("db_id", F.col("id").alias("doc_id"), "vector")
+    held = other.select("db_id", F.col("id").alias("doc_id"), "vector")
     # The grid of cells stands on the right; the left side holds the vectors.
-    assert "BuildLeft" not in plan(R.top_k_cosine(asked, held.distinct(), 5))
-    names = table.select("db_id", "table_name", "column_name")
-    assert "Broadcast" not in plan(C.restore_casing(names, names))
+    assert "BuildLeft" not in plan(R.top_k_cosine(asked, held, 5))
+    keys = ["db_id", "table_name", "column_name"]
+    assert "Broadcast" not in plan(C.restore_casing(table.select(*keys), other.select(*keys)))
+
+
+def test_rings_of_several_pages_leave_out_what_is_struck(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "RING_PAGE", 3)
+    members = spark.createDataFrame([("a", i) for i in range(20)] + [("b", i) for i in range(100, 102)], "g string, m bigint")
+    requests = spark.createDataFrame([(1, "a"), (2, "a"), (3, "b")], "q bigint, g string")
+    every = {}
+    for r in ranking.ring_sample(requests, members, "g", ["q"], ["m"], 20, "s").collect():
+        every.setdefault(r["q"], []).append((r["pick"], r["m"]))
+    assert {q: sorted(m for _, m in found) for q, found in every.items()} == {1: [*range(20)], 2: [*range(20)], 3: [100, 101]}
+    struck = spark.createDataFrame([(1, every[1][0][1]), (1, 7), (2, 3)], "q bigint, m bigint")
+    left = ranking.ring_sample(requests, members, "g", ["q"], ["m"], 20, "s", struck, F.lit(5)).collect()
+    gone = {1: {every[1][0][1], 7}, 2: {3}, 3: set()}
+    wanted = {(q, i, m) for q, found in every.items() for i, m in enumerate([m for _, m in sorted(found) if m not in gone[q]][:5], 1)}
+    assert {(r["q"], r["turn"], r["m"]) for r in left} == wanted
+
+
+def test_one_row_group_is_dealt_to_all_tasks(spark, tmp_path):
+    # Two files of one row group, of which Spark would make more splits than hold rows.
+    path = str(tmp_path / "rows.parquet")
+    spark.range(4000).selectExpr("id", "sha2(cast(id as string), 512) text").coalesce(1).write.parquet(path)
+    with_splits = spark.newSession()
+    with_splits.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    shares = spread(with_splits.read.parquet(path)).groupBy(F.spark_partition_id()).count().collect()
+    assert len(shares) == 4 and max(r["count"] for r in shares) < 1500
+
+
+def test_written_rows_are_numbered_without_sorting(spark):
+    part = 1 << 33
+    rows = [(1, "gold", 0, ["a"]), (1, "gold", 1, ["b"]), (1, "gold", 2 * part, ["c"]), (1, "pred", part, ["d"]), (1, "pred", part + 1, ["e"])]
+    numbered = execution._numbered(spark.createDataFrame(rows, "query_id bigint, side string, row_idx bigint, cells array<string>"))
+    assert {(r["side"], r["row_idx"], r["cells"][0]) for r in numbered.collect()} == {
+        ("gold", 0, "a"), ("gold", 1, "b"), ("gold", 2, "c"), ("pred", 0, "d"), ("pred", 1, "e")
+    }
+    assert "Window" not in plan(numbered)
