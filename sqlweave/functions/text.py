@@ -153,9 +153,11 @@ def outer_block(sql: Column, digests: bool = False) -> Column:
         inner = named(text) if digests else F.regexp_replace(text, _SUBQUERY, " {q} ")
         return F.regexp_replace(inner, r"\((?! ?(?:select|with)\b)([^()]*)\)", "⟦$1⟧")
 
-    blank = blank_literals(sql)
-    rounds = F.sequence(F.lit(0), F.regexp_count(blank, F.lit(r"\(")))
-    return F.aggregate(rounds, blank, fold)
+    def folded(blank: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(0), F.regexp_count(blank, F.lit(r"\("))), blank, fold)
+
+    # Blanked once for both of its uses.
+    return F.get(F.transform(F.array(blank_literals(sql)), folded), F.lit(0))
 
 
 def first_block(outer: Column) -> Column:
@@ -236,7 +238,12 @@ KEYWORDS = (
 
 def keyword_set(c: Column) -> Column:
     """Keywords of a query, from its clauses."""
+    # The conditions are put together once for all tests on them.
     conditions = F.concat(F.lit(" "), _all_conditions(c), F.lit(" "))
+    return F.get(F.transform(F.array(conditions), lambda text: _keywords(c, text)), F.lit(0))
+
+
+def _keywords(c: Column, conditions: Column) -> Column:
     ordered = c["order_by"] != ""
     descending = F.regexp_like(c["order_by"], F.lit(r"\bdesc\b"))
     present = {

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sqlweave.functions import text as T
 from sqlweave.functions.arrays import unnest
 from sqlweave.functions.scopes import with_resolved_names
+from sqlweave.session import spread
 
 # Components that are compared as bags of units.
 UNIT_LISTS = ("select", "select(no AGG)", "where", "where(no OP)", "group(no Having)", "keywords")
@@ -167,17 +168,18 @@ def with_known_names(queries: DataFrame, columns: DataFrame, representatives: Da
     texts' words; words meet the catalog in equi-joins by database and name.
     """
     text = F.lower(F.concat_ws(" ", "sql_gt", "sql_pred"))
-    words = unnest(queries, F.array_distinct(F.regexp_extract_all(text, F.lit(r"\w+"), 0)), "word", "query_id", "db_id")
+    worded = queries.select("query_id", "db_id", F.array_distinct(F.regexp_extract_all(text, F.lit(r"\w+"), 0)).alias("words"))
+    worded = worded.select("query_id", "db_id", "words", F.explode_outer("words").alias("column")).filter("column is not null")
     known = columns.select("db_id", F.lower("table_name").alias("table"), F.lower("column_name").alias("column")).distinct()
-    found = words.withColumnRenamed("word", "column").join(known, ["db_id", "column"])
-    found = found.join(words.withColumnRenamed("word", "table"), ["query_id", "db_id", "table"], "left_semi")
+    # The words travel with the row, so whether the table is one of them needs no second join.
+    found = worded.join(known, ["db_id", "column"]).filter(F.array_contains("words", F.col("table"))).drop("words")
     if representatives is None:
         found = found.withColumn("representative", F.lit(None).cast("string"))
     else:
         first = representatives.groupBy("db_id", F.lower("unit").alias("unit")).agg(F.min(F.lower("representative")).alias("representative"))
         found = found.withColumn("unit", F.concat_ws(".", "table", "column")).join(first, ["db_id", "unit"], "left")
     lists = found.groupBy("query_id").agg(F.collect_list(F.struct("table", "column", "representative")).alias("names"))
-    return queries.join(lists, "query_id", "left")
+    return spread(queries.join(lists, "query_id", "left"), like=queries)
 
 
 def _shared(a: Column, b: Column) -> Column:
@@ -247,11 +249,7 @@ def compare_texts(
     for side, column in (("g", "sql_gt"), ("p", "sql_pred")):
         df = with_neutral_text(df, column, f"{side}_text", names)
         df = df.withColumn(f"{side}_outer", T.outer_block(F.col(f"{side}_text"), digests=True))
-        df = df.withColumn(f"{side}_rest", F.regexp_extract(f"{side}_outer", _SET_OPERATION, 1)).withColumns({
-            f"{side}_c": T.clauses(T.first_block(F.col(f"{side}_outer")), F.col(f"{side}_outer")),
-            f"{side}_rc": T.clauses(T.first_block(F.col(f"{side}_rest")), F.col(f"{side}_rest")),
-            f"{side}_last": F.regexp_extract(f"{side}_rest", _SET_OPERATION, 1),
-        })
+        df = df.withColumn(f"{side}_c", T.clauses(T.first_block(F.col(f"{side}_outer")), F.col(f"{side}_outer")))
     gold, pred = F.col("g_c"), F.col("p_c")
     # Unit lists are columns of their own: the counting below reads them many times.
     staged = {}
@@ -288,7 +286,11 @@ def compare_texts(
         )
     )
     set_g, set_p = gold["set_op"] != "", pred["set_op"] != ""
-    same_rest = (F.col("g_last") == F.col("p_last")) & _same_block(F.col("g_rc"), F.col("p_rc"))
+    # What follows a set operation is taken apart only in texts that both have one.
+    g_rest, p_rest = (F.regexp_extract(f"{side}_outer", _SET_OPERATION, 1) for side in "gp")
+    g_block, p_block = (T.clauses(T.first_block(rest), rest) for rest in (g_rest, p_rest))
+    same_last = F.regexp_extract(g_rest, _SET_OPERATION, 1) == F.regexp_extract(p_rest, _SET_OPERATION, 1)
+    same_rest = same_last & _same_block(g_block, p_block)
     same_set = set_g & (gold["set_op"] == pred["set_op"]) & same_rest
     lines.append(line("IUEN", set_g, set_p, same_set))
     return df.select(

@@ -34,15 +34,16 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(table: DataFrame) -> DataFrame:
+def spread(table: DataFrame, like: DataFrame | None = None) -> DataFrame:
     """Hand a freshly read table to all cores in shares of at most about SPREAD_ROWS rows.
 
     For row-wise work that costs far more than reading. The number of splits does not tell how
     rows are dealt: a row group is read by one task however many splits its file makes, so a file
-    of a few large row groups would leave most tasks without a row.
+    of a few large row groups would leave most tasks without a row. `like`, with
+    as many rows, is counted instead of a table that is costly to work out twice.
     """
     cores = table.sparkSession.sparkContext.defaultParallelism
-    return table.repartition(max(cores, -(-table.count() // SPREAD_ROWS)))
+    return table.repartition(max(cores, -(-(table if like is None else like).count() // SPREAD_ROWS)))
 
 
 def scratch_root(spark: SparkSession) -> str:

@@ -5,8 +5,9 @@ import io
 
 from pyspark.sql import functions as F
 
+from sqlweave import session
 from sqlweave.operators import catalog as C
-from sqlweave.operators import execution, ranking
+from sqlweave.operators import execution, ranking, scoring
 from sqlweave.operators import retrieval as R
 from sqlweave.session import materialise, spread
 
@@ -63,3 +64,18 @@ def test_written_rows_are_numbered_without_sorting(spark):
         ("gold", 0, "a"), ("gold", 1, "b"), ("gold", 2, "c"), ("pred", 0, "d"), ("pred", 1, "e")
     }
     assert "Window" not in plan(numbered)
+
+
+def test_known_names_deal_rows_and_list_words_once(spark, monkeypatch):
+    """Texts meet the catalog over one list of words, and come out in shares of rows for the costly comparison."""
+    monkeypatch.setattr(session, "SPREAD_ROWS", 10)
+    queries = spark.range(400).select(
+        F.col("id").alias("query_id"), F.lit("d").alias("db_id"), F.lit("SELECT a.k FROM a").alias("sql_gt"), F.lit("SELECT k FROM b").alias("sql_pred")
+    )
+    columns = spark.createDataFrame([("d", "A", "K"), ("d", "b", "k"), ("d", "c", "k"), ("e", "a", "z")], "db_id string, table_name string, column_name string")
+    named = scoring.with_known_names(queries, columns)
+    plan = named._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode") == 1
+    assert named.rdd.getNumPartitions() == 40
+    lists = {tuple(sorted((n["table"], n["column"]) for n in r["names"])) for r in named.collect()}
+    assert lists == {(("a", "k"), ("b", "k"))}
