@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sqlweave.llm.columns import carried
@@ -31,6 +33,8 @@ WIDE, WORDS, WORD_BITS, PARTS, PART_WORDS = 1024, 64, 256, 96, 3
 # of 64 differ, unrelated texts 32. Then all bits are, of which 0.15 and 0.5 differ (0.27 at similarity 0.5).
 SKETCH_BITS, SKETCH_DIFFERENT = 64, 20
 MAX_DIFFERENT = 0.25
+# Among texts that ask, a shingle of at most RARE_TEXTS of them is rare.
+RARE_TEXTS = 64
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -123,9 +127,8 @@ def shingle_hashes(text: str | None, words: int) -> np.ndarray:
     parts = (text or "").encode().lower().split()
     if not parts:
         return np.zeros(0, np.uint64)
-    digest, join = xxhash.xxh64_intdigest, b" ".join
     shingles = zip(*[parts[i:] for i in range(words)]) if len(parts) > words else [parts]
-    return np.unique(np.fromiter((digest(join(s), SEED) for s in shingles), np.uint64))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, map(b" ".join, shingles), repeat(SEED)), np.uint64))
 
 
 def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
@@ -135,20 +138,20 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
 
 
 _MIXERS = (np.random.default_rng(SEED).integers(0, 1 << 63, WIDE // 64, np.uint64) << np.uint64(1)) | np.uint64(1)
-_BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 
 
 def wide_sums(hashes: np.ndarray) -> np.ndarray:
     """SimHash sums of WIDE bits, set less unset, over a set of shingle hashes, each mixed anew for every 64 bits."""
-    counts, size = np.zeros((WIDE // 8, 256), np.int64), WIDE // 8
-    for start in range(0, len(hashes), 8192):
-        mixed = hashes[start : start + 8192, None] * _MIXERS[None, :]
+    counts = np.zeros(WIDE, np.int64)
+    # Slices of 255, whose counts fit one byte.
+    for start in range(0, len(hashes), 255):
+        mixed = hashes[start : start + 255, None] * _MIXERS[None, :]
         mixed ^= mixed >> np.uint64(32)
         mixed *= np.uint64(0xD6E8FEB86659FD93)
         mixed ^= mixed >> np.uint64(32)
-        places = mixed.view(np.uint8).reshape(-1, size) + 256 * np.arange(size)
-        counts += np.bincount(places.ravel(), minlength=256 * size).reshape(size, 256)
-    return 2 * (counts @ _BYTE_BITS).ravel() - len(hashes)
+        bits = np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little")
+        counts += np.add.reduce(bits, axis=0, dtype=np.uint8)
+    return 2 * counts - len(hashes)
 
 
 def _hadamard(size: int) -> np.ndarray:
@@ -170,11 +173,15 @@ def home_anchors(sums: np.ndarray) -> np.ndarray:
 
     The products with all code words are one Hadamard transform, here as two products with its square root.
     """
-    words = sums[:, _PLACES].astype(np.float32) * _SIGNS
-    rows = words.reshape(-1, _SIDE) @ _SQUARE
-    fit = (rows.reshape(-1, _SIDE, _SIDE).swapaxes(1, 2).reshape(-1, _SIDE) @ _SQUARE).reshape(len(sums), WORDS, WORD_BITS)
-    best = np.abs(fit).argmax(2)
-    return 2 * best + (np.take_along_axis(fit, best[..., None], 2)[..., 0] < 0)
+    found = [np.zeros((0, WORDS), np.int64)]
+    # A few rows at a time, which stay in the cache.
+    for start in range(0, len(sums), 8):
+        words = np.take(sums[start : start + 8].astype(np.float32), _PLACES, axis=1) * _SIGNS
+        rows = words.reshape(-1, _SIDE) @ _SQUARE
+        fit = (rows.reshape(-1, _SIDE, _SIDE).swapaxes(1, 2).reshape(-1, _SIDE) @ _SQUARE).reshape(-1, WORD_BITS)
+        best = np.abs(fit).argmax(1)
+        found.append((2 * best + (fit[np.arange(len(best)), best] < 0)).reshape(-1, WORDS))
+    return np.concatenate(found)
 
 
 def with_wide_fingerprints(documents: DataFrame, words: int) -> DataFrame:
@@ -208,21 +215,55 @@ def _different(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
+def _texts(asked: DataFrame, documents: DataFrame) -> DataFrame:
+    """(h, t): the text of every asked text hash."""
+    hashed = documents.select(_text_hash().alias("h"), F.col("text").cast("string").alias("t"))
+    return hashed.join(materialise(asked), "h", "left_semi").groupBy("h").agg(F.min("t").alias("t"))
+
+
+def _rarities(asking: DataFrame, documents: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """What shingles tell about the texts `asking` (fp, text_hash): sizes and rare shingles.
+
+    First (fp, n, common): how many distinct shingles a text has, and how many of them are in more than
+    RARE_TEXTS of the texts. Then (h, fp): its rarest shingles, no more than a similar text can lack and
+    one, less those that are not rare or in no other text. Similar texts share one of these rows, or
+    else no rare shingle at all.
+    """
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for fp, text in zip(batch.column("fp"), batch.column("t")):
+                found = shingle_hashes(text.as_py(), words)
+                own = pa.array(np.full(len(found), fp.as_py(), np.int64))
+                size = pa.array(np.full(len(found), len(found), np.int64))
+                yield pa.RecordBatch.from_arrays([own, size, pa.array(found.view(np.int64))], ["fp", "n", "h"])
+
+    texts = asking.join(_texts(asking.select(F.col("text_hash").alias("h")).distinct(), documents), F.col("text_hash") == F.col("h"))
+    shingles = materialise(texts.select("fp", "t").mapInArrow(cut, "fp long, n long, h long"))
+    rare = shingles.groupBy("h").agg(F.count(F.lit(1)).alias("texts")).filter(F.col("texts") <= RARE_TEXTS)
+    held = materialise(shingles.join(rare, "h"))
+    counts = held.groupBy("fp").agg(F.count(F.lit(1)).alias("n_rare"))
+    sizes = shingles.select("fp", "n").distinct().join(counts, "fp", "left").select("fp", "n", (F.col("n") - F.coalesce("n_rare", F.lit(0))).alias("common"))
+    place = F.row_number().over(Window.partitionBy("fp").orderBy("texts", "h"))
+    lacking = F.floor((1 - similarity) * F.col("n") + 1e-6) + 1
+    return sizes, held.withColumn("place", place).filter((F.col("place") <= lacking) & (F.col("texts") > 1)).select("h", "fp")
+
+
 def _confirmed(pairs: DataFrame, classes: DataFrame, documents: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs (u, v) of classes whose texts are similar enough."""
 
     @F.pandas_udf("boolean")
     def alike(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([similar(shingle_hashes(a, words), shingle_hashes(b, words), similarity) for a, b in zip(left, right)], dtype=bool)
+        # A text meets several others, and rows of one text mostly stand together.
+        hashes = lru_cache(128)(lambda text: shingle_hashes(text, words))
+        return pd.Series([similar(hashes(a), hashes(b), similarity) for a, b in zip(left, right)], dtype=bool)
 
     side = lambda n: classes.select(F.col("fp").alias(n), F.col("text_hash").alias(f"{n}_hash"), F.col("bits").alias(f"{n}_bits"))
     apart = F.aggregate(F.zip_with("u_bits", "v_bits", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, x: n + x)
     close = materialise(
         pairs.join(side("u"), "u").join(side("v"), "v").filter(apart <= int(MAX_DIFFERENT * WIDE)).select("u", "v", "u_hash", "v_hash")
     )
-    asked = materialise(close.select(F.explode(F.array("u_hash", "v_hash")).alias("h")).distinct())
-    hashed = documents.select(_text_hash().alias("h"), F.col("text").cast("string").alias("t"))
-    texts = materialise(hashed.join(asked, "h", "left_semi").groupBy("h").agg(F.min("t").alias("t")))
+    texts = materialise(_texts(close.select(F.explode(F.array("u_hash", "v_hash")).alias("h")).distinct(), documents))
     text = lambda n: texts.select(F.col("h").alias(f"{n}_hash"), F.col("t").alias(f"{n}_text"))
     return materialise(close.join(text("u"), "u_hash").join(text("v"), "v_hash").filter(alike("u_text", "v_text")).select("u", "v"))
 
@@ -232,8 +273,9 @@ def similar_roots(prints: DataFrame, documents: DataFrame, words: int, similarit
 
     Each part of a fingerprint is assigned to its home anchors; texts that share those of one part
     are compared there. At first each meets one text of its anchor only, its lead; where an anchor then
-    holds several roots, the texts of all roots but its commonest meet all texts of other roots. So a
-    group of copies of one text is not paired with itself, however large.
+    holds several roots, the texts of all roots but its commonest meet those texts of other roots whose
+    shingles leave it open whether they are similar (`_rarities`). So neither a group of copies of one
+    text is paired with itself, however large, nor a group of near copies with the like that are not linked.
     """
     classes = materialise(prints.groupBy("fp").agg(F.min("text_hash").alias("text_hash"), F.first("bits").alias("bits"), F.first("anchors").alias("anchors")))
     parts = F.array(*[F.xxhash64(F.lit(i), *[F.get("anchors", F.lit(w)) for w in part]) for i, part in enumerate(PART_PLACES)])
@@ -256,12 +298,31 @@ def similar_roots(prints: DataFrame, documents: DataFrame, words: int, similarit
     open_rows = materialise(rooted.join(mixed.select("anchor", "common"), "anchor"))
     left = open_rows.filter("root != common").select("anchor", F.col("fp").alias("u"), F.col("root").alias("u_root"), F.col("sketch").alias("u_sketch"))
     right = open_rows.select(
-        F.col("anchor").alias("at"), F.col("fp").alias("v"), F.col("root").alias("v_root"), F.col("sketch").alias("v_sketch"), (F.col("root") == F.col("common")).alias("v_common")
+        F.col("anchor").alias("at"), F.col("fp").alias("v"), F.col("root").alias("v_root"), F.col("sketch").alias("v_sketch"), (F.col("root") == F.col("common")).alias("in_common")
     )
+    near = (F.col("anchor") == F.col("at")) & (F.col("u_root") != F.col("v_root")) & (_different("u_sketch", "v_sketch") <= SKETCH_DIFFERENT)
+    # Most of these pairs are not similar, and in a group of near copies they are its square. So they are not
+    # listed: only the texts that are in one, then the pairs that share a rare shingle, then those in which
+    # both texts have enough common ones.
+    asking = left.join(right, near, "left_semi").select("u").unionByName(right.join(left, near, "left_semi").select(F.col("v").alias("u"))).distinct()
+    asking = materialise(asking.join(classes, F.col("u") == F.col("fp")).select("fp", "text_hash", sketch))
+    sizes, rare = (materialise(x) for x in _rarities(asking.select("fp", "text_hash"), documents, words, similarity))
+    known = asking.join(roots, "fp", "left").select("fp", "sketch", F.coalesce("root", "fp").alias("root"))
+    holders = materialise(rare.join(known, "fp"))
+    side = lambda n: holders.select("h", F.col("fp").alias(n), F.col("root").alias(f"{n}_root"), F.col("sketch").alias(f"{n}_sketch"))
+    apart = (F.col("u_root") != F.col("v_root")) & (F.col("u") < F.col("v")) & (_different("u_sketch", "v_sketch") <= SKETCH_DIFFERENT)
+    a, b = side("u"), side("v").withColumnRenamed("h", "v_h")
+    sharing = a.join(b, (F.col("h") == F.col("v_h")) & apart).select("u", "v").distinct()
     # Pairs of two uncommon roots meet twice and count once.
-    apart = (F.col("u_root") != F.col("v_root")) & (F.col("v_common") | (F.col("u") < F.col("v")))
-    rest = left.join(right, (F.col("anchor") == F.col("at")) & apart & (_different("u_sketch", "v_sketch") <= SKETCH_DIFFERENT))
-    rest = rest.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    once = F.col("in_common") | (F.col("u") < F.col("v"))
+    enough = sizes.filter(F.col("common") + 1e-6 >= similarity * F.col("n"))
+    count = lambda n: enough.select(F.col("fp").alias(n), F.col("n").alias(f"{n}_n"), F.col("common").alias(f"{n}_common"))
+    shared = similarity / (1 + similarity) * (F.col("u_n") + F.col("v_n"))
+    plain = left.join(count("u"), "u").join(
+        right.join(count("v"), "v"), near & once & (F.least("u_common", "v_common") + 1e-6 >= shared)
+    )
+    plain = plain.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    rest = sharing.unionByName(plain).distinct()
     more = _confirmed(materialise(rest.join(leads, ["u", "v"], "left_anti")), classes, documents, words, similarity)
     final = smallest_reachable(links.unionByName(more)).select(F.col("node").alias("fp"), "root")
     return classes.select("fp").join(final, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))

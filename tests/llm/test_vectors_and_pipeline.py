@@ -149,6 +149,40 @@ def test_near_groups_link_through_any_member(spark):
     assert sorted(r["doc_id"] for r in simhash.keep_first(without, 5, 0.8).collect()) == [0, 5, 8]
 
 
+@pytest.mark.parametrize("rare_texts", [1, 3, 64])
+def test_links_over_common_and_rare_shingles(spark, monkeypatch, rare_texts):
+    """Two groups of near copies whose only link is found after all have met their leads."""
+    monkeypatch.setattr(simhash, "RARE_TEXTS", rare_texts)
+    rng = np.random.default_rng(8)
+    draw = lambda n: [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+    base = draw(400)
+    bridge = base[:180] + draw(32) + base[212:]
+    other = bridge[:100] + draw(32) + bridge[132:]
+    texts = [x[i:] for x in (base, bridge, other) for i in range(6)]
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert [r["doc_id"] for r in simhash.keep_first(docs, 5, 0.8).collect()] == [0]
+    without = docs.filter("doc_id not between 6 and 11")
+    assert sorted(r["doc_id"] for r in simhash.keep_first(without, 5, 0.8).collect()) == [0, 12]
+
+
+def test_near_copies_that_are_not_linked_are_not_paired(spark, monkeypatch):
+    """Texts of one origin, each changed in four places: similarity to one another is near 0.6."""
+    rng = np.random.default_rng(4)
+    base = [f"w{x}" for x in rng.integers(0, 1 << 40, 150)]
+    texts = []
+    for i in range(150):
+        text = base[:]
+        for j, place in enumerate(rng.permutation(14)[:4]):
+            text[10 * place + 5] = f"x{i}x{j}"
+        texts.append(" ".join(text))
+    asked, confirmed = [], simhash._confirmed
+    monkeypatch.setattr(simhash, "_confirmed", lambda pairs, *rest: asked.append(pairs.count()) or confirmed(pairs, *rest))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert simhash.keep_first(docs, 5, 0.8).count() == 150
+    # First each text meets its leads, then those it may be similar to.
+    assert asked[0] > 0 and asked[1] <= 150
+
+
 CLASHES = (
     "kept_0 id hash w_id w_hash first text_hash fp root anchor key n_words_ found item_ids best told p __hash __key __p score_ content place gone stays "
     "h n rank size_ threshold times p_ d q v cell chunk x value label marked limit sketch bits"
