@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sqlweave.functions.arrays import unnest
 from sqlweave.functions.scopes import declared_tables, token_scopes
-from sqlweave.functions.text import collapse_space
+from sqlweave.functions.text import SPACE
 
 _CTE = r"\b(\w+) as ?\( ?(?:select|with|values)\b"
 _FROM = (
@@ -20,11 +20,13 @@ _BARE = r"(?<![\w.])([a-z_]\w*)(?![\w.(])"
 
 _QUOTED = r'[`"\[][^`"\[\]]*[`"\]]'
 _HELD = "quoted__"
+# A run of white space. Other characters mostly fail on one comparison, not on the whole class.
+_WIDE_SPACE = rf"(?![!-~]){SPACE}+"
 
 
 def _plain(sql: Column) -> Column:
     """Lower-cased one-line text without string literals."""
-    return collapse_space(F.regexp_replace(F.lower(sql), r"'(?:[^']|'')*'", "''"))
+    return F.regexp_replace(F.regexp_replace(F.lower(sql), r"'(?:[^']|'')*'", "''"), _WIDE_SPACE, " ")
 
 
 def _held(text: Column) -> Column:
@@ -35,15 +37,15 @@ def _held(text: Column) -> Column:
 
 def _name(word: Column) -> Column:
     """A name as it stands in the catalog: what a held word stands for, without its quotes."""
-    number = F.regexp_extract(word, rf"^{_HELD}(\d+)$", 1)
+    # Most words are no held ones, which a comparison tells without a search.
+    number = F.when(word.startswith(_HELD), F.regexp_extract(word, rf"^{_HELD}(\d+)$", 1)).otherwise("")
     quoted = F.regexp_replace(F.get("__quoted", F.when(number != "", number).cast("int")), r'["`\[\]]', "")
     return F.when(number != "", quoted).otherwise(word)
 
 
 def _parsed(queries: DataFrame) -> DataFrame:
     """Add `refs` (alias, table of the text's real tables), `qualified` and `bare` names."""
-    text = F.col("__text")
-    ctes = F.regexp_extract_all(text, F.lit(_CTE), 1)
+    text, ctes = F.col("__text"), F.col("__ctes")
     lists = F.flatten(F.transform(F.regexp_extract_all(text, F.lit(_FROM), 1), lambda x: F.split(x, ",")))
     words = F.transform(lists, lambda x: F.split(F.regexp_replace(F.trim(x), r"\bas\b ?", ""), " "))
     refs = F.transform(
@@ -78,6 +80,8 @@ def _parsed(queries: DataFrame) -> DataFrame:
         queries.withColumn("__plain", _plain(F.col("sql")))
         .withColumn("__quoted", F.regexp_extract_all(F.col("__plain"), F.lit(_QUOTED), 0))
         .withColumn("__text", _held(F.col("__plain")))
+        # A column of its own: inside the lambdas it would be searched for again at every name.
+        .withColumn("__ctes", F.regexp_extract_all(text, F.lit(_CTE), 1))
         .withColumn("__words", F.regexp_extract_all(text, F.lit(_TOKEN), 0))
         .withColumn("__nested", F.size(F.filter("__words", lambda w: w == "select")) > 1)
         .withColumn("__scopes", F.when(F.col("__nested"), token_scopes(F.col("__words"))))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sqlweave import session
 from sqlweave.operators import catalog as C
-from sqlweave.operators import execution, ranking, scoring
+from sqlweave.operators import execution, linking, ranking, scoring
 from sqlweave.operators import retrieval as R
 from sqlweave.session import materialise, spread
 
@@ -79,3 +79,13 @@ def test_known_names_deal_rows_and_list_words_once(spark, monkeypatch):
     assert named.rdd.getNumPartitions() == 40
     lists = {tuple(sorted((n["table"], n["column"]) for n in r["names"])) for r in named.collect()}
     assert lists == {(("a", "k"), ("b", "k"))}
+
+
+def test_names_of_a_text_search_it_for_ctes_once(spark):
+    """A search inside a lambda is made again at every name."""
+    sql = "WITH c AS (SELECT T1.a FROM t AS T1)\x1c  SELECT T2.b, d FROM t T2 JOIN c ON T2.a = c.a"
+    asked = spark.createDataFrame([(1, "x", sql)], "question_id long, db_id string, sql string")
+    columns = spark.createDataFrame([("x", "T", c, c) for c in "abd"] + [("x", "c", "a", "no")], "db_id string, table_name string, column_name string, doc_id string")
+    used = linking.used_columns(asked, columns)
+    assert plan(used).count("(?:select|with|values)") == 1
+    assert sorted(r["doc_id"] for r in used.collect()) == ["a", "b", "d"]
