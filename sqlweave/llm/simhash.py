@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import repeat
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -33,6 +34,9 @@ WIDE, WORDS, WORD_BITS, PARTS, PART_WORDS = 1024, 64, 256, 96, 3
 # of 64 differ, unrelated texts 32. Then all bits are, of which 0.15 and 0.5 differ (0.27 at similarity 0.5).
 SKETCH_BITS, SKETCH_DIFFERENT = 64, 20
 MAX_DIFFERENT = 0.25
+# Marks are MARK_BITS parities, each of how many of a text's shingles fall on it. Shared shingles leave no
+# trace in the XOR of two texts' marks, so its ones are at most the shingles that only one of them holds.
+MARK_BITS = 1024
 # Among texts that ask, a shingle of at most RARE_TEXTS of them is rare.
 RARE_TEXTS = 64
 
@@ -154,6 +158,12 @@ def wide_sums(hashes: np.ndarray) -> np.ndarray:
     return 2 * counts - len(hashes)
 
 
+def parity_marks(hashes: np.ndarray) -> np.ndarray:
+    """MARK_BITS parities of a set of shingle hashes, as longs."""
+    odd = np.bincount((hashes % np.uint64(MARK_BITS)).astype(np.int64), minlength=MARK_BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def _hadamard(size: int) -> np.ndarray:
     """Signs of the first-order Reed-Muller code's words, but for their complements."""
     n = np.arange(size)
@@ -185,7 +195,7 @@ def home_anchors(sums: np.ndarray) -> np.ndarray:
 
 
 def with_wide_fingerprints(documents: DataFrame, words: int) -> DataFrame:
-    """(doc_id, text_hash, fp, bits, anchors) of every row; fp is a hash of the set of shingles.
+    """(doc_id, text_hash, fp, n, bits, marks, anchors) of every row; fp is a hash of the set of its n shingles.
 
     A text without words has fp zero and no anchors.
     """
@@ -201,20 +211,27 @@ def with_wide_fingerprints(documents: DataFrame, words: int) -> DataFrame:
                 anchors = [a if len(s) else [] for a, s in zip(home_anchors(sums).astype(np.int16), sets)]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("doc_id"), batch.column("text_hash"), pa.array(prints),
-                        pa.array(list(packed), pa.list_(pa.int64())), pa.array(anchors, pa.list_(pa.int16())),
+                        batch.column("doc_id"), batch.column("text_hash"), pa.array(prints), pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array(list(packed), pa.list_(pa.int64())), pa.array([parity_marks(s) for s in sets], pa.list_(pa.int64())),
+                        pa.array(anchors, pa.list_(pa.int16())),
                     ],
-                    ["doc_id", "text_hash", "fp", "bits", "anchors"],
+                    ["doc_id", "text_hash", "fp", "n", "bits", "marks", "anchors"],
                 )
 
     slim = documents.select(F.col("doc_id").cast("long"), _text_hash().alias("text_hash"), F.col("text").cast("string"))
-    return slim.mapInArrow(run, "doc_id long, text_hash long, fp long, bits array<bigint>, anchors array<smallint>")
+    return slim.mapInArrow(run, "doc_id long, text_hash long, fp long, n long, bits array<bigint>, marks array<bigint>, anchors array<smallint>")
 
 
 def _different(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
+def _may_be_similar(similarity: float) -> Column:
+    """Whether the marks of u and v leave it open that they are similar; no similar pair fails."""
+    ones = reduce(add, (F.bit_count(F.get("u_marks", F.lit(i)).bitwiseXOR(F.get("v_marks", F.lit(i)))) for i in range(MARK_BITS // 64)))
+    return ones <= (1 - similarity) / (1 + similarity) * (F.col("u_n") + F.col("v_n")) + 1e-6
+
+
 def _texts(asked: DataFrame, documents: DataFrame) -> DataFrame:
     """(h, t): the text of every asked text hash."""
     hashed = documents.select(_text_hash().alias("h"), F.col("text").cast("string").alias("t"))
@@ -258,11 +275,10 @@ def _confirmed(pairs: DataFrame, classes: DataFrame, documents: DataFrame, words
         hashes = lru_cache(128)(lambda text: shingle_hashes(text, words))
         return pd.Series([similar(hashes(a), hashes(b), similarity) for a, b in zip(left, right)], dtype=bool)
 
-    side = lambda n: classes.select(F.col("fp").alias(n), F.col("text_hash").alias(f"{n}_hash"), F.col("bits").alias(f"{n}_bits"))
+    side = lambda n: classes.select(F.col("fp").alias(n), *[F.col(c).alias(f"{n}_{c.removeprefix('text_')}") for c in ("text_hash", "n", "bits", "marks")])
     apart = F.aggregate(F.zip_with("u_bits", "v_bits", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, x: n + x)
-    close = materialise(
-        pairs.join(side("u"), "u").join(side("v"), "v").filter(apart <= int(MAX_DIFFERENT * WIDE)).select("u", "v", "u_hash", "v_hash")
-    )
+    near = _may_be_similar(similarity) & (apart <= int(MAX_DIFFERENT * WIDE))
+    close = materialise(pairs.join(side("u"), "u").join(side("v"), "v").filter(near).select("u", "v", "u_hash", "v_hash"))
     texts = materialise(_texts(close.select(F.explode(F.array("u_hash", "v_hash")).alias("h")).distinct(), documents))
     text = lambda n: texts.select(F.col("h").alias(f"{n}_hash"), F.col("t").alias(f"{n}_text"))
     return materialise(close.join(text("u"), "u_hash").join(text("v"), "v_hash").filter(alike("u_text", "v_text")).select("u", "v"))
@@ -277,7 +293,7 @@ def similar_roots(prints: DataFrame, documents: DataFrame, words: int, similarit
     shingles leave it open whether they are similar (`_rarities`). So neither a group of copies of one
     text is paired with itself, however large, nor a group of near copies with the like that are not linked.
     """
-    classes = materialise(prints.groupBy("fp").agg(F.min("text_hash").alias("text_hash"), F.first("bits").alias("bits"), F.first("anchors").alias("anchors")))
+    classes = materialise(prints.groupBy("fp").agg(F.min("text_hash").alias("text_hash"), *[F.first(c).alias(c) for c in ("n", "bits", "marks", "anchors")]))
     parts = F.array(*[F.xxhash64(F.lit(i), *[F.get("anchors", F.lit(w)) for w in part]) for i, part in enumerate(PART_PLACES)])
     sketch = F.element_at("bits", 1).alias("sketch")
     placed = classes.filter(F.size("anchors") > 0).select("fp", sketch, F.explode(parts).alias("anchor"))
@@ -303,9 +319,9 @@ def similar_roots(prints: DataFrame, documents: DataFrame, words: int, similarit
     near = (F.col("anchor") == F.col("at")) & (F.col("u_root") != F.col("v_root")) & (_different("u_sketch", "v_sketch") <= SKETCH_DIFFERENT)
     # Most of these pairs are not similar, and in a group of near copies they are its square. So they are not
     # listed: only the texts that are in one, then the pairs that share a rare shingle, then those in which
-    # both texts have enough common ones.
+    # both texts have enough common ones and marks that differ in few enough places.
     asking = left.join(right, near, "left_semi").select("u").unionByName(right.join(left, near, "left_semi").select(F.col("v").alias("u"))).distinct()
-    asking = materialise(asking.join(classes, F.col("u") == F.col("fp")).select("fp", "text_hash", sketch))
+    asking = materialise(asking.join(classes, F.col("u") == F.col("fp")).select("fp", "text_hash", sketch, "marks"))
     sizes, rare = (materialise(x) for x in _rarities(asking.select("fp", "text_hash"), documents, words, similarity))
     known = asking.join(roots, "fp", "left").select("fp", "sketch", F.coalesce("root", "fp").alias("root"))
     holders = materialise(rare.join(known, "fp"))
@@ -315,11 +331,11 @@ def similar_roots(prints: DataFrame, documents: DataFrame, words: int, similarit
     sharing = a.join(b, (F.col("h") == F.col("v_h")) & apart).select("u", "v").distinct()
     # Pairs of two uncommon roots meet twice and count once.
     once = F.col("in_common") | (F.col("u") < F.col("v"))
-    enough = sizes.filter(F.col("common") + 1e-6 >= similarity * F.col("n"))
-    count = lambda n: enough.select(F.col("fp").alias(n), F.col("n").alias(f"{n}_n"), F.col("common").alias(f"{n}_common"))
+    enough = materialise(sizes.filter(F.col("common") + 1e-6 >= similarity * F.col("n")).join(asking.select("fp", "marks"), "fp"))
+    count = lambda n: enough.select(F.col("fp").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in ("n", "common", "marks")])
     shared = similarity / (1 + similarity) * (F.col("u_n") + F.col("v_n"))
     plain = left.join(count("u"), "u").join(
-        right.join(count("v"), "v"), near & once & (F.least("u_common", "v_common") + 1e-6 >= shared)
+        right.join(count("v"), "v"), near & once & (F.least("u_common", "v_common") + 1e-6 >= shared) & _may_be_similar(similarity)
     )
     plain = plain.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     rest = sharing.unionByName(plain).distinct()

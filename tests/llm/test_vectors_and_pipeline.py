@@ -183,6 +183,40 @@ def test_near_copies_that_are_not_linked_are_not_paired(spark, monkeypatch):
     assert asked[0] > 0 and asked[1] <= 150
 
 
+def test_marks_never_differ_more_than_texts():
+    rng = np.random.default_rng(6)
+    for n, changed in ((0, 3), (1, 1), (9, 1), (150, 40), (3000, 700), (40000, 9000)):
+        both = np.unique(rng.integers(0, 1 << 63, n + 2 * changed, dtype=np.uint64))
+        left, right = both[: len(both) - changed], both[changed:]
+        ones = int(np.bitwise_count((simhash.parity_marks(left) ^ simhash.parity_marks(right)).view(np.uint64)).sum())
+        assert ones <= len(np.setxor1d(left, right)) and (n > 1000 or ones >= 0.8 * len(np.setxor1d(left, right)))
+
+
+def test_near_copies_of_common_shingles_are_not_paired(spark, monkeypatch):
+    """Texts of one origin, each changed in three places: most of their shingles are common, few pairs are similar."""
+    rng = np.random.default_rng(5)
+    base = [f"w{x}" for x in rng.integers(0, 1 << 40, 150)]
+    texts = []
+    for i in range(200):
+        text = base[:]
+        for j, place in enumerate(rng.permutation(14)[:3]):
+            text[10 * place + 5] = f"x{i}x{j}"
+        texts.append(" ".join(text))
+    asked, confirmed = [], simhash._confirmed
+    monkeypatch.setattr(simhash, "_confirmed", lambda pairs, *rest: asked.append(pairs.count()) or confirmed(pairs, *rest))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.keep_first(docs, 5, 0.8).collect()}
+    sets = [five_words(t) for t in texts]
+    root = list(range(len(texts)))
+    links = [(d, e) for e in root[:] for d in range(e) if len(sets[d] & sets[e]) >= 0.8 * len(sets[d] | sets[e])]
+    for _ in links:
+        for d, e in links:
+            root[d] = root[e] = min(root[d], root[e])
+    assert len(links) > 5 and kept == {d for d, r in enumerate(root) if d == r}
+    # First each text meets its leads, then those it is similar to, though all leave open that they are by their number of common shingles.
+    assert asked[1] <= 200
+
+
 CLASHES = (
     "kept_0 id hash w_id w_hash first text_hash fp root anchor key n_words_ found item_ids best told p __hash __key __p score_ content place gone stays "
     "h n rank size_ threshold times p_ d q v cell chunk x value label marked limit sketch bits"
