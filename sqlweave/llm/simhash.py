@@ -123,7 +123,9 @@ def close_pairs(prints: DataFrame) -> DataFrame:
     home = cut.select(F.col("fp").alias("u"), anchor(F.element_at("flips", 1)).alias("anchor"))
     guest = cut.select(F.col("fp").alias("v"), "half", "word", F.explode("flips").alias("flip")).select("v", anchor(F.col("flip")).alias("anchor"))
     near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= THRESHOLD
-    return home.join(guest, (home["anchor"] == guest["anchor"]) & (F.col("u") < F.col("v")) & near).select("u", "v").distinct()
+    # Spark takes the size of either side from before its rows were listed, and would broadcast all of them.
+    met = home.hint("merge").join(guest, (home["anchor"] == guest["anchor"]) & (F.col("u") < F.col("v")) & near)
+    return met.select("u", "v").distinct()
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:

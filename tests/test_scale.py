@@ -6,6 +6,7 @@ import io
 from pyspark.sql import functions as F
 
 from sqlweave import session
+from sqlweave.llm import simhash
 from sqlweave.operators import catalog as C
 from sqlweave.operators import execution, linking, ranking, scoring
 from sqlweave.operators import retrieval as R
@@ -81,6 +82,12 @@ def test_known_names_deal_rows_and_list_words_once(spark, monkeypatch):
     assert lists == {(("a", "k"), ("b", "k"))}
 
 
+def test_anchors_of_fingerprints_are_not_broadcast(spark):
+    """A fingerprint has 2 home and 32 other anchors, of which Spark's sizes know nothing."""
+    prints = materialise(spark.range(200).selectExpr("xxhash64(id) fp"))
+    assert "Broadcast" not in plan(simhash.close_pairs(prints))
+
+
 def test_names_of_a_text_search_it_for_ctes_once(spark):
     """A search inside a lambda is made again at every name."""
     sql = "WITH c AS (SELECT T1.a FROM t AS T1)\x1c  SELECT T2.b, d FROM t T2 JOIN c ON T2.a = c.a"
