@@ -172,7 +172,11 @@ def with_known_names(queries: DataFrame, columns: DataFrame, representatives: Da
     worded = worded.select("query_id", "db_id", "words", F.explode_outer("words").alias("column")).filter("column is not null")
     known = columns.select("db_id", F.lower("table_name").alias("table"), F.lower("column_name").alias("column")).distinct()
     # The words travel with the row, so whether the table is one of them needs no second join.
-    found = worded.join(known, ["db_id", "column"]).filter(F.array_contains("words", F.col("table"))).drop("words")
+    # An inner join might broadcast the words, whose size Spark takes from before they were listed; a left join cannot.
+    # The test stands in a generator, for a filter on the table would make the join an inner one again.
+    met = worded.join(known, ["db_id", "column"], "left")
+    named = F.when(F.array_contains("words", F.col("table")), F.array(F.struct("table", "column")))
+    found = met.select("query_id", "db_id", F.inline_outer(named)).filter("table is not null")
     if representatives is None:
         found = found.withColumn("representative", F.lit(None).cast("string"))
     else:

@@ -82,6 +82,23 @@ def test_known_names_deal_rows_and_list_words_once(spark, monkeypatch):
     assert lists == {(("a", "k"), ("b", "k"))}
 
 
+def test_words_of_texts_are_not_broadcast(spark):
+    """Spark takes the size of listed words from before they were listed."""
+    texts = [(1, "d", "SELECT a.k FROM a", "SELECT k FROM b"), (2, "d", "SELECT z FROM a", ""), (3, None, "SELECT k FROM a", "k"), (None, "d", "SELECT k FROM a", "k"), (4, "d", None, None), (5, "d", "k c", "c"), (5, "d", "k b", "x")]
+    queries = materialise(spark.createDataFrame(texts, "query_id bigint, db_id string, sql_gt string, sql_pred string"))
+    rows = [("d", "A", "K"), ("d", "b", "k"), ("d", "c", "k"), ("d", None, "k"), ("d", "a", None), (None, "a", "k")] + [("e", f"table_{i}", f"column_{i}") for i in range(2000)]
+    columns = materialise(spark.createDataFrame(rows, "db_id string, table_name string, column_name string"))
+    same = materialise(spark.createDataFrame([("d", "A.k", "b.K")], "db_id string, unit string, representative string"))
+    named = scoring.with_known_names(queries, columns, same)
+    assert "BuildLeft" not in plan(named)
+    found = {(r["query_id"], r["sql_gt"]): r["names"] and sorted(tuple(n) for n in r["names"]) for r in named.collect()}
+    both = [("b", "k", None), ("c", "k", None)]
+    assert found == {
+        (1, "SELECT a.k FROM a"): [("a", "k", "b.k"), ("b", "k", None)], (2, "SELECT z FROM a"): None, (3, "SELECT k FROM a"): None,
+        (None, "SELECT k FROM a"): None, (4, None): None, (5, "k c"): both, (5, "k b"): both,
+    }
+
+
 def test_anchors_of_fingerprints_are_not_broadcast(spark):
     """A fingerprint has 2 home and 32 other anchors, of which Spark's sizes know nothing."""
     prints = materialise(spark.range(200).selectExpr("xxhash64(id) fp"))
