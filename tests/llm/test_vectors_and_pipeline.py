@@ -74,6 +74,33 @@ def test_recall(spark, structured):
     assert len({(q, i) for q, _, i, _ in got} & {(q, i) for q, _, i, _ in want}) >= 0.95 * len(want)
 
 
+def test_walks_hold_a_vector_once_a_bin(spark, monkeypatch):
+    """Walks over vectors without structure come to most cells; those share bins, and a large cell has several."""
+    rng = np.random.default_rng(6)
+    x = [*rng.normal(size=(2000, 8)), *[np.full(8, 9.0)] * 600]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    written = []
+    keep = multiindex.materialise
+    monkeypatch.setattr(multiindex, "materialise", lambda df: written.append(keep(df)) or written[-1])
+    settings = multiindex.Settings(cell_rows=5, block_rows=200)
+    got = found(multiindex.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), 10, 10, settings))
+    want = nearest(rows, 10, 10)
+    assert Counter(q for q, *_ in got) == Counter(q for q, *_ in want)
+    assert len({(q, i) for q, _, i, _ in got} & {(q, i) for q, _, i, _ in want}) >= 0.95 * len(want)
+    asked = [df.count() for df in written if "q" in df.columns]
+    # 260 queries, and bins of which any two that follow each other hold more than 200 of 2,600 rows.
+    assert len(asked) == 2 and max(asked) <= 260 * 27
+
+
+def test_floats_are_searched_like_doubles(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(1200, 8)).astype(np.float32))]
+    floats = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    doubles = floats.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    assert multiindex.search(floats, 5, 20).dtypes == multiindex.search(doubles, 5, 20).dtypes
+    assert found(multiindex.search(floats, 5, 20)) == found(multiindex.search(doubles, 5, 20))
+
+
 def test_traversal_rises(spark):
     rng = np.random.default_rng(0)
     left, right = rng.random(7), rng.random(5)
